@@ -123,16 +123,9 @@ def settle(ids: np.ndarray, side: np.ndarray, sigs: np.ndarray, sets: list[np.nd
         bands = (bands ^ sigs[:, k::rows]) * _STEP
         bands ^= bands >> np.uint64(31)
     size = np.array([len(s) for s in sets])
-    parent = np.arange(n)
     dense, starts = np.unique(np.concatenate(sets), return_inverse=True)[1], np.concatenate([[0], np.cumsum(size)])
     marked = np.zeros(int(dense.max()) + 1, bool)
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     label, links = np.arange(n), []  # label: the component of each, kept up to date
     for p in range(n - 1):
         near = label[p + 1 :] != label[p]
