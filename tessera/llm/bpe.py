@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterable
+import re
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,16 @@ from .runtime import plus, rows_per_task, ship
 #: The byte-level pre-tokenizer's pattern, with white space as the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: The same pattern for Python's re, whose classes agree on all characters but those of UNUSUAL (and those beyond U+024F).
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+UNUSUAL = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 #: Pieces kept encoded in a Python worker; the store is emptied when full.
-CACHE = 400_000
+CACHE = 1_000_000
+
+
+def pieces(text: str) -> list[str]:
+    """The pre-tokenizer's pieces of a text; joined, they are the text."""
+    return (PIECES if UNUSUAL.search(text) else LATIN_PIECES).findall(text)
 
 
 def byte_letters() -> dict[int, str]:
@@ -42,31 +52,49 @@ class ByteBPE(dict):
         vocab, byte_of = spec["model"]["vocab"], {c: b for b, c in letters.items()}
         self.single = [vocab[letters[b]] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [vocab[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
+        top = range(max(self.bytes_of) + 1)
+        self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in top], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in top), np.uint8)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one piece. O(n log n) for n bytes."""
+        """Ids of one piece. O(n log n) for n bytes. A queue entry is a rank and a position; it is stale unless the pair
+        that now starts there has that rank."""
         symbols = [self.single[b] for b in data]
-        n, merges = len(symbols), self.merges
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(*found, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1])))]
+        n, rank_of, merged_of = len(symbols), self.ranks.get, self.merged
+        rank = [rank_of(pair, -1) for pair in pairwise(symbols)]
+        queue = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
+        if not queue:
+            return symbols
+        rank.append(-1)
         heapq.heapify(queue)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while queue:
-            _, merged, i, left, right = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & 0xFFFFFFFF
+            if rank[i] != entry >> 32:
+                continue
             j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
-                continue  # stale
-            symbols[i], symbols[j] = merged, -1
+            symbols[i] = x = merged_of[rank[i]]
+            symbols[j], rank[j] = -1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((merged, symbols[k])):
-                    heapq.heappush(queue, (*found, i, merged, symbols[k]))
-            if (h := before[i]) >= 0 and (found := merges.get((symbols[h], merged))):
-                heapq.heappush(queue, (*found, h, symbols[h], merged))
+                rank[i] = r = rank_of((x, symbols[k]), -1)
+                if r >= 0:
+                    heapq.heappush(queue, r << 32 | i)
+            else:
+                rank[i] = -1
+            h = before[i]
+            if h >= 0:
+                rank[h] = r = rank_of((symbols[h], x), -1)
+                if r >= 0:
+                    heapq.heappush(queue, r << 32 | h)
         return [x for x in symbols if x >= 0]
 
     def __missing__(self, piece: str) -> bytes:
@@ -81,11 +109,16 @@ class ByteBPE(dict):
         """Packed ids of a whole text; special tokens inside it are taken as such."""
         look = self.__getitem__
         if not self.special or not any(s in text for s in self.special):
-            return b"".join(map(look, PIECES.findall(text)))
-        return b"".join(self.special[part].to_bytes(4, "little") if part in self.special else b"".join(map(look, PIECES.findall(part))) for part in self.split_special.split(text) if part)
+            return b"".join(map(look, pieces(text)))
+        return b"".join(self.special[part].to_bytes(4, "little") if part in self.special else b"".join(map(look, pieces(part))) for part in self.split_special.split(text) if part)
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, packed: bytes) -> str:
+        """The vocabulary strings of packed ids, one after another: bytes are gathered from the joined vocabulary."""
+        ids = np.frombuffer(packed, "<u4")
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begins[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.joined[at].tobytes().decode("utf-8", "replace")
 
 
 _CODERS: dict[int, ByteBPE] = {}
@@ -117,7 +150,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
                 packed = [c.encode(t or "") for t in batch.column(names.index(text)).to_pylist()]
                 new = [pa.array(packed, pa.binary())]
                 if decoded:
-                    new.append(pa.array([c.decode(memoryview(x).cast("I")) for x in packed], pa.string()))
+                    new.append(pa.array([c.decode(x) for x in packed], pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, ids, *([decoded] if decoded else [])])
 
     return docs.mapInArrow(run, plus(docs, **{ids: "binary"} | ({decoded: "string"} if decoded else {})))
@@ -132,7 +165,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     def run(batches):
         c = coder(sent.value)
         for batch in batches:
-            texts = [c.decode(memoryview(x or b"").cast("I")) for x in batch.column(names.index(ids)).to_pylist()]
+            texts = [c.decode(x or b"") for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, decoded])
 
     return docs.mapInArrow(run, plus(docs, **{decoded: "string"}))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import CACHE, PIECES, ByteBPE, coder, read_spec
+from .bpe import CACHE, ByteBPE, coder, pieces, read_spec
 from .runtime import rows_per_task, ship
 
 
@@ -33,7 +33,7 @@ class TokenSpans(dict):
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First and end character of each token of a whole text; the strings of special tokens are ordinary text."""
-        sizes = np.frombuffer(b"".join(map(self.__getitem__, PIECES.findall(text))), np.uint8)
+        sizes = np.frombuffer(b"".join(map(self.__getitem__, pieces(text))), np.uint8)
         ends = np.cumsum(sizes, dtype=np.int64)
         starts = ends - sizes
         data = text.encode()
