@@ -27,7 +27,7 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPA
 LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 UNUSUAL = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
 #: Pieces kept encoded in a Python worker; the store is emptied when full.
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 def pieces(text: str) -> list[str]:

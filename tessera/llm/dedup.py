@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import bounded_broadcast, cut, ship
+from .runtime import bounded_broadcast, cut, rows_per_task, ship
 
 WIDTH, PERCENT = 5, 80
 HASHES, BATCH = 120, 30
 #: Largest probability of missing a linked pair, by banding and by each pruning step.
 MISS = 1e-6
 BLOCK = 512
-CACHE = 500_000
+CACHE = 250_000
 
 
 def band_rows(percent: int) -> int:
@@ -104,13 +104,13 @@ def sign(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_per_task(whole, "text")):
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sigs = [signature(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 def settle(ids: np.ndarray, side: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int, rows: int) -> list[tuple[int, int]]:
@@ -181,7 +181,7 @@ def _settle_groups(percent: int, rows: int):
 
 def _with_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_per_task(whole, "text")):
             packed = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
 

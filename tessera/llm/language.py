@@ -12,8 +12,6 @@ Null ids are never trained on. Repeated rows give repeated results; other column
 
 from __future__ import annotations
 
-import math
-import uuid
 from typing import Any
 
 import numpy as np
@@ -21,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import id_remainder, plus, ship
+from .runtime import id_remainder, plus, rows_per_task, ship
 
 #: Bounds of the training sample and of the trees: documents for each language, and four-byte strings over all languages.
 MAX_TRAIN_DOCS, MAX_GRAMS, MAX_CONTEXTS = 2000, 1_500_000, 1 << 16
@@ -37,11 +35,13 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _count_grams(batches):
-    for batch in batches:
-        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-        for lang in set(langs):
-            parts = [_codes(t) for t, x in zip(texts, langs, strict=True) if x == lang and t]
-            if parts:
+    for whole in batches:
+        for batch in rows_per_task(whole, "text", 2 << 20):
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            for lang in sorted(set(langs)):
+                parts = [_codes(t) for t, x in zip(texts, langs, strict=True) if x == lang and t]
+                if not parts:
+                    continue
                 grams, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
@@ -94,11 +94,11 @@ def _tabulate(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> dict[str, An
         a1[:, k], e2[:, k], a3[1:, k], e3[1:, k], a4[1:, k] = cost(p1), cost(escape2), cost(p2), cost(escape3), cost(p3)
         weight += np.bincount(row3_of_context, c4, len(g3)).astype(np.int64)
     held = np.argsort(-weight, kind="stable")[:MAX_CONTEXTS]  # contexts of order 3; the others answer at order 2
-    return {"id": uuid.uuid4().hex, "langs": langs, "g3": g3, "g4": g4, "held": held, "a1": a1, "e2": e2, "a3": a3, "e3": e3, "a4": a4}
+    return {"langs": langs, "g3": g3, "g4": g4, "held": held, "a1": a1, "e2": e2, "a3": a3, "e3": e3, "a4": a4}
 
 
 class Scorer:
-    """Dense lookup tables of a model, built once in each Python worker."""
+    """Dense lookup tables of a model."""
 
     def __init__(self, m: dict[str, Any]) -> None:
         self.m, self.langs = m, m["langs"]
@@ -139,16 +139,6 @@ class Scorer:
         return self.langs[best], 1.0 / sum(2.0 ** max(-1000.0, bits[best] - x) for x in bits), float(bits[best]) / max(1, len(text.encode()))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def scorer(model: dict[str, Any]) -> Scorer:
-    if model["id"] not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model["id"]] = Scorer(model)
-    return _SCORERS[model["id"]]
-
-
 def identify(docs: DataFrame, model: dict[str, Any], text: str = "text") -> DataFrame:
     """docs with lang_pred, score and bits_per_byte; a narrow step. An input column of such a name is replaced."""
     ship(docs.sparkSession)
@@ -158,11 +148,12 @@ def identify(docs: DataFrame, model: dict[str, Any], text: str = "text") -> Data
     names = docs.columns
 
     def judge(batches):
-        s = scorer(sent.value)
-        for batch in batches:
-            found = [s.judge(t) for t in batch.column(names.index(text)).to_pylist()]
-            new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, *added])
+        s = Scorer(sent.value)  # freed with the task
+        for whole in batches:
+            for batch in rows_per_task(whole, text):
+                found = [s.judge(t) for t in batch.column(names.index(text)).to_pylist()]
+                new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, *added])
 
     return docs.mapInArrow(judge, plus(docs, lang_pred="string", score="double", bits_per_byte="double"))
 

@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .runtime import ship
+from .runtime import rows_per_task, ship
 
-WIDTH, CONTAINMENT, MISS, CACHE = 3, 0.8, 1e-6, 500_000
+WIDTH, CONTAINMENT, MISS, CACHE = 3, 0.8, 1e-6, 250_000
 #: Short public license notices, by name.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -130,7 +130,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
 
     def run(batches):
         scanner = Scanner(given, containment)
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_per_task(whole, text)):
             rows, out = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 for found in scanner.scan(t):

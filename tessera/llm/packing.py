@@ -26,7 +26,7 @@ from .runtime import cut, plus, rows_per_task, ship
 
 CAPACITY, END_ID = 4096, 1
 #: Words kept encoded in a Python worker; the store is emptied when full.
-CACHE = 1_000_000
+CACHE = 250_000
 #: Pieces in a cell of the rank count, on average over all lengths.
 CELL_ROWS = 20_000
 

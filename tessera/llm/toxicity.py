@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import id_remainder, plus, ship
+from .runtime import id_remainder, plus, rows_per_task, ship
 
 #: Bounds of the training sample (documents) and of the model (words); what makes a word part of the model.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 3000, 9000, 5000
 MIN_DOCS, MIN_LIFT, MIN_Z = 3, 2.0, 4.0
 EPOCHS, RATE, DECAY, BATCHES, BETA = 60, 0.05, 1e-4, 12, 0.0
-THRESHOLD, CACHE = 0.3, 1_000_000
+THRESHOLD, CACHE = 0.3, 250_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -128,7 +128,7 @@ def score(docs: DataFrame, model: dict[str, Any], text: str = "text") -> DataFra
 
     def run(batches):
         weights = _Weights(sent.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_per_task(whole, text)):
             found = [weights.score(t) for t in batch.column(names.index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "score"])
 
