@@ -1,4 +1,412 @@
-"""All catalog queries and their SQL, by name."""
+"""All catalog queries and their SQL, by name. Orders, lines, parts and documents play the catalog's roles (sources.catalog)."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.text import FOLD_FROM, FOLD_TO, strip_tags, tokens, volume
+from tessera.operators import facets as fc
+from tessera.operators import hierarchy as hi
+from tessera.operators import index as ix
+from tessera.operators import paging as pg
+from tessera.operators import reports as rp
+from tessera.operators import search_text as st
+from tessera.operators.predicates import match
+from tessera.sources.catalog import Catalog, group_members, orders_catalog, table
+from tessera.sources.content import normalise_reviews
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+BASE = """with books as (
+  select o_orderkey as book_id, o_orderpriority || ' ' || o_orderkey as title, upper(o_orderpriority || ' ' || o_orderkey) as search_title,
+    year(o_orderdate)::int as year, floor(o_totalprice)::bigint as size, substr(o_orderpriority, 1, 1)::int as lib_rate, o_orderpriority as lang,
+    '.' || lower(o_orderstatus) as ext, c_mktsegment as archive, o_orderstatus = 'P' as deleted,
+    (year(o_orderdate) * 12 + month(o_orderdate))::bigint as update_id, c_nationkey
+  from orders left join customer on o_custkey = c_custkey),
+author_links as (select *, row_number() over (partition by book_id order by seq, author_id) - 1 as ord from
+  (select l_orderkey as book_id, l_partkey as author_id, min(l_linenumber) as seq from lineitem group by all)),
+series_links as (select *, row_number() over (partition by book_id order by seq, series_id) - 1 as ord from
+  (select l_orderkey as book_id, l_suppkey as series_id, min(l_linenumber) as seq from lineitem group by all)),
+keyword_links as (select *, row_number() over (partition by book_id order by seq, keyword_id) - 1 as ord from
+  (select l_orderkey as book_id, p_type as keyword_id, min(l_linenumber) as seq from lineitem join part on p_partkey = l_partkey group by all)),
+genres as (select 'R' || r_regionkey as genre_code, '' as parent_code, r_name as title from region
+  union all select 'N' || n_nationkey, 'R' || n_regionkey, n_name from nation),
+genre_links as (select book_id, 'N' || c_nationkey as genre_code from books where c_nationkey is not null),
+user_data as (select user_id, json_extract(props, '$.k')::bigint as book_id, max((event_type = 'purchase')::int) as favorite,
+  max((event_type = 'view')::int) as read, floor(arg_max(value, {'a': ts, 'b': event_id}))::bigint % 5 + 1 as rate from events group by all),
+seen as (select * from books where not deleted)
+"""
+TOK = f"list_filter(regexp_split_to_array(translate(lower(coalesce({{}}, '')), 'ё{FOLD_FROM}', 'е{FOLD_TO}'), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda x: x <> '')"
+TITLE = "left(string_split(text, chr(10))[1], 200)"
+
+
+def tok(column: str) -> str:
+    return TOK.format(column)
+
+
+POSTS = f"""src as (select doc_id as book_id, {TITLE} as title, text as annotation from documents),
+toks as (select book_id, 'title' as field, {tok("title")} as t from src union all select book_id, 'annotation', {tok("annotation")} from src),
+posts as (select distinct field, unnest(t) as term, book_id from toks)"""
+
+
+def query(sql: str | None = None, base: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (BASE + sql) if base else sql
+        return f
+
+    return add
+
+
+def cat_of(spark: SparkSession, d: str) -> Catalog:
+    return orders_catalog(spark, d)
+
+
+def documents_source(spark: SparkSession, d: str) -> DataFrame:
+    """book_id, title (first line, 200 characters) and annotation (the text) of the documents."""
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("book_id"), F.substring(F.split("text", "\n")[0], 1, 200).alias("title"), F.col("text").alias("annotation"))
+
+
+SEARCH_AND = {"and": [{"range": "year", "from": 1996, "to": 1998}, {"term": "genre", "values": ["R1", "R3"], "children": True}, {"not": {"term": "lang", "values": ["5-LOW"]}}]}
+_AND_SQL = """, m as (select * from seen where year between 1996 and 1998 and lang <> '5-LOW'
+  and book_id in (select book_id from genre_links join genres using (genre_code) where parent_code in ('R1', 'R3') or genre_code in ('R1', 'R3')))"""
+_PAGE = "book_id, title, year, size, sort_key"
+
+
+@query(_AND_SQL + " select book_id, title, year, size, search_title as sort_key from m order by search_title, book_id limit 50")
+def search_and(spark, d):
+    cat = cat_of(spark, d)
+    return pg.page(pg.with_sort_key(cat, match(cat, SEARCH_AND), "title")).select(*_PAGE.split(", "))
+
+
+@query(""" select book_id, title from seen where book_id in (select book_id from author_links where author_id in (1, 5, 9))
+  or year = 1997 and not (book_id in (select book_id from series_links where series_id = 3)) or ext = '.o' and lib_rate = 1""")
+def search_or(spark, d):
+    tree = {"or": [{"ids": "author", "values": [1, 5, 9]}, {"and": [{"number": "year", "op": "eq", "value": 1997}, {"not": {"ids": "series", "values": [3]}}]}, {"and": [{"term": "ext", "values": ["o"]}, {"number": "lib_rate", "op": "eq", "value": 1}]}]}
+    return match(cat_of(spark, d), tree).select("book_id", "title")
+
+
+@query(""", n as (select *, case when lib_rate > 2 then year end as y from seen) select book_id, y as year from n where not coalesce(y = 1997, false)""")
+def search_not_null(spark, d):
+    cat = cat_of(spark, d)
+    cat.books = cat.books.withColumn("year", F.when(F.col("lib_rate") > 2, F.col("year")))  # years that are unknown
+    return match(cat, {"not": {"number": "year", "op": "eq", "value": 1997}}).select("book_id", "year")
+
+
+@query(""" select book_id, year, size from seen where year >= 1999 and size <= 200000 and lib_rate > 1
+  and book_id in (select book_id from user_data where user_id = 1 and rate between 2 and 5)""")
+def search_range(spark, d):
+    tree = {"and": [{"range": "year", "from": 1999}, {"range": "size", "to": 200000}, {"number": "lib_rate", "op": "gt", "value": 1}, {"range": "user_rate", "from": 2, "to": 5}]}
+    return match(cat_of(spark, d), tree).select("book_id", "year", "size")
+
+
+@query(""" select book_id from seen where book_id in (select book_id from series_links where seq >= 5)
+  and book_id in (select book_id from keyword_links where keyword_id in ('ECONOMY', 'STANDARD')) and archive in ('BUILDING', 'MACHINERY')""")
+def search_link_any(spark, d):
+    tree = {"and": [{"number": "seq", "op": "gte", "value": 5}, {"ids": "keyword", "values": ["ECONOMY", "STANDARD"]}, {"term": "archive", "values": ["BUILDING", "MACHINERY"]}]}
+    return match(cat_of(spark, d), tree).select("book_id")
+
+
+_GROUPS = """, g as (select n_regionkey::bigint as group_id, n_nationkey as object_id from nation), gm as (
+  select group_id, book_id from g join books on book_id = object_id union select group_id, book_id from g join author_links on author_id = object_id
+  union select group_id, book_id from g join series_links on series_id = object_id)"""
+
+
+@query(_GROUPS + " select group_id, book_id from gm")
+def group_books(spark, d):
+    return group_members(cat_of(spark, d))
+
+
+@query(_GROUPS + " select book_id from seen where book_id in (select book_id from gm where group_id = 2)")
+def search_group_members(spark, d):
+    return match(cat_of(spark, d), {"ids": "group", "values": [2]}).select("book_id")
+
+
+@query(""" select book_id from seen where book_id not in (select book_id from user_data where user_id = 1 and favorite = 1)
+  and book_id in (select l_orderkey from lineitem where l_returnflag = 'R') and book_id not in (select l_orderkey from lineitem group by 1 having count(*) > 3)""")
+def search_bool_false(spark, d):
+    tree = {"and": [{"flag": "favorite", "value": False}, {"flag": "has_review", "value": True}, {"flag": "has_annotation", "value": False}]}
+    return match(cat_of(spark, d), tree).select("book_id")
+
+
+@query(" select book_id, deleted from books where deleted or year = 2000")
+def visibility(spark, d):
+    return match(cat_of(spark, d), {"or": [{"flag": "deleted", "value": True}, {"number": "year", "op": "eq", "value": 2000}]}).select("book_id", "deleted")
+
+
+@query(_AND_SQL + """, k as (select book_id, arg_min(upper(p_name), {'a': ord, 'b': author_id}) as k from author_links join part on p_partkey = author_id group by 1)
+  select m.book_id, title, year, size, coalesce(k, '') as sort_key from m left join k using (book_id) order by sort_key desc, book_id desc limit 50""")
+def sort_first_author(spark, d):
+    cat = cat_of(spark, d)
+    return pg.page(pg.with_sort_key(cat, match(cat, SEARCH_AND), "author"), descending=True).select(*_PAGE.split(", "))
+
+
+@query(" select book_id, title, year, size, size as sort_key from seen where size > 250000 or size = 250000 and book_id > 100 order by size, book_id limit 100")
+def page_keyset(spark, d):
+    cat = cat_of(spark, d)
+    return pg.page(pg.with_sort_key(cat, match(cat, None), "size"), limit=100, after=(250000, 100)).select(*_PAGE.split(", "))
+
+
+@query(" select book_id, title, year, size, year as sort_key from seen order by year desc, book_id desc limit 50 offset 120")
+def page_offset(spark, d):
+    cat = cat_of(spark, d)
+    return pg.page(pg.with_sort_key(cat, match(cat, None), "year"), offset=120, descending=True).select(*_PAGE.split(", "))
+
+
+_RELATIONS = """, ra as (select book_id, string_agg(coalesce(nullif(trim(p_name), ''), 'Unknown author'), '; ' order by ord) as authors from author_links join part on p_partkey = author_id group by 1),
+ rg as (select book_id, string_agg(title, '; ') as genres from genre_links join genres using (genre_code) group by 1),
+ rk as (select book_id, string_agg(keyword_id, '; ' order by ord) as keywords from keyword_links group by 1),
+ rs as (select book_id, series_id, seq, s_name as series_title from series_links join supplier on s_suppkey = series_id where ord = 0)"""
+
+
+@query(_AND_SQL + _RELATIONS + """, p as (select *, search_title as sort_key from m order by search_title, book_id limit 50)
+ select p.book_id, title, year, lang, substr(ext, 2) as ext, size, lib_rate, series_id, series_title, seq as seq_number, sort_key, coalesce(rate, 0) as user_rate,
+   coalesce(favorite = 1, false) as favorite, coalesce(read = 1, false) as is_read, authors, genres, keywords
+ from p left join rs using (book_id) left join ra using (book_id) left join rg using (book_id) left join rk using (book_id) left join user_data u on u.book_id = p.book_id and user_id = 1""")
+def page_relations(spark, d):
+    cat = cat_of(spark, d)
+    rows = pg.page(pg.with_sort_key(cat, match(cat, SEARCH_AND), "title"))
+    return pg.page_rows(cat, rows).join(pg.relations(cat, rows), "book_id", "left")
+
+
+@query(_AND_SQL + " select count(*) as total from m")
+def total(spark, d):
+    return pg.total(match(cat_of(spark, d), SEARCH_AND))
+
+
+FACET_TREE = {"and": [{"term": "lang", "values": ["1-URGENT", "2-HIGH"]}, {"ids": "author", "values": [1, 2, 3, 4, 5, 6, 7, 8]}, {"range": "year", "from": 1996, "to": 1999}]}
+_FACET_C = """, c as (select *, lang in ('1-URGENT', '2-HIGH') as c1, book_id in (select book_id from author_links where author_id between 1 and 8) as c2, year between 1996 and 1999 as c3 from seen)"""
+_FACET_V = {
+    "lang": ("select 'lang' as field, lang as value, null as label from c where c2 and c3", "(lang in ('1-URGENT', '2-HIGH'))"),
+    "ext": ("select 'ext' as field, ltrim(ext, '.') as value, null as label from c where c1 and c2 and c3", ""),
+    "year": ("select 'year' as field, year::varchar as value, null as label from c where c1 and c2 and year > 0", ""),
+    "lib_rate": ("select 'lib_rate' as field, lib_rate::varchar as value, null as label from c where c1 and c2 and c3 and lib_rate > 0", ""),
+    "genre": ("select 'genre' as field, genre_code as value, genres.title as label from c join genre_links using (book_id) left join genres using (genre_code) where c1 and c2 and c3", ""),
+    "author": ("select 'author' as field, author_id::varchar as value, coalesce(nullif(trim(p_name), ''), 'Unknown author') as label from c join author_links using (book_id) join part on p_partkey = author_id where c1 and c3", ""),
+    "series": ("select 'series' as field, series_id::varchar as value, s_name as label from c join series_links using (book_id) join supplier on s_suppkey = series_id where c1 and c2 and c3", ""),
+}
+
+
+def _facet_sql(fields: list[str]) -> str:
+    return (
+        _FACET_C + ", v as (" + " union all ".join(_FACET_V[f][0] for f in fields) + """),
+ n as (select field, value, label, count(*) as n, case when field = 'lang' and value in ('1-URGENT', '2-HIGH') or field = 'author' and value in ('1', '2', '3', '4', '5', '6', '7', '8') then 0 else 1 end as pin,
+   case when field in ('year', 'lib_rate') then 200 else 20 end as most from v group by field, value, label),
+ r as (select *, row_number() over (partition by field order by pin, n desc, coalesce(label, value), value) as rank, count(*) over (partition by field) > most as truncated from n),
+ a as (select field, value, label, n, pin, truncated from r where rank <= most
+   union all select f, x, label, 0, -1, coalesce((select any_value(truncated) from r where field = f), false) from (
+     select 'lang' as f, unnest(['1-URGENT', '2-HIGH']) as x, null as label union all select 'author', p_partkey::varchar, coalesce(nullif(trim(p_name), ''), 'Unknown author') from part where p_partkey between 1 and 8) z
+   where (f, x) not in (select (field, value) from r where rank <= most) and f in (""" + ", ".join(f"'{f}'" for f in fields) + """))
+ select field, value, case when label <> value then label end as label, n, truncated,
+   row_number() over (partition by field order by case when field in ('year', 'lib_rate') then -value::bigint end, pin, n desc, coalesce(label, value), value) as place from a"""
+    )
+
+
+def _facet_query(name: str, fields: list[str]) -> None:
+    def run(spark, d):
+        return fc.facets(cat_of(spark, d), FACET_TREE, fields)
+
+    run.__name__ = name
+    query(_facet_sql(fields))(run)
+
+
+for _f in fc.FIELDS:
+    _facet_query(f"facet_{_f}", [_f])
+_facet_query("facets_one_pass", list(fc.FIELDS))
+_facet_query("facet_pinned_zero", ["lang", "author"])
+
+
+@query(""", c as (select * from seen where (lang = '1-URGENT' or year = 1997)) select 'lang' as field, lang as value, null::varchar as label, count(*) as n,
+  row_number() over (order by count(*) desc, lang) as place, false as truncated from c group by lang""")
+def facet_self_exclude(spark, d):
+    tree = {"or": [{"term": "lang", "values": ["1-URGENT"]}, {"number": "year", "op": "eq", "value": 1997}]}  # inside OR a facet keeps its own predicate
+    return fc.facets(cat_of(spark, d), tree, ["lang"])
+
+
+@query(" select genre_code as root, genre_code as code, 0 as depth from genres union all select parent_code, genre_code, 1 from genres where parent_code <> ''")
+def genre_closure(spark, d):
+    return hi.closure(cat_of(spark, d).genres)
+
+
+@query(" select genre_code as code, (parent_code <> '')::int as depth, parent_code = '' as is_root from genres")
+def genre_paths(spark, d):
+    return hi.tree_paths(cat_of(spark, d).genres)
+
+
+@query(""", cl as (select genre_code as root, genre_code as code from genres union all select parent_code, genre_code from genres where parent_code <> ''),
+ k as (select root, count(distinct book_id) as books, count(distinct case when root = code then book_id end) as own from cl join genre_links on genre_code = code join seen using (book_id) group by 1)
+ select genre_code as code, nullif(parent_code, '') as parent_code, title, coalesce(books, 0) as books, coalesce(own, 0) as own_books from genres left join k on root = genre_code""")
+def genre_subtree_counts(spark, d):
+    return hi.subtree_counts(cat_of(spark, d))
+
+
+@query(""", s as (select book_id, genre_code as code from genre_links union select book_id, parent_code from genre_links join genres using (genre_code) where year_odd(book_id))
+ select book_id, code from s where not exists (select 1 from s t join genres g on g.genre_code = s.code where t.book_id = s.book_id and t.code = g.parent_code)""".replace("year_odd(book_id)", "book_id % 2 = 1"))
+def selection_collapse(spark, d):
+    cat = cat_of(spark, d)
+    own = cat.genre_links.select("book_id", F.col("genre_code").alias("code"))
+    up = cat.genre_links.join(cat.genres, "genre_code").filter("book_id % 2 = 1").select("book_id", F.col("parent_code").alias("code"))  # odd books also select the parent
+    return hi.topmost(own.unionByName(up), cat.genres)
+
+
+@query(""" select (select count(*) from seen) as books, (select count(distinct lang) from books) as languages, (select min(year) from seen where year between 1400 and 2200) as year_from,
+ (select max(year) from seen where year between 1400 and 2200) as year_to, (select count(*) from part) as authors, (select count(*) from supplier) as series,
+ (select count(*) from (select l_orderkey from lineitem group by 1 having count(*) > 3)) as annotations""")
+def collection_summary(spark, d):
+    return rp.collection_summary(cat_of(spark, d))
+
+
+@query(""" select p_partkey as author_id, coalesce(nullif(trim(p_name), ''), 'Unknown author') as name, coalesce(b.n, 0) as books from part
+ left join (select author_id, count(*) as n from author_links join seen using (book_id) group by 1) b on b.author_id = p_partkey
+ where (contains(upper(p_name), 'RE') or len(list_filter(regexp_split_to_array(upper(p_name), '[^\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'RE'))) > 0) and p_partkey in (select author_id from author_links)
+ order by case when starts_with(upper(p_name), 'RE') then 0 else 1 end, upper(p_name), p_partkey limit 100""")
+def author_list(spark, d):
+    return rp.author_list(cat_of(spark, d), "re", limit=100)
+
+
+@query(" select lang, count(*) as books from seen where lang is not null group by 1")
+def languages(spark, d):
+    return rp.languages(cat_of(spark, d))
+
+
+@query(" select p_partkey as id, p_name as label, count(distinct book_id) as books from part join author_links on author_id = p_partkey join seen using (book_id) where starts_with(upper(p_name), 'S') group by 1, 2 order by books desc, id limit 10")
+def suggest_author(spark, d):
+    return rp.suggest(cat_of(spark, d), "author", "s")
+
+
+@query(" select keyword_id as id, keyword_id as label, count(distinct book_id) as books from keyword_links join seen using (book_id) where starts_with(upper(keyword_id), 'S') group by 1 order by books desc, id limit 10")
+def suggest_keyword(spark, d):
+    return rp.suggest(cat_of(spark, d), "keyword", "s")
+
+
+@query(" select book_id, title from seen where starts_with(search_title, '3-M') order by search_title, book_id limit 10")
+def suggest_title(spark, d):
+    return rp.suggest(cat_of(spark, d), "title", "3-m")
+
+
+@query(_RELATIONS + """ select book_id, title, year, lang, size, archive, substr(ext, 2) || '+zip' as formats, series_title, seq as seq_number, authors, genres, keywords
+ from seen left join rs using (book_id) left join ra using (book_id) left join rg using (book_id) left join rk using (book_id)""")
+def book_card(spark, d):
+    return rp.book_cards(cat_of(spark, d))
+
+
+@query(""" select series_id, book_id, seq, lag(book_id) over (partition by series_id order by seq, book_id) as previous,
+  lead(book_id) over (partition by series_id order by seq, book_id) as following from series_links join seen using (book_id)""")
+def series_neighbours(spark, d):
+    return rp.series_neighbours(cat_of(spark, d))
+
+
+@query(f"select doc_id, len({tok('text')})::bigint as n_tokens, len(list_distinct({tok('text')}))::bigint as n_forms from documents", base=False)
+def tokens_forms(spark, d):
+    own = tokens(F.col("text"), fold=True)
+    return table(spark, d, "documents").select("doc_id", F.size(own).cast("long").alias("n_tokens"), F.size(F.array_distinct(own)).cast("long").alias("n_forms"))
+
+
+@query(f"with {POSTS} select field, term, book_id from posts", base=False)
+def index_postings(spark, d):
+    return ix.postings(documents_source(spark, d), ["title", "annotation"])
+
+
+@query(f"""with {POSTS}, t as (select book_id, list_aggregate({tok("title")}, 'string_agg', ' ') as t from src) select distinct 'title' as field, t[i:i + 2] as gram, book_id
+ from (select book_id, t, unnest(generate_series(1, len(t) - 2)) as i from t where len(t) >= 3)""", base=False)
+def index_grams(spark, d):
+    return ix.grams(documents_source(spark, d), ["title"])
+
+
+def _queries_frame(spark: SparkSession, text: str) -> DataFrame:
+    return spark.range(1).select(F.lit(1).cast("long").alias("query_id"), F.lit(text).alias("text"))
+
+
+@query(f"with {POSTS} select 1::bigint as query_id, book_id from posts where term in ('erth', 'thnt') group by book_id having count(distinct term) = 2", base=False)
+def text_match(spark, d):
+    return st.search(_queries_frame(spark, "erth thnt"), ix.postings(documents_source(spark, d), ["title", "annotation"]))
+
+
+@query(f"with {POSTS} select 1::bigint as query_id, book_id from posts where field = 'title' and starts_with(term, 'therr') group by book_id", base=False)
+def text_prefix(spark, d):
+    return st.search(_queries_frame(spark, "therr"), ix.postings(documents_source(spark, d), ["title", "annotation"]), field="title", prefix=True)
+
+
+@query(f"with {POSTS} select book_id from src where contains(' ' || list_aggregate({tok('annotation')}, 'string_agg', ' ') || ' ', ' of the ')", base=False)
+def text_phrase(spark, d):
+    return st.phrase(documents_source(spark, d), "annotation", "of the")
+
+
+@query(f"with {POSTS} select book_id from src where contains(list_aggregate({tok('title')}, 'string_agg', ' '), 'ing th')", base=False)
+def text_substring(spark, d):
+    source = documents_source(spark, d)
+    return st.substring(source, ix.grams(source, ["title"]), "title", "ing th")
+
+
+@query(f"with {POSTS} select book_id from src where list_has_all({tok('title')}, ['the', 'of']) or list_has_all({tok('annotation')}, ['the', 'of'])", base=False)
+def text_fallback(spark, d):
+    return st.unindexed(documents_source(spark, d), ["title", "annotation"], "the of")
+
+
+@query(f"""with {POSTS}, w as (select item_id as query_id, list_distinct({tok("text")}[1:3]) as ws from benchmark), q as (select query_id, unnest(ws) as term, len(ws) as words from w)
+ select query_id, book_id from q join (select distinct term, book_id from posts) p using (term) group by query_id, book_id, words having count(*) = words""", base=False)
+def batch_search(spark, d):
+    first = F.array_join(F.array_distinct(F.slice(tokens(F.col("text"), fold=True), 1, 3)), " ")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("text"))
+    return st.search(asked, ix.postings(documents_source(spark, d), ["title", "annotation"]))
+
+
+@query(f"""with {POSTS}, dl as (select book_id, count(*) as dl from posts group by 1), s as (select count(*) as n_books, avg(dl) as avgdl from dl),
+ f as (select term, book_id, sum(case field when 'title' then 10 else 1 end) as f from posts where term in ('erth', 'thnt') group by all), h as (select term, count(*) as n from f group by 1),
+ g as (select book_id, sum(greatest(ln((n_books - n + 0.5::double) / (n + 0.5::double)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score, count(*) as words from f join h using (term) join dl using (book_id), s group by 1)
+ select book_id, round(score, 6) as score from g where words = 2 order by round(score, 6) desc, book_id limit 20""", base=False)
+def bm25_top(spark, d):
+    scored = st.bm25(_queries_frame(spark, "erth thnt"), ix.postings(documents_source(spark, d), ["title", "annotation"]))
+    return scored.select("book_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "book_id").limit(20)
+
+
+MARK = 12 * 2000 + 6
+
+
+@query(f""", o as (select count(*) as n from books where update_id <= {MARK}), c as (select count(*) as books, max(update_id) as mark from books)
+ select case when books = n then 'skipped' when mark > {MARK} then 'incremental' else 'full' end as action, case when mark > {MARK} then {MARK}::bigint end as since, books, mark from c, o""")
+def index_decision(spark, d):
+    books = cat_of(spark, d).books
+    held = books.filter(F.col("update_id") <= MARK).count()
+    return ix.decide(books, {"mark": MARK, "books": held})
+
+
+@query(f""", s as (select book_id, 'title' as field, {tok("title")} as t from books union all
+   select book_id, 'authors', {tok("string_agg(p_name, ' ' order by ord, author_id)")} from author_links join part on p_partkey = author_id where book_id in (select book_id from books) group by book_id),
+ p as (select distinct field, unnest(t) as term, book_id from s) select field, term, count(*) as books from p group by all""")
+def index_incremental(spark, d):
+    """Postings up to a mark, and the later delivery appended twice: as one full build."""
+    cat = cat_of(spark, d)
+    links = {"authors": (cat.author_links.join(cat.authors, "author_id"), "author_id", "last_name")}
+    fields = ["title", "authors"]
+    old = ix.postings(ix.source_rows(cat.books.filter(F.col("update_id") <= MARK), links), fields)
+    new = ix.postings(ix.source_rows(cat.books, links, since=MARK), fields)
+    return ix.append(ix.append(old, new), new).groupBy("field", "term").agg(F.count("*").alias("books"))
+
+
+@query("""select doc_id, length(t)::bigint as letters, case when length(t) = 0 then 0 else len(regexp_split_to_array(t, '\\s+')) end::bigint as words,
+ case when length(t) = 0 then 0 else greatest(1, floor(length(t) / 2000 + 0.5)) end::bigint as pages from
+ (select doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as t from documents)""", base=False)
+def file_volume(spark, d):
+    plain = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("t"))
+    return plain.select("doc_id", *volume(F.col("t")))
+
+
+@query("""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'),
+ '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) as plain from pages""", base=False)
+def html_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", strip_tags(F.col("html")).alias("plain"))
+
+
+@query("""select conv_id, role as name, lpad(turn::varchar, 6, '0') as time, t as text, row_number() over (partition by conv_id order by turn) as place from
+ (select *, trim(text, chr(10) || chr(32) || chr(9) || chr(13)) as t from conversations) where t <> ''""", base=False)
+def reviews_normalise(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", F.struct(F.col("role").alias("Nick"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("date"), F.regexp_replace("text", "\n", "<br/>").alias("Body")).alias("item"))
+    files = turns.groupBy("conv_id").agg(F.to_json(F.collect_list("item")).alias("data"))  # a review file holds the turns of one conversation
+    return normalise_reviews(files, "conv_id", "data")
