@@ -109,6 +109,7 @@ def sign(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sigs = [signature(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+        _WORDS.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
@@ -184,6 +185,7 @@ def _with_sets(docs: DataFrame, width: int) -> DataFrame:
         for batch in (part for whole in batches for part in rows_per_task(whole, "text")):
             packed = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
+        _WORDS.clear()
 
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 

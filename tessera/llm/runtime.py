@@ -17,14 +17,21 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 #: Largest number of narrow rows (an id and a number) that is broadcast; 16 MB at most.
 BROADCAST_ROWS = 1_000_000
+ARROW_DEFAULT = "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers started from this driver import the package (clusters install it instead)."""
+    """Let Python workers started from this driver import the package (clusters install it instead).
+
+    Also lowers the session's Arrow batches from Spark's default of 64 MB to 8 MB: a batch of long texts is held by the
+    executor and its Python worker at once. A value that the session has set stays.
+    """
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == ARROW_DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def shared_folder(spark: SparkSession) -> str:
