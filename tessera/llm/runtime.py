@@ -30,7 +30,7 @@ def ship(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == ARROW_DEFAULT:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == ARROW_DEFAULT:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
