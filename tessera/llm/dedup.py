@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import bounded_broadcast, cut, rows_per_task, ship
+from .runtime import bounded_broadcast, cut, release, rows_per_task, ship
 
 WIDTH, PERCENT = 5, 80
 HASHES, BATCH = 120, 30
@@ -110,6 +110,7 @@ def sign(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
             sigs = [signature(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
         _WORDS.clear()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
@@ -176,6 +177,7 @@ def _settle_groups(percent: int, rows: int):
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
                 links = []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+        release()
 
     return run
 
@@ -186,6 +188,7 @@ def _with_sets(docs: DataFrame, width: int) -> DataFrame:
             packed = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
         _WORDS.clear()
+        release()
 
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 

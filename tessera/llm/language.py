@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import id_remainder, plus, rows_per_task, ship
+from .runtime import id_remainder, plus, release, rows_per_task, ship
 
 #: Bounds of the training sample and of the trees: documents for each language, and four-byte strings over all languages.
-MAX_TRAIN_DOCS, MAX_GRAMS, MAX_CONTEXTS = 2000, 1_500_000, 1 << 16
+MAX_TRAIN_DOCS, MAX_GRAMS, MAX_CONTEXTS = 2000, 1_000_000, 1 << 15
 SCALE = 4096  # cost units in a bit
 PAD, CHUNK = b"   ", 1 << 17
 UNDETERMINED = "und"
@@ -154,6 +154,8 @@ def identify(docs: DataFrame, model: dict[str, Any], text: str = "text") -> Data
                 found = [s.judge(t) for t in batch.column(names.index(text)).to_pylist()]
                 new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, *added])
+        del s
+        release()
 
     return docs.mapInArrow(judge, plus(docs, lang_pred="string", score="double", bits_per_byte="double"))
 

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_spec
-from .runtime import cut, plus, rows_per_task, ship
+from .runtime import cut, plus, release, rows_per_task, ship
 
 CAPACITY, END_ID = 4096, 1
 #: Words kept encoded in a Python worker; the store is emptied when full.
-CACHE = 250_000
+CACHE = 150_000
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 #: Pieces in a cell of the rank count, on average over all lengths.
 CELL_ROWS = 20_000
@@ -83,10 +83,12 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", e
     def run(batches):
         spec, end = sent.value, int(end_id).to_bytes(4, "little")
         if (key := hash(spec)) not in _CODERS:
+            release()
             _CODERS[key] = WordCoder(spec)
+            release()
         c = _CODERS[key]
         for whole in batches:
-            for batch in rows_per_task(whole, text, 4 << 20):
+            for batch in rows_per_task(whole, text, 2 << 20):
                 packed = [x + end for x in c.encode_all([t or "" for t in batch.column(names.index(text)).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*names, ids])
 

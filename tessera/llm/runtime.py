@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -76,3 +78,12 @@ def rows_per_task(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> It
 def plus(df: DataFrame, **columns: str) -> StructType:
     """The schema of df with more columns, given as name=type."""
     return StructType([*df.schema.fields, *(StructField(k, _parse_datatype_string(v)) for k, v in columns.items())])
+
+
+def release() -> None:
+    """Give memory that a finished Python task has freed back to the system, as workers are reused for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
