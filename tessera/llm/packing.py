@@ -119,9 +119,9 @@ def cut_pieces(docs: DataFrame, ids: str = "ids", capacity: int = CAPACITY) -> D
     return docs.mapInArrow(run, plus(docs, piece="int", start="long", length="long", ids_crc32="long"))
 
 
-def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to gap; left: the count of each length."""
-    if left[gap]:
+def _exact(left: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] | None:
+    """Up to `most` (three) available lengths that sum to gap; left: the count of each length."""
+    if most and left[gap]:
         return (gap,)
 
     def pair(total: int, top: int) -> tuple[int, int] | None:
@@ -138,9 +138,9 @@ def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
         found = np.flatnonzero(both)
         return (low + int(found[-1]), total - low - int(found[-1])) if found.size else None
 
-    if two := pair(gap, gap):
+    if most > 1 and (two := pair(gap, gap)):
         return two
-    for a in np.flatnonzero(left[: gap - 1])[::-1]:
+    for a in [] if most < 3 else np.flatnonzero(left[: gap - 1])[::-1]:
         if 3 * a < gap:
             break
         left[a] -= 1
@@ -154,6 +154,23 @@ def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, number of such sequences) for counts of lengths from 1 to capacity.
 
+    Plans with complements of up to three, two, one and no further lengths are compared, as triples may use up short
+    lengths that long ones need; the first that meets the lower bound is taken, else the one with the fewest sequences.
+    """
+    bound = max(-(-sum(k * n for k, n in histogram.items()) // capacity), sum(n for k, n in histogram.items() if 2 * k > capacity))
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for most in (3, 2, 1, 0):
+        plan = _plan(histogram, capacity, most)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+        if sum(n for _, n in best) <= bound:
+            break
+    return best
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """One plan, with exact complements of up to `most` lengths.
+
     Each step uses up one length or one group of open sequences, so the number of entries is bounded by the number of
     distinct lengths times the steps for each, and doesn't grow with the counts.
     """
@@ -179,7 +196,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
             n = int(left[length])
             # Exact complements of a sequence that this length begins.
             left[length] -= 1
-            rest = _exact(left, capacity - length)
+            rest = _exact(left, capacity - length, most)
             left[length] += 1
             if rest:
                 need = defaultdict(int, {length: 1})
