@@ -29,8 +29,10 @@ from .runtime import cut, plus, release, rows_per_task, ship
 
 CAPACITY, END_ID = 4096, 1
 #: Words kept encoded in a Python worker; the store is emptied when full.
-CACHE = 150_000
+CACHE, LONG_WORD = 150_000, 64
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+#: Small letters of ASCII and Latin-1 in UTF-8: no normaliser changes them, and no pre-tokenizer cuts between them.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Pieces in a cell of the rank count, on average over all lengths.
 CELL_ROWS = 20_000
 
@@ -43,14 +45,24 @@ class WordCoder(dict):
     leave its ids alone and make fewer distinct parts: A-Z are lower-cased (as the normaliser does), and a space is put
     between a letter and a full stop or comma that ends a part (where the pre-tokenizer cuts anyway). Texts that may hold
     a special token (`<|`) are left as they are.
+
+    Parts of small Latin letters alone, nearly all of them, pass the normaliser unchanged as one piece. They are encoded
+    many in one text by a tokenizer with the same model that only cuts at spaces; where the model marks the last token of
+    a piece (`end_of_word_suffix`), its ids are cut at the marked tokens. Parts of over LONG_WORD bytes aren't stored.
     """
 
     def __init__(self, spec: bytes) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_buffer(spec)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocab = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.is_last = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.is_last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
     def words(self, text: str) -> list[bytes]:
         data = text.encode()
@@ -58,17 +70,34 @@ class WordCoder(dict):
             data = _STOP.sub(rb" \1", data.lower())
         return data.replace(b"\n", b" ").split(b" ")
 
+    def _store(self, new: list[bytes]) -> None:
+        """Encode and store words."""
+        letters = [w for w in new if _LETTERS.fullmatch(w)]
+        for at in range(0, len(letters), 10_000):
+            some = letters[at : at + 10_000]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.is_last[ids]) + 1)
+            if len(ends) == len(some):
+                packed = ids.tobytes()
+                self.update(zip(some, map(packed.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+        rest = [w for w in new if w not in self]
+        for at in range(0, len(rest), 1000):
+            some = rest[at : at + 1000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self[word] = array("I", found.ids).tobytes()
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         parts = [self.words(t) for t in texts]
         new = list(set().union(*parts) - self.keys())
         if len(self) + len(new) > CACHE:
             self.clear()
             new = list(set().union(*parts))
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self[word] = array("I", found.ids).tobytes()
-        return [b"".join(map(self.__getitem__, ws)) for ws in parts]
+        self._store(new)
+        done = [b"".join(map(self.__getitem__, ws)) for ws in parts]
+        for word in new:
+            if len(word) > LONG_WORD:
+                del self[word]
+        return done
 
 
 _CODERS: dict[int, WordCoder] = {}
