@@ -103,11 +103,8 @@ class WordCoder(dict):
 _CODERS: dict[int, WordCoder] = {}
 
 
-def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", end_id: int = END_ID) -> DataFrame:
-    """docs with packed little-endian ids of the whole text and the end id after them."""
-    ship(docs.sparkSession)
-    docs = docs.drop(ids)
-    sent, names = docs.sparkSession.sparkContext.broadcast(read_spec(path)), docs.columns
+def _encoding(sent, names: list[str], text: str, ids: str, end_id: int, kept: list[str]):
+    """Over batches with the columns names: the kept ones, and ids of the text with the end id after them."""
 
     def run(batches):
         spec, end = sent.value, int(end_id).to_bytes(4, "little")
@@ -119,19 +116,16 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", e
         for whole in batches:
             for batch in rows_per_task(whole, text, 2 << 20):
                 packed = [x + end for x in c.encode_all([t or "" for t in batch.column(names.index(text)).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*names, ids])
+                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), pa.array(packed, pa.binary())], [*kept, ids])
 
-    return docs.mapInArrow(run, plus(docs, **{ids: "binary"}))
+    return run
 
 
-def cut_pieces(docs: DataFrame, ids: str = "ids", capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece of at most capacity tokens: the input's columns with ids cut, and piece, start, length, ids_crc32.
+PIECE_COLUMNS = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long"}
 
-    Input columns of these names are replaced.
-    """
-    ship(docs.sparkSession)
-    docs = docs.drop("piece", "start", "length", "ids_crc32")
-    names = docs.columns
+
+def _cutting(names: list[str], ids: str, capacity: int, kept: list[str]):
+    """Over batches with the columns names: a row for each piece, with the kept columns and PIECE_COLUMNS."""
 
     def run(batches):
         for batch in batches:
@@ -141,11 +135,38 @@ def cut_pieces(docs: DataFrame, ids: str = "ids", capacity: int = CAPACITY) -> D
                     rows.append(i)
                     at.append(k)
                     out.append(x[4 * k : 4 * (k + capacity)])
-            taken = [pa.array(out, pa.binary()) if n == ids else batch.column(j).take(pa.array(rows, pa.int32())) for j, n in enumerate(names)]
+            taken = [pa.array(out, pa.binary()) if n == ids else batch.column(names.index(n)).take(pa.array(rows, pa.int32())) for n in kept]
             new = [pa.array([k // capacity for k in at], pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array([zlib.crc32(x) for x in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*taken, *new], [*names, "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*taken, *new], [*kept, *PIECE_COLUMNS])
+
+    return run
 
-    return docs.mapInArrow(run, plus(docs, piece="int", start="long", length="long", ids_crc32="long"))
+
+def tokenize(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", end_id: int = END_ID) -> DataFrame:
+    """docs with packed little-endian ids of the whole text and the end id after them."""
+    ship(docs.sparkSession)
+    docs = docs.drop(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    return docs.mapInArrow(_encoding(sent, docs.columns, text, ids, end_id, docs.columns), plus(docs, **{ids: "binary"}))
+
+
+def cut_pieces(docs: DataFrame, ids: str = "ids", capacity: int = CAPACITY) -> DataFrame:
+    """One row for each piece of at most capacity tokens: the input's columns with ids cut, and piece, start, length, ids_crc32.
+
+    Input columns of these names are replaced.
+    """
+    ship(docs.sparkSession)
+    docs = docs.drop(*PIECE_COLUMNS)
+    return docs.mapInArrow(_cutting(docs.columns, ids, capacity, docs.columns), plus(docs, **PIECE_COLUMNS))
+
+
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """doc_id and PIECE_COLUMNS of each piece of the documents, without ids: tokenize and cut_pieces in one Python worker."""
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    sent = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    encode, cut_up = _encoding(sent, docs.columns, "text", "ids", end_id, ["doc_id"]), _cutting(["doc_id", "ids"], "ids", capacity, ["doc_id"])
+    return docs.mapInArrow(lambda batches: cut_up(encode(batches)), plus(docs.select("doc_id"), **PIECE_COLUMNS))
 
 
 def _exact(left: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] | None:
@@ -308,8 +329,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset for documents (doc_id, text), one row for each piece."""
-    whole = tokenize(docs.select("doc_id", "text"), path, end_id=end_id).select("doc_id", "ids")
-    return place(cut(cut_pieces(whole, capacity=capacity).drop("ids"), "pieces"), capacity)
+    return place(cut(token_pieces(docs, path, capacity, end_id), "pieces"), capacity)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
