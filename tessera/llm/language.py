@@ -102,7 +102,7 @@ class Scorer:
 
     def __init__(self, m: dict[str, Any]) -> None:
         self.m, self.langs = m, m["langs"]
-        self.row3 = np.zeros(1 << 24, np.int32)
+        self.row3 = np.zeros(1 << 24, np.uint16 if len(m["g3"]) < 1 << 16 else np.int32)
         self.row3[m["g3"]] = np.arange(1, len(m["g3"]) + 1)
         self.slot = np.zeros(len(m["g3"]) + 1, np.int32)
         self.slot[m["held"] + 1] = np.arange(1, len(m["held"]) + 1)
