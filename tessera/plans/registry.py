@@ -53,6 +53,12 @@ toks as (select book_id, 'title' as field, {tok("title")} as t from src union al
 posts as (select distinct field, unnest(t) as term, book_id from toks)"""
 
 
+#: As POSTS, over whole first lines, and body, the whole text again as a field that may hold grams.
+WHOLE = f"""src as (select doc_id as book_id, string_split(text, chr(10))[1] as title, text as annotation, text as body from documents),
+toks as (select book_id, 'title' as field, {tok("title")} as t from src union all select book_id, 'annotation', {tok("annotation")} from src),
+posts as (select distinct field, unnest(t) as term, book_id from toks)"""
+
+
 def query(sql: str | None = None, base: bool = True):
     def add(f):
         QUERIES[f.__name__] = f
@@ -73,6 +79,12 @@ def documents_source(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("book_id"), F.substring(F.split("text", "\n")[0], 1, 200).alias("title"), F.col("text").alias("annotation"))
 
 
+def whole_source(spark: SparkSession, d: str) -> DataFrame:
+    """book_id, title (the whole first line), annotation and body (both the text) of the documents."""
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("book_id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("annotation"), F.col("text").alias("body"))
+
+
 SEARCH_AND = {"and": [{"range": "year", "from": 1996, "to": 1998}, {"term": "genre", "values": ["R1", "R3"], "children": True}, {"not": {"term": "lang", "values": ["5-LOW"]}}]}
 _AND_SQL = """, m as (select * from seen where year between 1996 and 1998 and lang <> '5-LOW'
   and book_id in (select book_id from genre_links join genres using (genre_code) where parent_code in ('R1', 'R3') or genre_code in ('R1', 'R3')))"""
@@ -366,6 +378,47 @@ def bm25_top(spark, d):
     return scored.select("book_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "book_id").limit(20)
 
 
+# The queries above that read a title of 200 characters, or three words of a passage, over whole texts and passages.
+
+
+@query(f"with {WHOLE} select field, term, book_id from posts", base=False)
+def index_postings_whole(spark, d):
+    return ix.postings(whole_source(spark, d), ["title", "annotation"])
+
+
+@query(f"""with {WHOLE}, t as (select book_id, list_aggregate({tok("body")}, 'string_agg', ' ') as t from src) select distinct 'body' as field, t[i:i + 2] as gram, book_id
+ from (select book_id, t, unnest(generate_series(1, len(t) - 2)) as i from t where len(t) >= 3)""", base=False)
+def index_grams_whole(spark, d):
+    return ix.grams(whole_source(spark, d), ["body"])
+
+
+@query(f"with {WHOLE} select 1::bigint as query_id, book_id from posts where field = 'annotation' and starts_with(term, 'therr') group by book_id", base=False)
+def text_prefix_whole(spark, d):
+    return st.search(_queries_frame(spark, "therr"), ix.postings(whole_source(spark, d), ["annotation"]), field="annotation", prefix=True)
+
+
+@query(f"with {WHOLE} select book_id from src where contains(list_aggregate({tok('body')}, 'string_agg', ' '), 'ing th')", base=False)
+def text_substring_whole(spark, d):
+    source = whole_source(spark, d)
+    return st.substring(source, ix.grams(source, ["body"]), "body", "ing th")
+
+
+@query(f"""with {WHOLE}, w as (select item_id as query_id, list_distinct({tok("text")}) as ws from benchmark), q as (select query_id, unnest(ws) as term, len(ws) as words from w)
+ select query_id, book_id from q join (select distinct term, book_id from posts) p using (term) group by query_id, book_id, words having count(*) = words""", base=False)
+def batch_search_whole(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return st.search(asked, ix.postings(whole_source(spark, d), ["annotation"]))
+
+
+@query(f"""with {WHOLE}, dl as (select book_id, count(*) as dl from posts group by 1), s as (select count(*) as n_books, avg(dl) as avgdl from dl),
+ f as (select term, book_id, sum(case field when 'title' then 10 else 1 end) as f from posts where term in ('erth', 'thnt') group by all), h as (select term, count(*) as n from f group by 1),
+ g as (select book_id, sum(greatest(ln((n_books - n + 0.5::double) / (n + 0.5::double)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score, count(*) as words from f join h using (term) join dl using (book_id), s group by 1)
+ select book_id, round(score, 6) as score from g where words = 2 order by round(score, 6) desc, book_id limit 20""", base=False)
+def bm25_top_whole(spark, d):
+    scored = st.bm25(_queries_frame(spark, "erth thnt"), ix.postings(whole_source(spark, d), ["title", "annotation"]))
+    return scored.select("book_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "book_id").limit(20)
+
+
 MARK = 12 * 2000 + 6
 
 
