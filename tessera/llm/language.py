@@ -19,21 +19,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import id_remainder, plus, release, rows_per_task, ship
+from .runtime import cut, id_remainder, plus, release, rows_per_task, ship
 
-#: Bounds of the training sample and of the trees: documents for each language, and four-byte strings over all languages.
-MAX_TRAIN_DOCS, MAX_GRAMS, MAX_CONTEXTS = 2000, 1_000_000, 1 << 15
+#: Bound of the training sample: documents for each language. Every four-byte string of the sample and its contexts are kept.
+MAX_TRAIN_DOCS = 2000
 SCALE = 4096  # cost units in a bit
 PAD, CHUNK = b"   ", 1 << 17
 UNDETERMINED = "und"
 
 
-def _codes(text: str) -> np.ndarray:
-    """All four-byte strings of a padded text as integers, one for each of its bytes."""
-    b = np.frombuffer(PAD + text.encode().lower(), np.uint8).astype(np.uint32)
+def _strings(data: bytes) -> np.ndarray:
+    """All four-byte strings as integers."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint32)
     return b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
 
 
+def _codes(text: str) -> np.ndarray:
+    """All four-byte strings of a padded text, one for each of its bytes."""
+    return _strings(PAD + text.encode().lower())
+
+
 def _count_grams(batches):
     for whole in batches:
         for batch in rows_per_task(whole, "text", 2 << 20):
@@ -55,79 +60,92 @@ def training_sample(docs: DataFrame, most: int = MAX_TRAIN_DOCS) -> DataFrame:
     return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
 
-def train(docs: DataFrame, most: int = MAX_TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> dict[str, Any]:
+def train(docs: DataFrame, most: int = MAX_TRAIN_DOCS) -> dict[str, Any]:
     """Cost tables from labelled documents (columns doc_id, lang, text). No labelled document gives a model without languages."""
     ship(docs.sparkSession)
     counts = training_sample(docs, most).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
-    return _tabulate(table["lang"].to_numpy(), table["gram"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
-
-
-def _tabulate(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> dict[str, Any]:
-    langs = sorted(set(lang))
-    n_lang = len(langs)
-    g4 = np.unique(gram)
-    g3 = np.unique(np.concatenate([g4 & 0xFFFFFF, g4 >> 8]))
-    cost = lambda p: np.round(-np.log2(p) * SCALE).astype(np.int32)
-    a1, e2 = (np.zeros((1 << 16, n_lang), np.int32) for _ in range(2))
-    a3, e3, a4 = np.zeros((len(g3) + 1, n_lang), np.int32), np.zeros((len(g3) + 1, n_lang), np.int32), np.zeros((len(g4) + 1, n_lang), np.int32)
-    row3_of_suffix, row3_of_context = np.searchsorted(g3, g4 & 0xFFFFFF), np.searchsorted(g3, g4 >> 8)
-    weight = np.zeros(len(g3), np.int64)
-
-    def predict(count, context, size, shorter):
-        """Probabilities of symbols after contexts, escaping to the shorter context's; and each context's escape."""
-        total, distinct = np.bincount(context, count, size), np.bincount(context, count > 0, size)
-        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-        return np.where(count > 0, count / np.maximum(total + distinct, 1)[context], escape[context] * shorter), escape
-
+    counts = cut(counts, "grams")  # counted once, for the names and for the table
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    number = F.lit(0)
     for k, name in enumerate(langs):
-        mine = lang == name
-        c4 = np.zeros(len(g4))
-        c4[np.searchsorted(g4, gram[mine])] = n[mine]
-        c3 = np.bincount(row3_of_suffix, c4, len(g3))
+        number = F.when(F.col("lang") == name, k).otherwise(number)
+    table = counts.select(number.cast("int").alias("k"), "gram", "n").toArrow()
+    return _tabulate(langs, *(table[c].to_numpy() for c in ("k", "gram", "n")))
+
+
+def _cost(p: np.ndarray) -> np.ndarray:
+    return np.round(-np.log2(p) * SCALE).astype(np.int32)
+
+
+def _predict(count: np.ndarray, context: np.ndarray, size: int, shorter: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of symbols after contexts, escaping to the shorter context's; and each context's escape."""
+    total, distinct = np.bincount(context, count, size), np.bincount(context, count > 0, size)
+    escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
+    return np.where(count > 0, count / np.maximum(total + distinct, 1)[context], escape[context] * shorter), escape
+
+
+def _sparse(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, where each key's entries begin, and the entries' languages and values, from (keys, values) by language."""
+    keys = np.concatenate([k for k, _ in parts]).astype(np.uint32)
+    lang = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(k) for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    found, begin = np.unique(keys[order], return_index=True)
+    return found, np.append(begin, len(keys)).astype(np.int64), lang[order], np.concatenate([v for _, v in parts]).astype(np.int32)[order]
+
+
+def _tabulate(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> dict[str, Any]:
+    """Costs: a dense table of the shortest contexts, and by sorted strings what a language adds that has seen them."""
+    if not langs:
+        return {"langs": []}
+    pairs = np.arange(1 << 16)
+    low, suffixes, contexts, grams = np.zeros((1 << 16, len(langs)), np.int32), [], [], []
+    escape_low = np.zeros_like(low)
+    for k in range(len(langs)):
+        mine = np.flatnonzero(lang == k)
+        g4, c4 = gram[mine], n[mine].astype(np.float64)
+        g3, of_suffix = np.unique(g4 & 0xFFFFFF, return_inverse=True)
+        before, of_context = np.unique(g4 >> 8, return_inverse=True)
+        c3 = np.bincount(of_suffix, c4, len(g3))
         c2 = np.bincount(g3 & 0xFFFF, c3, 1 << 16)
-        c1 = np.bincount(np.arange(1 << 16) & 0xFF, c2, 256)
-        p0, _ = predict(c1, np.zeros(256, np.int64), 1, 1 / 256)
-        p1, _ = predict(c2, np.arange(1 << 16) >> 8, 256, p0[np.arange(1 << 16) & 0xFF])
-        p2, escape2 = predict(c3, g3 >> 8, 1 << 16, p1[g3 & 0xFFFF])
-        p3, escape3 = predict(c4, row3_of_context, len(g3), p2[row3_of_suffix])
-        a1[:, k], e2[:, k], a3[1:, k], e3[1:, k], a4[1:, k] = cost(p1), cost(escape2), cost(p2), cost(escape3), cost(p3)
-        weight += np.bincount(row3_of_context, c4, len(g3)).astype(np.int64)
-    held = np.argsort(-weight, kind="stable")[:MAX_CONTEXTS]  # contexts of order 3; the others answer at order 2
-    return {"langs": langs, "g3": g3, "g4": g4, "held": held, "a1": a1, "e2": e2, "a3": a3, "e3": e3, "a4": a4}
+        c1 = np.bincount(pairs & 0xFF, c2, 256)
+        p0, _ = _predict(c1, np.zeros(256, np.int64), 1, 1 / 256)
+        p1, _ = _predict(c2, pairs >> 8, 256, p0[pairs & 0xFF])
+        p2, escape2 = _predict(c3, g3 >> 8, 1 << 16, p1[g3 & 0xFFFF])
+        p3, escape3 = _predict(c4, of_context, len(before), p2[of_suffix])
+        low[:, k], escape_low[:, k] = _cost(p1), _cost(escape2)
+        suffixes.append((g3, _cost(p2) - low[g3 & 0xFFFF, k] - escape_low[g3 >> 8, k]))
+        contexts.append((before, _cost(escape3)))
+        grams.append((g4, _cost(p3) - _cost(escape3)[of_context] - _cost(p2)[of_suffix]))
+    return {"langs": langs, "low": low, "escape_low": escape_low, "tables": [_sparse(suffixes), _sparse(contexts), _sparse(grams)]}
 
 
 class Scorer:
-    """Dense lookup tables of a model."""
+    """Lookups in a model."""
 
     def __init__(self, m: dict[str, Any]) -> None:
         self.m, self.langs = m, m["langs"]
-        self.row3 = np.zeros(1 << 24, np.uint16 if len(m["g3"]) < 1 << 16 else np.int32)
-        self.row3[m["g3"]] = np.arange(1, len(m["g3"]) + 1)
-        self.slot = np.zeros(len(m["g3"]) + 1, np.int32)
-        self.slot[m["held"] + 1] = np.arange(1, len(m["held"]) + 1)
-        self.child = np.zeros((len(m["held"]) + 1) * 256, np.int32)
-        at = self.slot[self.row3[m["g4"] >> 8]]
-        self.child[(at * 256 + (m["g4"] & 0xFF))[at > 0]] = np.arange(1, len(m["g4"]) + 1)[at > 0]
-        self.e3 = np.where((self.slot > 0)[:, None], m["e3"], 0)
+
+    def _add(self, total: np.ndarray, table: int, keys: np.ndarray, times: np.ndarray) -> None:
+        """Add to the languages what one sparse table holds for the keys, each that many times."""
+        held, begin, lang, value = self.m["tables"][table]
+        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        hit = held[at] == keys
+        at, times = at[hit], times[hit]
+        sizes = begin[at + 1] - begin[at]
+        ends = np.cumsum(sizes)
+        entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[at] - ends + sizes, sizes)
+        sums = np.bincount(lang[entry], value[entry] * np.repeat(times, sizes).astype(np.float64), len(self.langs))
+        total += np.rint(sums).astype(np.int64)  # exact: integers far below 2 ** 53
 
     def code_lengths(self, text: str) -> np.ndarray:
         """Cost of the whole text under each language."""
-        data, total = np.frombuffer(PAD + text.encode().lower(), np.uint8), np.zeros(len(self.langs), np.int64)
+        data, total = PAD + text.encode().lower(), np.zeros(len(self.langs), np.int64)
         for start in range(0, len(data) - 3, CHUNK):
-            b = data[start : start + CHUNK + 3].astype(np.int32)
-            two = b[1:-1] << 8 | b[2:]
-            three = self.row3[b[:-2] << 16 | two]
-            before, after = three[:-1], three[1:]
-            four = self.child[self.slot[before] * 256 + b[3:]]
-            total += self.m["a4"][four].sum(axis=0, dtype=np.int64)
-            if (miss := np.flatnonzero(four == 0)).size:
-                total += self.e3[before[miss]].sum(axis=0, dtype=np.int64)
-                known = after[miss]
-                total += self.m["a3"][known].sum(axis=0, dtype=np.int64)
-                if (rare := miss[known == 0]).size:
-                    pair = two[1:][rare]
-                    total += self.m["e2"][two[:-1][rare]].sum(axis=0, dtype=np.int64) + self.m["a1"][pair].sum(axis=0, dtype=np.int64)
+            grams, times = np.unique(_strings(data[start : start + CHUNK + 3]), return_counts=True)
+            last = grams & np.uint32(0xFFFFFF)
+            total += times @ self.m["low"][last & np.uint32(0xFFFF)] + times @ self.m["escape_low"][last >> np.uint32(8)]
+            for table, keys in enumerate((last, grams >> np.uint32(8), grams)):
+                self._add(total, table, keys, times)
         return total
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
