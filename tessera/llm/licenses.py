@@ -1,16 +1,14 @@
-"""License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
+"""License scans: an index of all template shingles retrieves candidates, exact containment in sliding windows verifies them.
 
-Words are runs of letters and digits, lower-cased; shingles are WIDTH words. A template of n shingles is sought in windows
-of two neighbouring blocks of B shingles each, B the power of two at or above n, so any copy lies inside one window.
-A copy that contains CONTAINMENT of the template has a similarity of at least `floor_similarity` to its window; with
-bands of one hash, as many bands are taken as keep the chance of missing it at MISS. Survivors are verified exactly.
+Words are runs of letters and digits, lower-cased; shingles are WIDTH words. A template of n shingles is sought in every
+window of 2 B shingles, B the power of two at or above n, whatever its offset: so a copy that keeps CONTAINMENT of the
+template's shingles is found, altered or not, if it is stretched to 2 B shingles (2 n at least) at most. No copy is missed.
 
 Null and short texts match nothing. A document is reported once for each template, with its best window.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 
@@ -20,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .runtime import rows_per_task, ship
 
-WIDTH, CONTAINMENT, MISS, CACHE = 3, 0.8, 1e-6, 250_000
+WIDTH, CONTAINMENT, CACHE = 3, 0.8, 250_000
 #: Short public license notices, by name.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -38,15 +36,6 @@ WORDS = re.compile(r"[^\W_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def floor_similarity(containment: float = CONTAINMENT) -> float:
-    """The least similarity of a window to a template it contains: n > B / 2 shingles in a window of 2 B."""
-    return containment * 0.5 / (2 + (1 - containment) * 0.5)
-
-
-def band_count(containment: float = CONTAINMENT, miss: float = MISS) -> int:
-    return math.ceil(math.log(miss) / math.log1p(-floor_similarity(containment)))
-
-
 class _Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
@@ -72,53 +61,56 @@ def shingle_hashes(text: str) -> np.ndarray:
 
 
 class Scanner:
-    """Templates and the tables that retrieve them."""
+    """Templates and the index of their shingles."""
 
     def __init__(self, templates: dict[str, str], containment: float) -> None:
         self.names, self.containment = sorted(templates), containment
         self.sets = [np.unique(shingle_hashes(templates[n])) for n in self.names]
         if any(not len(s) for s in self.sets):
             raise ValueError(f"a template needs {WIDTH} words")
-        self.blocks = [1 << (len(s) - 1).bit_length() for s in self.sets]
-        self.bands = band_count(containment)
-        rng = np.random.Generator(np.random.PCG64(2))
-        self.mul = rng.integers(1, 1 << 63, self.bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.near, self.exact = {}, {}
-        for block in sorted(set(self.blocks)):
-            near, exact = np.zeros((self.bands, 1 << 16), bool), {}
-            for t in (t for t, b in enumerate(self.blocks) if b == block):
-                for band, low in enumerate((self.sets[t][None] * self.mul[:, None]).min(axis=1)):
-                    near[band, int(low) >> 48] = True
-                    exact.setdefault((band, int(low)), []).append(t)
-            self.near[block], self.exact[block] = near, exact
+        self.windows = [2 << (len(s) - 1).bit_length() for s in self.sets]
+        keys = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begin = np.unique(keys[order], return_index=True)
+        self.begin = np.append(self.begin, len(keys))
+        self.owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])[order]
+        self.near = np.zeros(1 << 16, bool)
+        self.near[(self.keys >> np.uint64(48)).astype(np.intp)] = True
 
     def scan(self, text: str | None) -> list[tuple[str, float, int]]:
         """(template, containment, first word of the window's match), the best window of each template found."""
         h = shingle_hashes(text or "")
-        best: dict[int, tuple[float, int]] = {}
-        rows = np.arange(self.bands)[:, None]
-        for part in range(0, len(h), 1 << 14):  # parts overlap by the longest window
-            self._scan_part(h, part, min(len(h), part + (1 << 14) + 2 * max(self.blocks)), rows, best)
-        return [(self.names[t], c, at) for t, (c, at) in sorted(best.items())]
-
-    def _scan_part(self, h: np.ndarray, begin: int, end: int, rows: np.ndarray, best: dict) -> None:
-        low, size = h[None, begin:end] * self.mul[:, None], 1
-        for block in sorted(self.near):
-            while size < block:  # minima of aligned blocks, doubled
-                if low.shape[1] % 2:
-                    low = np.concatenate([low, np.full((self.bands, 1), np.iinfo(np.uint64).max, np.uint64)], axis=1)
-                low, size = np.minimum(low[:, ::2], low[:, 1::2]), 2 * size
-            windows = np.minimum(low[:, :-1], low[:, 1:]) if low.shape[1] > 1 else low
-            hits = self.near[block][rows, (windows >> np.uint64(48)).astype(np.intp)]
-            if not hits.any():
-                continue
-            found = {(int(w), t) for band, w in zip(*np.nonzero(hits), strict=True) for t in self.exact[block].get((int(band), int(windows[band, w])), ())}
-            for w, t in sorted(found):
-                window = h[begin + w * block : begin + (w + 2) * block]
-                same = np.flatnonzero(np.isin(window, self.sets[t]))
-                c = len(np.unique(window[same])) / len(self.sets[t])
-                if c >= self.containment and (t not in best or c > best[t][0]):
-                    best[t] = (c, begin + w * block + int(same[0]))
+        at = np.flatnonzero(self.near[(h >> np.uint64(48)).astype(np.intp)])
+        key = np.searchsorted(self.keys, h[at])
+        held = key < len(self.keys)
+        at, key = at[held], key[held]
+        same = self.keys[key] == h[at]
+        at, key = at[same], key[same]
+        sizes = self.begin[key + 1] - self.begin[key]
+        ends = np.cumsum(sizes)
+        owner = self.owner[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[key] - ends + sizes, sizes)]
+        at, key = np.repeat(at, sizes), np.repeat(key, sizes)
+        found = []
+        for t in np.unique(owner):
+            mine = owner == t
+            c, first = self._best(at[mine], key[mine], self.windows[t])
+            if c / len(self.sets[t]) >= self.containment:
+                found.append((self.names[t], c / len(self.sets[t]), first))
+        return found
+
+    @staticmethod
+    def _best(at: np.ndarray, key: np.ndarray, window: int) -> tuple[int, int]:
+        """The most distinct shingles in a window that begins at a hit, and the first such window's begin."""
+        n = len(at)
+        order = np.argsort(key, kind="stable")
+        last = np.full(n, -1)  # the hit before of the same shingle
+        again = key[order[1:]] == key[order[:-1]]
+        last[order[1:][again]] = order[:-1][again]
+        # A hit counts once in the windows that begin after that one, at most a window's length before it.
+        change = np.bincount(np.maximum(last + 1, np.searchsorted(at, at - window + 1)), minlength=n + 1) - np.bincount(np.arange(1, n + 1), minlength=n + 1)
+        distinct = np.cumsum(change)[:n]
+        best = int(distinct.argmax())
+        return int(distinct[best]), int(at[best])
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
