@@ -26,6 +26,7 @@ MAX_TRAIN_DOCS = 2000
 SCALE = 4096  # cost units in a bit
 PAD, CHUNK = b"   ", 1 << 17
 UNDETERMINED = "und"
+PLAIN_BITS = 8.0  # bits for a byte that no model helps to code
 
 
 def _strings(data: bytes) -> np.ndarray:
@@ -119,6 +120,10 @@ def _tabulate(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
     return {"langs": langs, "low": low, "escape_low": escape_low, "tables": [_sparse(suffixes), _sparse(contexts), _sparse(grams)]}
 
 
+def lettered(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 class Scorer:
     """Lookups in a model."""
 
@@ -150,12 +155,16 @@ class Scorer:
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """Language, its posterior under equal priors, and bits for each byte."""
-        if text is None or not self.langs or not any(map(str.isalpha, text)):
+        if not self.langs or not lettered(text):
             return UNDETERMINED, 0.0, 0.0
         bits = self.code_lengths(text) / SCALE
         best = int(bits.argmin())
         return self.langs[best], 1.0 / sum(2.0 ** max(-1000.0, bits[best] - x) for x in bits), float(bits[best]) / max(1, len(text.encode()))
 
+    def known(self, text: str | None) -> bool:
+        """Whether the text has letters and, if any language was learnt, is in one of them."""
+        return lettered(text) and (not self.langs or self.judge(text)[2] < PLAIN_BITS)
+
 
 def identify(docs: DataFrame, model: dict[str, Any], text: str = "text") -> DataFrame:
     """docs with lang_pred, score and bits_per_byte; a narrow step. An input column of such a name is replaced."""
@@ -189,6 +198,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found, with the columns of the input."""
+    """Documents with a letter whose best language codes them in fewer than 8 bits a byte, with the columns of the input.
+
+    At 8 bits a byte a model knows nothing of a text: hex or base64 dumps and other scripts. Where no language could be
+    learnt, every document with a letter stays.
+    """
     model = train(_trainable(docs.select("doc_id", "lang", "text")))
-    return identify(docs, model).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    sent = spark.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def kept(batches):
+        s = Scorer(sent.value)  # freed with the task
+        for whole in batches:
+            for batch in rows_per_task(whole, "text"):
+                yield batch.filter(pa.array([s.known(t) for t in batch.column(names.index("text")).to_pylist()], pa.bool_()))
+        del s
+        release()
+
+    return docs.mapInArrow(kept, docs.schema)
