@@ -6,6 +6,7 @@ Null ids pass through; repeated rows give repeated results; other columns of the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,11 +89,11 @@ def measures(text: str) -> Column:
     )
 
 
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
-    """All rules as one boolean expression over the measures; true where every rule holds."""
+def compile_rules(rules: tuple[Rule, ...] = RULES, measure: Callable[[str], Column] = F.col) -> Column:
+    """All rules as one boolean expression over the measures, by name; true where every rule holds."""
     verdict = F.lit(True)
     for rule in rules:
-        over, under = F.col(rule.over), F.col(rule.under)
+        over, under = measure(rule.over), measure(rule.under)
         if rule.low is not None:
             verdict = verdict & (over * 1000 >= under * round(rule.low * 1000))
         if rule.high is not None:
@@ -100,12 +101,15 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
+def fails_base(measure: Callable[[str], Column] = F.col) -> Column:
+    return (measure("n_words") < MIN_WORDS) | (100 * measure("n_repeat_words") > MAX_REPEAT_PERCENT * measure("n_words"))
+
+
 def score_quality(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The columns of keep, the measures, base_failed and kept, one row for each input row; a narrow projection."""
     counted = df.select(*keep, measures(f"`{text}`").alias("m_"))
     flat = counted.select(*keep, "m_.*")
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return flat.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    return flat.withColumn("base_failed", fails_base()).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +118,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep all rules, with the columns of the input."""
-    names = docs.columns
-    scored = score_quality(docs, keep=tuple(names)) if not set(names) & {"kept", "base_failed"} else None
-    if scored is None:
-        raise ValueError("documents already carry a verdict column")
-    return scored.filter("kept").select(*names)
+    # No column is added, so none of the input can clash with the measures' names.
+    verdict = F.transform(F.array(measures("`text`")), lambda m: ~fails_base(m.getField) & compile_rules(RULES, m.getField))
+    return docs.filter(verdict[0])
 
 
 _SQL_GAP = r"[\x20\x09-\x0D]+"
