@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.catalog import Catalog
 
 
-def closure(genres: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(root, code, depth): every code with itself and all its descendants, each pair once; cycles end as no new pair appears."""
+def _written(df: DataFrame) -> DataFrame:
+    """df by way of a table in spark.checkpoint.dir (a new folder where it is unset), so that its lineage ends."""
+    conf = df.sparkSession.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/tessera-{uuid.uuid4().hex}/closure"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def closure(genres: DataFrame, cut_every: int = 3) -> DataFrame:
+    """(root, code, depth): every code with itself and all its descendants, each pair once; cycles end as no new pair appears.
+
+    Trees of any depth; every few levels the lineage is cut by written tables.
+    """
     found = step = genres.select(F.col("genre_code").alias("root"), F.col("genre_code").alias("code"), F.lit(0).alias("depth"))
     edges = genres.select(F.col("parent_code").alias("code"), F.col("genre_code").alias("child"))
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         step = step.join(edges, "code").select("root", F.col("child").alias("code"), F.lit(depth).alias("depth")).join(found, ["root", "code"], "left_anti").distinct()
+        if depth % cut_every == 0:
+            step, found = _written(step), _written(found)
         if step.isEmpty():
             return found
         found = found.unionByName(step)
-    return found
 
 
 def subtree_counts(cat: Catalog) -> DataFrame:
