@@ -17,6 +17,8 @@ from tessera.sources.catalog import Catalog, author_name
 #: Field: rows shown, order by value instead of by count.
 FIELDS = {"lang": (20, False), "ext": (20, False), "genre": (20, False), "year": (200, True), "lib_rate": (200, True), "author": (20, False), "series": (20, False)}
 
+SALTS = 64
+
 
 def _field(leaf: Tree) -> str | None:
     return leaf.get("term") or leaf.get("ids") or leaf.get("number") or leaf.get("range") or leaf.get("flag")
@@ -57,6 +59,9 @@ def facets(cat: Catalog, tree: Tree | None, fields: list[str], user: int = 1, ze
     by_count = Window.partitionBy("field").orderBy("pin", F.desc("n"), tie, "value")
     most = reduce(lambda c, f: F.when(F.col("field") == f, FIELDS[f][0]).otherwise(c), fields, F.lit(20))
     size = Window.partitionBy("field")
+    # First ranked within hashed salts of a field, so that no task sorts a whole dictionary.
+    by_salt = Window.partitionBy("field", "salt").orderBy("pin", F.desc("n"), tie, "value")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS))).withColumn("rank", F.row_number().over(by_salt)).filter(F.col("rank") <= most + 1).drop("salt", "rank")
     top = rows.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= most + 1).withColumn("truncated", F.max("rank").over(size) > most).filter(F.col("rank") <= most)
     if zero_rows and pins:
         asked = cat.books.sparkSession.createDataFrame(pins, "field string, value string")  # the selected values of one query
