@@ -3,24 +3,30 @@
 A document is the set of its distinct shingles of `width` words (words: runs of characters other than space and
 U+0009..U+000D, A-Z lower-cased); with fewer words, the whole sequence is one shingle; null text and text without words
 has no shingle and no link. Two documents are linked where 100 * |A and B| >= percent * |A or B|. Sets are held as
-64-bit hashes of shingles.
+64-bit hashes of shingles, signatures as 120 minimum hashes, banded, of which a byte each is kept (equal hashes have
+equal bytes, so no link is lost by that).
 
 1. Equal sets form one class, whose smallest id stands for it.
-2. Signatures of 120 minimum hashes are banded; classes that share a band, directly or by others, form a candidate group.
-3. A group of up to BLOCK classes is settled in one task; a larger one is dealt as pairs of blocks over many tasks, so
-   that no task holds more than two blocks. In a task, a pair that shares a band and isn't connected yet is compared by
-   batches of its signatures, and dropped once the posterior probability of a link (uniform prior, binomial matches)
-   falls below MISS; survivors are verified on full sets. Each task returns at most one link for each of its classes.
-4. Links are joined into components; all documents of a class get its component.
-
-Nulls: a null id links with nothing; its component_id is null and it is kept. Rows that repeat an id are one document
-and each is returned. No cap on candidates, bucket sizes or links.
+2. Within a bucket, classes that share a band, pairs not connected yet are compared by batches of their signatures and
+   dropped once the posterior probability of a link (uniform prior, binomial matches) falls below MISS. What is left is
+   reported as a spanning forest: fewer links than members. Buckets above BUCKET rows are dealt as pairs of blocks.
+3. The forests' components are groups, which hold every linked pair. A group of up to BLOCK classes (and BLOCK_SHINGLES
+   shingles) is settled in one task on full sets, pairs that are not connected yet only; survivors are verified exactly.
+4. A larger group is first dealt twice into random blocks, which connects nearly all that is linked at one copy of a set a
+   round. Then blocks of classes that are still apart are compared in pairs; blocks of one component never meet.
+5. Links are joined into components; all documents of a class get its component.
+
+Nulls: a null id links with nothing; its component_id is null and it is kept. Rows that repeat an id are one document and
+each is returned with its own n_shingles; of different texts of one id the one with most shingles (ties: by a hash)
+counts. Very long texts only make larger sets, which count for the blocks' size. An empty table gives none. Only the id and
+the text are read, so other columns can't clash. No cap on candidates, bucket sizes or links.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import groupby
+from collections.abc import Callable
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import bounded_broadcast, cut, release, rows_per_task, ship
+from .runtime import bounded_broadcast, cut, join_sized, release, rows_per_task, ship
 
 WIDTH, PERCENT = 5, 80
 HASHES, BATCH = 120, 30
 #: Largest probability of missing a linked pair, by banding and by each pruning step.
 MISS = 1e-6
-BLOCK = 512
+#: Classes, and shingles on average, of a group that one task settles; rows of a bucket that one task compares.
+BLOCK, BLOCK_SHINGLES, BUCKET = 512, 4_000_000, 2048
 CACHE = 250_000
 
 
@@ -99,134 +106,252 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def sign(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set) and sig for each document."""
+def band_keys(sigs: np.ndarray, rows: int) -> np.ndarray:
+    """Hashes of each signature's bands, which tell the bands apart."""
+    parts = sigs.reshape(len(sigs), -1, rows).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(rows):
+        keys = (keys ^ parts[:, :, k]) * _STEP
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def sign(docs: DataFrame, width: int, rows: int, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, set_key, bands (hashes) and sig (a byte of each minimum hash); the last three null for an empty set."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in (part for whole in batches for part in rows_per_task(whole, "text")):
             sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            sigs = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+            sigs = [signature(s) if len(s) else None for s in sets]
+            bands = [None if s is None else band_keys(s[None], rows)[0].view(np.int64) for s in sigs]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in sigs], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "set_key", "bands", "sig"])
         _WORDS.clear()
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<bigint>, sig binary")
 
 
-def settle(ids: np.ndarray, side: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int, rows: int) -> list[tuple[int, int]]:
-    """Verified links that connect what is linked among some classes; with two sides, only pairs across are compared."""
-    order = np.argsort(ids, kind="stable")
-    ids, side, sigs, sets = ids[order], side[order], sigs[order], [sets[i] for i in order]
-    n, least, across = len(ids), prune_below(percent), side.min() != side.max()
-    bands = np.zeros((n, HASHES // rows), np.uint64)
-    for k in range(rows):
-        bands = (bands ^ sigs[:, k::rows]) * _STEP
-        bands ^= bands >> np.uint64(31)
-    size = np.array([len(s) for s in sets])
-    dense, starts = np.unique(np.concatenate(sets), return_inverse=True)[1], np.concatenate([[0], np.cumsum(size)])
-    marked = np.zeros(int(dense.max()) + 1, bool)
+def surviving(x: np.ndarray, y: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of signature rows outlast the pruning, batch by batch, and their numbers of matches."""
+    at, same = np.arange(max(len(x), len(y))), np.zeros(max(len(x), len(y)), np.int64)
+    x, y = np.broadcast_to(x, (len(at), HASHES)), np.broadcast_to(y, (len(at), HASHES))
+    for step, fewest in enumerate(least):
+        part = slice(step * BATCH, (step + 1) * BATCH)
+        same = same + (x[at, part] == y[at, part]).sum(axis=1)
+        at, same = at[same >= fewest], same[same >= fewest]
+    return at, same
+
+
+def forest(ids: np.ndarray, side: np.ndarray, label: np.ndarray, size: np.ndarray, sigs: np.ndarray, percent: int, confirm: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is linked among some documents and isn't by their labels, fewer than documents.
 
-    label, links = np.arange(n), []  # label: the component of each, kept up to date
-    for p in range(n - 1):
+    With two sides, only pairs across are compared. confirm decides on two positions; without it the signatures do.
+    """
+    least, across = prune_below(percent), side.min() != side.max()
+    label, links = np.unique(label, return_inverse=True)[1], []
+    for p in range(len(ids) - 1):
         near = label[p + 1 :] != label[p]
         if across:
             near &= side[p + 1 :] != side[p]
         q = np.flatnonzero(near) + p + 1
-        if not q.size:
-            continue
-        q = q[(bands[q] == bands[p]).any(axis=1)]
         q = q[np.minimum(size[q], size[p]) * 100 >= percent * np.maximum(size[q], size[p])]
-        same = np.zeros(len(q), np.int64)
-        for step, fewest in enumerate(least):
-            if not q.size:
-                break
-            at = slice(step * BATCH, (step + 1) * BATCH)
-            same = same + (sigs[q, at] == sigs[p, at]).sum(axis=1)
-            q, same = q[same >= fewest], same[same >= fewest]
         if not q.size:
             continue
-        mine = dense[starts[p] : starts[p + 1]]
-        marked[mine] = True
-        for x in q[np.argsort(-same, kind="stable")]:
-            if label[x] == label[p]:
-                continue
-            both = int(np.count_nonzero(marked[dense[starts[x] : starts[x + 1]]]))
-            if 100 * both >= percent * (int(size[p]) + int(size[x]) - both):
+        at, same = surviving(sigs[q], sigs[p : p + 1], least)
+        for x in q[at[np.argsort(-same, kind="stable")]]:
+            if label[x] != label[p] and (confirm is None or confirm(p, int(x))):
                 links.append((int(ids[p]), int(ids[x])))
                 low, high = sorted((label[p], label[x]))
                 label[label == high] = low
-        marked[mine] = False
     return links
 
 
-def _settle_groups(percent: int, rows: int):
+def settle(ids: np.ndarray, side: np.ndarray, label: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """forest, verified on full sets."""
+    order = np.argsort(ids, kind="stable")
+    sets, size = [sets[i] for i in order], np.array([len(sets[i]) for i in order])
+    dense, starts = np.unique(np.concatenate(sets), return_inverse=True)[1], np.concatenate([[0], np.cumsum(size)])
+    marked, held = np.zeros(int(dense.max(initial=0)) + 1, bool), [-1]
+
+    def confirm(p: int, x: int) -> bool:
+        if held[0] != p:
+            marked[:] = False
+            marked[dense[starts[p] : starts[p + 1]]] = True
+            held[0] = p
+        both = int(np.count_nonzero(marked[dense[starts[x] : starts[x + 1]]]))
+        return 100 * both >= percent * (int(size[p]) + int(size[x]) - both)
+
+    return forest(ids[order], side[order], label[order], size, sigs[order], percent, confirm)
+
+
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _settle_groups(percent: int, width: int):
+    """Over rows group, part, side, doc_id, label, sig and text, sorted by the first two: verified links of each part of a group."""
+
     def flush(held):
-        return settle(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held]), np.array([np.frombuffer(r[2], np.uint32) for r in held]), [np.frombuffer(r[3], np.uint64) for r in held], percent, rows)
+        best: dict[int, tuple] = {}  # of one id's texts, the one that counts
+        for side, doc_id, label, sig, text in held:
+            s = shingles(text, width)
+            key = (len(s), xxhash.xxh3_128_digest(s.tobytes()))
+            if doc_id not in best or best[doc_id][0] < key:
+                best[doc_id] = (key, side, label, sig, s)
+        ids = list(best)
+        column = lambda i: [best[x][i] for x in ids]
+        return settle(np.array(ids, np.int64), np.array(column(1)), np.array(column(2), np.int64), np.array([np.frombuffer(x, np.uint8) for x in column(3)]), column(4), percent)
 
     def run(batches):
         def stream():
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+                yield from zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
 
         links: list[tuple[int, int]] = []
         for _, part in groupby(stream(), key=lambda r: r[:2]):
             links += flush([r[2:] for r in part])
             if len(links) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+                yield _links(links)
                 links = []
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+        yield _links(links)
+        _WORDS.clear()
         release()
 
     return run
 
 
-def _with_sets(docs: DataFrame, width: int) -> DataFrame:
+def _link_buckets(percent: int):
+    """Over rows key, part, side, doc_id, n_shingles and sig, sorted by the first two and doc_id: each bucket's forest by signatures."""
+
     def run(batches):
-        for batch in (part for whole in batches for part in rows_per_task(whole, "text")):
-            packed = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
-        _WORDS.clear()
+        least, rest = prune_below(percent), None
+        for batch in chain(batches, [None]):
+            if batch is None and rest is None:
+                break
+            if batch is not None:
+                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                new.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, HASHES))
+                rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            key, part, side, ids, size, sigs = rest
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(key))
+            if batch is not None and len(starts):  # the last bucket may go on
+                rest = [x[starts[-1] :] for x in rest]
+                starts, ends = starts[:-1], ends[:-1]
+            two = starts[ends - starts == 2]
+            two = two[(np.minimum(size[two], size[two + 1]) * 100 >= percent * np.maximum(size[two], size[two + 1])) & (ids[two] != ids[two + 1])]
+            found = two[surviving(sigs[two], sigs[two + 1], least)[0]] if len(two) else two
+            links = list(zip(ids[found].tolist(), ids[found + 1].tolist(), strict=True))
+            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+                links += forest(ids[s:e], side[s:e], ids[s:e], size[s:e], sigs[s:e], percent)
+            yield _links(sorted(set(links)))
+            if batch is None:
+                break
         release()
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return run
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", block: int = BLOCK) -> DataFrame:
+def _in_pairs_of_blocks(rows: DataFrame, blocks: str, *kept: str) -> DataFrame:
+    """rows dealt by a hash of doc_id to `blocks` blocks, once for each pair of blocks that holds the own one: part, side and kept."""
+    mine = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("low"), F.greatest(x, F.col("mine")).alias("high")))
+    paired = mine.withColumn("pair", F.explode(others))
+    return paired.select((F.col("pair.low") * F.col(blocks) + F.col("pair.high")).cast("long").alias("part"), ((F.col("pair.low") != F.col("pair.high")) & (F.col("mine") == F.col("pair.high"))).cast("int").alias("side"), *kept)
+
+
+def candidate_links(reps: DataFrame, percent: int, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b) that the signatures leave in the buckets of reps (doc_id, n_shingles, bands, sig): a spanning forest of each bucket."""
+    banded = reps.select("doc_id", F.explode("bands").alias("key"))
+    buckets = cut(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = join_sized(banded, buckets, "key", "n").withColumn("blocks", F.ceil(F.col("n") / bucket).cast("int"))
+    dealt = _in_pairs_of_blocks(shared.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id"), "blocks", "key", "doc_id", "n_shingles", "sig")
+    rows = dealt.select("key", "part", "side", "doc_id", "n_shingles", "sig")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(_link_buckets(percent), "a long, b long")
+
+
+def verified_links(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b), verified on full sets, that connect what is linked in each group. members: doc_id, group, n_shingles, sig (written)."""
+    texts = docs.join(bounded_broadcast(members.select("doc_id"), members.count()), "doc_id", "left_semi")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    groups = cut(members.groupBy("group").agg(F.count("*").alias("n"), blocks.alias("blocks")), "groups")
+    sized = join_sized(members, groups, "group", "n")
+
+    def verify(dealt: DataFrame, name: str) -> DataFrame:
+        rows = dealt.join(texts, "doc_id").select("group", "part", "side", "doc_id", "label", "sig", "text")
+        return cut(rows.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(_settle_groups(percent, width), "a long, b long"), name)
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = components(links, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+        return large.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+    def random_block(number: int):
+        return F.pmod(F.xxhash64("doc_id", F.lit(number)), F.col("blocks")).cast("string").alias("part")
+
+    links = verify(sized.select("group", random_block(1), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"), "sig"), "links")
+    if groups.filter("blocks > 1").isEmpty():
+        return links
+    large = cut(sized.filter("blocks > 1"), "large")
+    links = links.unionByName(verify(labelled(links).select("group", random_block(2), F.lit(0).alias("side"), "doc_id", "label", "sig"), "links"))
+
+    # What is still apart in a group: a label of many classes has blocks of its own, the others share blocks (own: -1).
+    left = cut(labelled(links), "left")
+    by_label = left.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    by_label = by_label.withColumn("own", F.when(F.col("n") * 2 > block, F.col("label")).otherwise(-1))
+    cells = by_label.groupBy("group", "own").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("s") / BLOCK_SHINGLES)).cast("int").alias("cells"))
+    lists = cells.groupBy("group").agg(F.sum("labels").alias("labels"), F.sum("n").alias("n"), F.collect_list(F.struct("own", "cells")).alias("all"), F.collect_set("own").alias("owns")).filter("labels > 1")
+    lists = cut(lists, "lists")
+    if lists.isEmpty():
+        return links
+    placed = join_sized(left.select("group", "doc_id", "label", "sig"), lists, "group", "n")
+    placed = placed.withColumn("own", F.when(F.array_contains("owns", F.col("label")), F.col("label")).otherwise(-1))
+    width_of = F.filter("all", lambda c: c["own"] == F.col("own"))[0]["cells"]
+    placed = placed.withColumn("mine", F.struct(F.col("own"), F.pmod(F.xxhash64("doc_id"), width_of).cast("int").alias("cell")))
+    # Blocks of one component alone never meet, themselves included.
+    met = F.filter("all", lambda c: (c["own"] != F.col("own")) | (c["own"] == -1))
+    others = F.flatten(F.transform(met, lambda c: F.transform(F.sequence(F.lit(0), c["cells"] - 1), lambda i: F.struct(c["own"].alias("own"), i.cast("int").alias("cell")))))
+    paired = placed.withColumn("other", F.explode(others)).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    part = F.concat_ws("|", "low.own", "low.cell", "high.own", "high.cell")
+    side = ((F.col("low") != F.col("high")) & (F.col("mine") == F.col("high"))).cast("int")
+    return links.unionByName(verify(paired.select("group", part.alias("part"), side.alias("side"), "doc_id", "label", "sig"), "links"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each document."""
-    spark, rows = docs.sparkSession, band_rows(percent)
+    rows = band_rows(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(sign(docs, width), "signed")
-    known = signed.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copies = classes.filter("n > 1").select("set_key", "rep")
-    followers = known.join(copies, "set_key").filter("doc_id <> rep").select("doc_id", "rep")
-    reps = known.join(followers.select("doc_id"), "doc_id", "left_anti")
-
-    bytes_in_band = 4 * rows
-    keys = [F.xxhash64(F.substring("sig", 1 + k * bytes_in_band, bytes_in_band), F.lit(k)) for k in range(HASHES // rows)]
-    banded = reps.select("doc_id", F.explode(F.array(*keys)).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key", "low")
-    groups = components(banded.join(buckets, "key").select("doc_id", "low"), "doc_id", "low")
-
+    signed = cut(sign(docs, width, rows), "signed")
+    linkable = F.col("doc_id").isNotNull() & F.col("set_key").isNotNull()
+    known = all_known = signed.filter(linkable)
+    repeated = cut(known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    n_repeated = repeated.count()
+    if n_repeated:
+        repeated = bounded_broadcast(repeated, n_repeated)
+        best = known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "set_key", "bands", "sig"), F.struct("n_shingles", "set_key")).alias("x")).select("doc_id", "x.*")
+        known = cut(known.join(repeated, "doc_id", "left_anti").unionByName(best), "known")
+
+    classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    copies = join_sized(known.select("doc_id", "set_key"), classes.filter("n > 1"), "set_key", "n").filter("doc_id <> rep").select("doc_id")
+    reps = cut(known.join(copies, "doc_id", "left_anti").drop("set_key"), "reps")
+    groups = components(candidate_links(reps, percent, bucket), "a", "b")
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
-    members = cut(groups.unionByName(roots).select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "members")
-    n_members = members.count()
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "group").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    sets = _with_sets(docs.join(bounded_broadcast(members.select("doc_id"), n_members), "doc_id", "left_semi").select("doc_id", "text"), width).dropDuplicates(["doc_id"])
-    full = dealt.join(sets, "doc_id").join(signed.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("low"), F.greatest(x, F.col("mine")).alias("high")))
-    tasks = full.withColumn("pair", F.explode(others)).select("group", (F.col("pair.low") * F.col("blocks") + F.col("pair.high")).cast("long").alias("part"), "doc_id", F.when(F.col("pair.low") == F.col("pair.high"), 0).when(F.col("mine") == F.col("pair.low"), 0).otherwise(1).alias("side"), "sig", "shingles")
-    settled = tasks.repartition("group", "part").sortWithinPartitions("group", "part", "doc_id").mapInArrow(_settle_groups(percent, rows), "a long, b long")
-    final = components(settled, "a", "b")
-
-    of_copy = followers.withColumnRenamed("rep", "rep_").dropDuplicates(["doc_id"])
-    found = signed.select("doc_id", "n_shingles").join(of_copy, "doc_id", "left").withColumn("rep_", F.coalesce("rep_", "doc_id"))
-    found = found.join(final.select(F.col("node").alias("rep_"), "component"), "rep_", "left")
-    component = F.coalesce("component", "rep_")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    members = groups.unionByName(roots).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    members = cut(members.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id"), "members")
+    final = components(verified_links(members, docs, width, percent, block), "a", "b")
+
+    # Classes whose documents may have a component other than themselves.
+    moved = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").filter("n > 1 or component is not null")
+    moved = cut(moved.select("set_key", "n", F.coalesce("component", "rep").alias("component")), "moved")
+    found = join_sized(known.select("doc_id", "n_shingles", "set_key"), moved, "set_key", "n", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    if n_repeated:
+        of_id = found.join(repeated, "doc_id", "left_semi").select("doc_id", "component_id")
+        again = all_known.join(repeated, "doc_id", "left_semi").select("doc_id", "n_shingles").join(bounded_broadcast(of_id, n_repeated), "doc_id")
+        found = found.join(repeated, "doc_id", "left_anti").unionByName(again)
+    found = found.unionByName(signed.filter(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +359,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8), with the columns of the input."""
+    """One document of each group of near duplicates (five words, 0.8), with the columns of the input, whatever their names.
+
+    Null ids, texts without words and an empty table stay as they are; all rows of a kept id stay.
+    """
     gone = cut(near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)

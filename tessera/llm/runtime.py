@@ -1,4 +1,4 @@
-"""Helpers shared by the text operators: cutting lineage, bounded broadcasts, Arrow batches."""
+"""Helpers shared by the text operators: cutting lineage, bounded broadcasts, joins with hot keys, Arrow batches."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 #: Largest number of narrow rows (an id and a number) that is broadcast; 16 MB at most.
 BROADCAST_ROWS = 1_000_000
+#: A key with more rows than this is hot: its rows are joined where they lie, and not sent to one task.
+HOT_ROWS = 512
 ARROW_DEFAULT = "67108864b"
 
 
@@ -37,17 +39,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a new one in local mode, an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}/{name}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends here, and a lost executor costs no recompute."""
-    path = f"{shared_folder(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{name}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,6 +66,22 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def join_sized(rows: DataFrame, sized: DataFrame, key: str, n: str, how: str = "inner", most: int = HOT_ROWS) -> DataFrame:
+    """rows joined with sized (written; one row for each key, n: how many of rows have it), inner or left, without a hot task.
+
+    Keys of more than `most` rows, of which there are at most a `most`-th of the rows, are broadcast within the bound of
+    BROADCAST_ROWS; the rest is shuffled by the key. rows is evaluated twice where there are hot keys. Null keys are for
+    the caller to set apart.
+    """
+    hot = sized.filter(F.col(n) > most)
+    count = hot.count()
+    if not count:
+        return rows.join(sized, key, how)
+    where_they_lie = rows.join(bounded_broadcast(hot, count), key)
+    rest = rows.join(bounded_broadcast(hot.select(key), count), key, "left_anti")
+    return where_they_lie.unionByName(rest.join(sized.filter(F.col(n) <= most), key, how))
+
+
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; null for a null id."""
     return F.crc32(doc_id.cast("string")) % divisor
