@@ -7,7 +7,8 @@ substrings are therefore cut and named alike in their interior, wherever they st
 smallest of the distinct names of LEVELS, as hexadecimal; the likeness of two is the share of common names among the
 smallest of both, which estimates the Jaccard similarity of the name sets.
 
-Null text counts as empty. The fingerprint of an empty text is ''; two empty ones have likeness 1, one has 0.
+Null text counts as empty. The fingerprint of an empty text is ''; two empty ones have likeness 1, one has 0. Equal texts
+have equal fingerprints, so ties can't differ. Very long texts are parsed whole, each at once; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from .runtime import rows_per_task, ship
 
 LEVELS, KEPT = (2, 3), 64
-#: Documents in a bucket of consecutive ids, on average.
-BUCKET_ROWS = 4096
+#: Documents in a bucket of consecutive ids, on average, and the most buckets: the driver holds a small row of each.
+BUCKET_ROWS, MAX_BUCKETS = 4096, 1 << 16
+#: Sampled rows (a key and a hash each) that the bounds of a bucket are set by, and buckets in a task.
+SAMPLED, BUCKETS_IN_TASK = 24, 8
 #: Characters parsed at once.
 CHUNK = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(4))
@@ -88,15 +91,15 @@ def _parse(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _names(texts: list[str]) -> list[np.ndarray]:
-    """The distinct names of each non-empty text, sorted."""
+    """The distinct names of each non-empty text, sorted, big-endian, so that their hexadecimal forms sort alike."""
     x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
     found = []
     for level in range(1, max(LEVELS) + 1):
         x, starts = _parse(x, starts)
         if level in LEVELS:
-            found.append(np.split((x >> np.uint64(32)).astype(">u4"), starts[1:]))
-    return [np.unique(np.concatenate(parts)) for parts in zip(*found, strict=True)]
+            found.append(np.split((x >> np.uint64(32)).astype(np.uint32), starts[1:]))
+    return [np.unique(np.concatenate(parts)).astype(">u4") for parts in zip(*found, strict=True)]
 
 
 def fingerprints(texts: list[str]) -> list[str]:
@@ -128,6 +131,24 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
     return docs.withColumn(out, named(text))
 
 
+def _bounds(key: np.ndarray, mix: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that part sampled ones into about equal shares, ascending."""
+    order = np.lexsort((mix, key))
+    at = order[np.unique(np.arange(1, buckets) * len(order) // buckets)] if len(order) else order
+    return key[at], mix[at]
+
+
+def _bucket_of(key: np.ndarray, mix: np.ndarray, bound_key: np.ndarray, bound_mix: np.ndarray) -> np.ndarray:
+    """How many bounds are not above each pair."""
+    low, high = np.searchsorted(bound_key, key), np.searchsorted(bound_key, key, side="right")
+    tied = np.flatnonzero(low < high)
+    for k in np.unique(key[tied]):
+        same = tied[key[tied] == k]
+        a, b = low[same[0]], high[same[0]]
+        low[same] = a + np.searchsorted(bound_mix[a:b], mix[same], side="right")
+    return low
+
+
 def in_pairs(docs: DataFrame) -> DataFrame:
     """Each document (doc_id, text) fingerprinted with the next by descending id, and with a text edited from both.
 
@@ -135,29 +156,31 @@ def in_pairs(docs: DataFrame) -> DataFrame:
     the text with its last floor(n/2) code points replaced by the first as many of the next document, which for the last
     is the first; a single document follows itself. Null ids come last; rows with equal ids follow by a hash of the text.
 
-    Documents are dealt to buckets of consecutive ids, and a copy of each bucket's first goes to the end of the bucket
-    before: texts are shuffled once, and only one row of a bucket twice.
+    Documents are dealt to buckets of consecutive (id, hash of the text), and a copy of each bucket's first goes to the end
+    of the bucket before: texts are shuffled once, and one row of a bucket twice. The bounds come from a sample, so null
+    or repeated ids are split too; only rows with the same id and text stay together. Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    ids = keyed.select("key")
-    buckets = max(1, ids.count() // BUCKET_ROWS)
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = np.unique(np.array(ids.approxQuantile("key", shares, 0.25 / buckets) if shares else [], np.float64)).astype(np.int64)
-
-    def bucket_of(keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(bounds, keys, side="right")
-
-    bucket = F.pandas_udf(lambda k: pd.Series(bucket_of(k.to_numpy())), "long")
-    firsts = sorted((r.bucket, r.first) for r in ids.groupBy(bucket("key").alias("bucket")).agg(F.max("key").alias("first")).collect())
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("mix", F.xxhash64("text"))
+    places = keyed.select("key", "mix")
+    rows = places.count()
+    buckets = min(MAX_BUCKETS, max(1, rows // BUCKET_ROWS))
+    sample = places.sample(min(1.0, SAMPLED * buckets / max(1, rows)), seed=4).toArrow() if buckets > 1 else None  # SAMPLED * MAX_BUCKETS rows of 16 bytes at most
+    bounds = _bounds(sample["key"].to_numpy(), sample["mix"].to_numpy(), buckets) if sample else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    bucket = F.pandas_udf(lambda k, m: pd.Series(_bucket_of(k.to_numpy(), m.to_numpy(), *bounds)), "long")
+    tops = places.groupBy(bucket("key", "mix").alias("bucket")).agg(F.max(F.struct("key", "mix")).alias("top")).collect()  # a row of each bucket
+    firsts = sorted((r.bucket, r.top.key, r.top.mix) for r in tops)
     # Ids fall, so a bucket's first comes after the last of the bucket above it; the highest's after the lowest's.
-    copied = {first: firsts[(i + 1) % len(firsts)][0] for i, (_, first) in enumerate(firsts)}
-    copy_to = F.pandas_udf(lambda k: k.map(copied).astype("Int64"), "long")
-    dealt = keyed.select("*", bucket("key").alias("own"), copy_to("key").alias("other"))
-    places = F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("copy")), F.when(F.col("other").isNotNull(), F.struct(F.col("other").alias("bucket"), F.lit(True).alias("copy")))))
-    rows = dealt.select("doc_id", "text", "key", F.explode(places).alias("at")).select("doc_id", "text", "at.bucket", "at.copy", "key")
-    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "copy", F.desc("key"), F.xxhash64("text")).select("doc_id", "text", "copy")
+    copied = {(key, mix): firsts[(i + 1) % len(firsts)][0] for i, (_, key, mix) in enumerate(firsts)}
+    copy_to = F.pandas_udf(lambda k, m: pd.Series([copied.get(x) for x in zip(k, m, strict=True)], dtype="Int64"), "long")
+    dealt = keyed.select("*", bucket("key", "mix").alias("own"), copy_to("key", "mix").alias("other"))
+    both = F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("copy")), F.when(F.col("other").isNotNull(), F.struct(F.col("other").alias("bucket"), F.lit(True).alias("copy")))))
+    rows = dealt.select("doc_id", "text", "key", "mix", F.explode(both).alias("at")).select("doc_id", "text", "at.bucket", "at.copy", "key", "mix")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS_IN_TASK)
+    ordered = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "copy", F.desc("key"), F.desc("mix")).select("doc_id", "text", "copy")
 
     def run(batches):
         last = None
