@@ -1,13 +1,19 @@
 """Best-fit packing of token sequences with exact-complement hashing.
 
 Packing depends on lengths only, so it is planned on the histogram of lengths (at most `capacity` entries, whatever the
-corpus): for each length from the longest, the gap to the capacity is looked up among single lengths, then pair sums,
-then triple sums, under the counts still available; combinations that fill the gap exactly are consumed as often as the
-counts allow, and what is left is placed by best fit, group by group. The plan is a table of slots - a length, a range of
-ranks, a first sequence and an offset - and its size is bounded by the square of the number of distinct lengths, not by
-rows. Pieces get their rank within their length from counts of hashed cells, so one length may hold any share of rows.
-
-Null text counts as empty (its end id alone). Repeated rows are packed once each. Null ids are packed too.
+corpus). Sums of pairs and of triples of lengths are indexed by hash: a sum leads to a combination that gives it, replaced
+as counts run out. For each length from the longest, the gap to the capacity is looked up among single lengths, pair sums
+and triple sums; combinations that fill it exactly are consumed as often as the counts allow, and what is left is placed by
+best fit, group by group. As triples may use up short lengths that long ones need, plans that index triples, pairs, single
+lengths only or nothing are compared (see plan_packing), so where complements don't help, the result is plain best fit.
+
+The plan is a table of runs - a length, a range of ranks, how many in a sequence, a first sequence and an offset. Its size
+depends on the number of distinct lengths, not on rows: each step uses up a length or a group of open sequences, and a
+sequence has at most 90 runs, as 90 different lengths have a sum of 4095. Pieces get their rank within their length from
+counts of hashed cells, so one length may hold any share of rows.
+
+Null text counts as empty (its end id alone). Repeated rows are packed once each. Null ids are packed too. Very long texts
+are cut into pieces; an empty table gives none. Of the other columns of documents none is read.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import os
 import re
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -171,93 +177,124 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     return docs.mapInArrow(lambda batches: cut_up(encode(batches)), plus(docs.select("doc_id"), **PIECE_COLUMNS))
 
 
-def _exact(left: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] | None:
-    """Up to `most` (three) available lengths that sum to gap; left: the count of each length."""
-    if most and left[gap]:
-        return (gap,)
-
-    def pair(total: int, top: int) -> tuple[int, int] | None:
-        """Available a >= b with a + b = total and a <= top, the largest a."""
-        high = min(top, total - 1)
-        low = (total + 1) // 2
-        if high < low:
-            return None
-        a = left[low : high + 1] > 0
-        b = left[total - high : total - low + 1][::-1] > 0
-        both = a & b
-        if total % 2 == 0 and both[0] and left[low] < 2:
-            both[0] = False
-        found = np.flatnonzero(both)
-        return (low + int(found[-1]), total - low - int(found[-1])) if found.size else None
-
-    if most > 1 and (two := pair(gap, gap)):
-        return two
-    for a in [] if most < 3 else np.flatnonzero(left[: gap - 1])[::-1]:
-        if 3 * a < gap:
-            break
-        left[a] -= 1
-        two = pair(gap - int(a), int(a))
-        left[a] += 1
-        if two:
-            return (int(a), *two)
-    return None
-
+class Complements:
+    """Indexes of the sums of available lengths: single ones (their counts), pairs and triples.
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences) for counts of lengths from 1 to capacity.
+    pair[s] and triple[s] hold the larger or largest length of a combination with sum s, 0 for none. Counts only fall, so
+    an entry is looked for again where its lengths have run out, among smaller largest lengths, and a sum without a
+    combination never gets one.
+    """
 
-    Plans with complements of up to three, two, one and no further lengths are compared, as triples may use up short
-    lengths that long ones need; the first that meets the lower bound is taken, else the one with the fewest sequences.
+    def __init__(self, left: np.ndarray, most: int) -> None:
+        n = len(left)
+        self.left, self.most = left, most
+        self.pair, self.triple, self.twos = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for a in np.flatnonzero(left[: n - 1] > 0) if most > 1 else []:  # the largest a of each sum is written last
+            b = np.flatnonzero(left[1 : min(a, n - 1 - a) + 1]) + 1
+            b = b if left[a] > 1 else b[b < a]
+            self.pair[a + b] = a
+        for a in np.flatnonzero(left[: n - 1] > 0) if most > 2 else []:
+            held = np.flatnonzero(self.pair[: n - a])
+            self.triple[held + a] = a
+
+    def _has(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def _two(self, total: int) -> tuple[int, int] | None:
+        """Available a >= b with this sum, the largest a."""
+        a = int(self.pair[total])
+        if a and self._has(a, total - a):
+            return a, total - a
+        if a:
+            low = (total + 1) // 2
+            both = (self.left[low : a + 1] > 0) & (self.left[total - a : total - low + 1][::-1] > 0)
+            if total % 2 == 0 and self.left[low] < 2:
+                both[0] = False
+            found = np.flatnonzero(both)
+            self.pair[total] = a = low + int(found[-1]) if found.size else 0
+        return (a, total - a) if a else None
+
+    def _three(self, total: int) -> tuple[int, int, int] | None:
+        """Available lengths with this sum, from the largest first one for which two more are indexed."""
+        while a := int(self.triple[total]):
+            if self.left[a] and (two := self._two(total - a)):
+                if self._has(a, *two):
+                    return a, *two
+                self.left[a] -= 1  # a pair without a, for this lookup only
+                kept, two = self.pair[total - a], self._two(total - a)
+                self.left[a] += 1
+                self.pair[total - a] = kept
+                if two:
+                    return a, *two
+            below = np.flatnonzero((self.left[1:a] > 0) & (self.pair[total - a + 1 : total][::-1] > 0))
+            self.triple[total] = 1 + below[-1] if below.size else 0
+        return None
+
+    def filling(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to gap."""
+        if self.most and self.left[gap]:
+            return (gap,)
+        return self._two(gap) or self._three(gap)
+
+
+Runs = tuple[tuple[int, int], ...]  # (length, how many) in a sequence, in order
+
+
+def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Sequences needed at least: by the sum of lengths, and by lengths of which no two fit together."""
+    return max(-(-sum(k * n for k, n in histogram.items()) // capacity), sum(n for k, n in histogram.items() if 2 * k > capacity))
+
+
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Runs, int]], int]:
+    """(runs in a sequence, number of such sequences) for counts of lengths from 1 to capacity, and the largest complement used.
+
+    Plans with complements of up to three, two, one and no further lengths are compared: the first that meets the lower
+    bound is taken, else the one with the fewest sequences, the larger complement on a tie.
     """
-    bound = max(-(-sum(k * n for k, n in histogram.items()) // capacity), sum(n for k, n in histogram.items() if 2 * k > capacity))
-    best: list[tuple[tuple[int, ...], int]] | None = None
+    best: tuple[int, list[tuple[Runs, int]], int] | None = None
     for most in (3, 2, 1, 0):
         plan = _plan(histogram, capacity, most)
-        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
-            best = plan
-        if sum(n for _, n in best) <= bound:
+        total = sum(n for _, n in plan)
+        if best is None or total < best[0]:
+            best = (total, plan, most)
+        if best[0] <= lower_bound(histogram, capacity):
             break
-    return best
+    return best[1:]
 
 
-def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """One plan, with exact complements of up to `most` lengths.
-
-    Each step uses up one length or one group of open sequences, so the number of entries is bounded by the number of
-    distinct lengths times the steps for each, and doesn't grow with the counts.
-    """
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[Runs, int]]:
+    """One plan, with exact complements of up to `most` lengths."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    done: list[tuple[tuple[int, ...], int]] = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    done: list[tuple[Runs, int]] = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    open_by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    index = Complements(left, most)
+    open_by_gap: dict[int, list[tuple[Runs, int]]] = defaultdict(list)
     gaps: list[int] = []  # sorted
 
-    def put(items: tuple[int, ...], n: int) -> None:
-        gap = capacity - sum(items)
+    def put(runs: Runs, n: int) -> None:
+        gap = capacity - sum(length * k for length, k in runs)
         if gap == 0:
-            done.append((items, n))
+            done.append((runs, n))
             return
         if not open_by_gap[gap]:
             bisect.insort(gaps, gap)
-        open_by_gap[gap].append((items, n))
+        open_by_gap[gap].append((runs, n))
 
     for length in range(capacity - 1, 0, -1):
         while left[length]:
             n = int(left[length])
             # Exact complements of a sequence that this length begins.
             left[length] -= 1
-            rest = _exact(left, capacity - length, most)
+            rest = index.filling(capacity - length)
             left[length] += 1
             if rest:
-                need = defaultdict(int, {length: 1})
-                for x in rest:
-                    need[x] += 1
+                need = Counter((length, *rest))
                 times = min(int(left[x]) // k for x, k in need.items())
                 for x, k in need.items():
                     left[x] -= k * times
-                put((length, *rest), times)
+                put(tuple(need.items()), times)
                 continue
             # Best fit into the open sequences with the smallest sufficient gap, else new ones.
             at = bisect.bisect_left(gaps, length)
@@ -266,64 +303,73 @@ def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tup
                 per, rest_n = divmod(n, each)
                 left[length] = 0
                 if per:
-                    put((length,) * each, per)
+                    put(((length, each),), per)
                 if rest_n:
-                    put((length,) * rest_n, 1)
+                    put(((length, rest_n),), 1)
                 continue
             gap = gaps[at]
-            items, m = open_by_gap[gap].pop()
+            runs, m = open_by_gap[gap].pop()
             if not open_by_gap[gap]:
                 gaps.pop(at)
             fit = min(gap // length, n)  # as many of this length as a sequence takes
             used = min(m, n // fit)
             left[length] -= used * fit
-            put(items + (length,) * fit, used)
+            put((*runs, (length, fit)), used)
             if m > used:
-                put(items, m - used)
+                put(runs, m - used)
     for group in open_by_gap.values():
         done.extend(group)
     return done
 
 
-def slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int]]:
-    """(length, first rank, first sequence, offset) for each place of each entry: ranks from there on go to the sequences from there on."""
+def slots(plan: list[tuple[Runs, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, how many in a sequence, first sequence, offset) for each run: ranks from there on fill the sequences from there on."""
     used: dict[int, int] = defaultdict(int)
     out, first = [], 0
-    for items, n in plan:
+    for runs, n in plan:
         offset = 0
-        for length in items:
-            out.append((length, used[length], first, offset))
-            used[length] += n
-            offset += length
+        for length, k in runs:
+            out.append((length, used[length], k, first, offset))
+            used[length] += n * k
+            offset += length * k
         first += n
     return sorted(out)
 
 
+def _fresh(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (columns length, doc_id, piece; already materialised) with sequence_id and offset, gapless from 0 in each sequence."""
     ship(pieces.sparkSession)
     pieces = pieces.drop("sequence_id", "offset")
     cells = max(1, -(-pieces.count() // CELL_ROWS))
-    keyed = pieces.withColumn("cell_", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
-    counted = keyed.groupBy("length", "cell_").count()
-    histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # capacity entries at most
-    table = slots(plan_packing(histogram, capacity))
-    before = Window.partitionBy("length").orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counted.select("length", "cell_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base_"))
-    within = Window.partitionBy("length", "cell_").orderBy("doc_id", "piece")
-    ranked = keyed.withColumn("rank_", F.row_number().over(within) - 1).join(bases, ["length", "cell_"])
-    ranked = ranked.select(*pieces.columns, (F.col("base_") + F.col("rank_")).alias("rank_"))
-    sent, names = pieces.sparkSession.sparkContext.broadcast(np.array(table, np.int64).reshape(-1, 4)), ranked.columns
+    cell, base, rank_of = (_fresh(name, pieces.columns) for name in ("cell", "base", "rank"))
+    keyed = pieces.withColumn(cell, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
+    counted = keyed.groupBy("length", cell).agg(F.count("*").alias("n"))
+    histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity entries at most
+    table = slots(plan_packing(histogram, capacity)[0])
+    before = Window.partitionBy("length").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.select("length", cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy("length", cell).orderBy("doc_id", "piece")
+    ranked = keyed.withColumn(rank_of, F.row_number().over(within) - 1).join(bases, ["length", cell])
+    ranked = ranked.select(*pieces.columns, (F.col(base) + F.col(rank_of)).alias(rank_of))
+    sent, names = pieces.sparkSession.sparkContext.broadcast(np.array(table, np.int64).reshape(-1, 5)), ranked.columns  # bounded by the distinct lengths
     kept = pieces.columns
 
     def run(batches):
         t = sent.value
         keys = t[:, 0] << 48 | t[:, 1]
         for batch in batches:
-            rank = batch.column(names.index("rank_")).to_numpy(zero_copy_only=False)
+            rank = batch.column(names.index(rank_of)).to_numpy(zero_copy_only=False)
             length = batch.column(names.index("length")).to_numpy(zero_copy_only=False)
             at = np.searchsorted(keys, length << 48 | rank, side="right") - 1
-            new = [pa.array(t[at, 2] + rank - t[at, 1]), pa.array(t[at, 3])]
+            into = rank - t[at, 1]
+            new = [pa.array(t[at, 3] + into // t[at, 2]), pa.array(t[at, 4] + into % t[at, 2] * length)]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), *new], [*kept, "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, plus(pieces, sequence_id="long", offset="long"))
