@@ -2,7 +2,13 @@
 
 A cascade encodes the listed keys in its first level, the false positives of that level in the second, the listed keys
 that the second level wrongly takes in the third, and so on until a level has no false positive. Over the key universe
-it was built from, a lookup is exact. Null urls and urls without `://` have empty host and path and are looked up as ''.
+it was built from, a lookup is exact. The first level has so many hash functions that it takes fewer wrong keys than there
+are listed ones, however large the universe is, so that all levels are bounded by the list. A longer list than one task
+should carry is split by a hash of the key: each part has its own cascade, and the urls of each part are judged by it.
+
+Null urls and urls without `://` have empty host and path and are looked up as ''. Repeated rows are judged each; an empty
+table gives none; of equally long rules that fit the last by host and path counts (the contract's have no such tie). Very
+long urls are read whole. Input columns of a result's name are replaced where they are to be kept.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, new_folder
 
 #: The rules of the contract, as (host, path prefix, verdict).
 RULES = (
@@ -26,14 +32,15 @@ RULES = (
 )
 #: Words that mark a host of the default block list, as a whole part between dots and hyphens.
 LISTED_WORDS = ("adult", "bet", "bets", "casino", "porn", "spam", "xxx")
-#: Bits and hash functions for each key of a level.
-BITS_PER_KEY, HASHES = 8, 3
-#: A level of up to this many bytes travels in the plan; a longer list is looked up by a shuffle join instead.
+#: Hash functions of a level at least, and of the first at most; bits for each key and hash function.
+HASHES, MOST_HASHES, BITS = 3, 30, 1.4427
+#: Bytes of a level that travel in a plan; a list that needs more is split.
 MAX_LEVEL_BYTES = 4 << 20
 
 
 class Level(NamedTuple):
     seed: int
+    hashes: int
     bits: int
     data: bytes
 
@@ -54,48 +61,53 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return name, verdict
 
 
-def _positions(key: Column, seed: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(seed * HASHES + j)), F.lit(bits).cast("long")) for j in range(HASHES)]
+def _positions(key: Column, level: Level) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level.seed * MOST_HASHES + j)), F.lit(level.bits).cast("long")) for j in range(level.hashes)]
 
 
-def _level(keys: DataFrame, count: int, seed: int) -> Level:
+def _level(keys: DataFrame, level: Level) -> Level:
     """One Bloom filter, built by bitmap aggregation on the executors; the driver receives its bits only."""
-    bits = max(64, 1 << math.ceil(math.log2(max(1, count) * BITS_PER_KEY)))
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, bits))).alias("at")).select((F.col("at") + 1).alias("at"))
+    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level))).alias("at")).select((F.col("at") + 1).alias("at"))
     parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    data = bytearray(max(bits // 8, 4096))
+    data = bytearray(-(-level.bits // 32768) * 4096)
     for row in parts.toLocalIterator():
         data[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
-    return Level(seed, bits, bytes(data[: bits // 8]))
+    return level._replace(data=bytes(data[: level.bits // 8]))
 
 
 def level_test(key: Column, level: Level) -> Column:
     """True where all bits of the key are set."""
-    data, hit = F.lit(bytearray(level.data)), F.lit(True)
-    for at in _positions(key, level.seed, level.bits):
-        byte = F.conv(F.hex(F.substring(data, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        hit = hit & (F.lit(1) == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)))
-    return hit
+
+    def all_set(data: Column) -> Column:
+        hit = F.lit(True)
+        for at in _positions(key, level):
+            byte = F.conv(F.hex(F.substring(data, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            hit = hit & (F.lit(1) == F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)))
+        return hit
+
+    return F.transform(F.array(F.lit(bytearray(level.data))), all_set)[0]  # bound once: one copy of the bits in the plan
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_level_bytes: int = MAX_LEVEL_BYTES, max_levels: int = 40) -> list[Level] | None:
-    """Levels over two frames with a column key. None where a level would exceed max_level_bytes: use a join then.
+def _hashes(listed: int, others: int) -> int:
+    """Of the first level: enough that it wrongly takes about half as many keys as are listed."""
+    return min(MOST_HASHES, max(HASHES, math.ceil(math.log2(2 * max(1, others) / max(1, listed)))))
 
-    Null keys are ignored. Listed keys outside the universe are encoded too.
-    """
+
+def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 40) -> list[Level]:
+    """Levels over two frames with a column key. Null keys are ignored. Listed keys outside the universe are encoded too."""
     wanted = cut(listed.select("key").dropna().distinct(), "listed")
-    others = universe.select("key").dropna().distinct().join(wanted, "key", "left_anti")
+    others = cut(universe.select("key").dropna().distinct().join(wanted, "key", "left_anti"), "others")
     levels: list[Level] = []
     while len(levels) < max_levels:
         count = wanted.count()
         if levels and not count:
             return levels
-        if count * BITS_PER_KEY / 8 * 2 > max_level_bytes:
-            return None
-        levels.append(_level(wanted, count, len(levels)))
+        hashes = HASHES if levels else _hashes(count, others.count())
+        bits = max(64, math.ceil(count * hashes * BITS / 8) * 8)
+        levels.append(_level(wanted, Level(len(levels), hashes, bits, b"")))
         taken = cut(others.filter(level_test(F.col("key"), levels[-1])), f"taken{len(levels)}")
         wanted, others = taken, wanted
-    raise RuntimeError("the cascade did not end; raise BITS_PER_KEY")
+    raise RuntimeError("the cascade did not end; raise BITS")
 
 
 def in_cascade(key: Column, levels: list[Level]) -> Column:
@@ -108,20 +120,36 @@ def in_cascade(key: Column, levels: list[Level]) -> Column:
 
 def filter_urls(pages: DataFrame, listed: DataFrame | None = None, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules=RULES, max_level_bytes: int = MAX_LEVEL_BYTES) -> DataFrame:
     """keep, host, path, rule and verdict for each row. listed: hosts to block, column key; by default those with LISTED_WORDS."""
+    keep = tuple(k for k in keep if k not in ("host", "path", "rule", "verdict"))
     host, path = url_parts(F.col(url))
     parts = pages.select(*keep, host.alias("host"), path.alias("path"))
-    hosts = parts.select(F.col("host").alias("key")).distinct()
+    hosts = cut(parts.select(F.col("host").alias("key")).distinct(), "hosts")
     if listed is None:
         listed = hosts.filter(F.col("key").rlike(r"(^|[.\-])(" + "|".join(LISTED_WORDS) + r")($|[.\-])"))
+    listed = cut(listed.select("key").dropna().distinct(), "listed")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    levels = build_cascade(listed, hosts, max_level_bytes)
-    if levels is None:
-        blocked = listed.select(F.col("key").alias("host")).dropna().distinct().withColumn("on_list", F.lit(True))
-        parts = parts.join(blocked, "host", "left")
-        member = F.coalesce(F.col("on_list"), F.lit(False))
-    else:
-        member = in_cascade(F.col("host"), levels)
-    return parts.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(member, "block").otherwise("allow")).alias("verdict"))
+
+    def judged(rows: DataFrame, levels: list[Level]) -> DataFrame:
+        return rows.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(in_cascade(F.col("host"), levels), "block").otherwise("allow")).alias("verdict"))
+
+    n_listed = listed.count()
+    need = n_listed * _hashes(n_listed, hosts.count()) * BITS / 8
+    splits = math.ceil(need / max_level_bytes)
+    if splits <= 1:
+        return judged(parts, build_cascade(listed, hosts))
+
+    def split_of(key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key), F.lit(-1)), F.lit(splits))
+
+    dealt, out = new_folder(pages.sparkSession, "dealt"), new_folder(pages.sparkSession, "judged")
+    marked = parts.withColumn("split_", split_of("host").cast("int"))
+    marked.write.partitionBy("split_").parquet(dealt)
+    written = pages.sparkSession.read.schema(marked.schema).parquet(dealt)
+    for k in range(splits):  # each plan carries the levels of one part of the list
+        levels = build_cascade(listed.filter(split_of("key") == k), hosts.filter(split_of("key") == k))
+        part = judged(written.filter(F.col("split_") == k), levels)
+        part.write.mode("append").parquet(out)
+    return pages.sparkSession.read.schema(part.schema).parquet(out)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
