@@ -1,9 +1,13 @@
 """Token counts of sections: a document is encoded once, and its tokens are attributed by their character spans.
 
-A token belongs to the section that holds most of its characters; on a tie, to the earlier one. A token of some bytes of
-a character spans that whole character. Tokens outside all sections are counted under section -1. Sections are sorted
-spans that don't overlap; by default they are the lines of the text, each with its line feed (an empty or null text is
-one line without characters). The interval join of tokens and sections is done where the document lies: no shuffle.
+A token belongs to the section that holds most of its characters; on a tie, to the one that starts earlier, then to the one
+given earlier. A token of some bytes of a character spans that whole character. Tokens outside all sections are counted
+under section -1. Sections are spans in any order, which may overlap, be empty or reach beyond the text; a null section or
+bound makes it empty. By default they are the lines of the text, each with its line feed (an empty or null text is one line
+without characters). The interval join of tokens and sections is done where the document lies: no shuffle.
+
+Rows that repeat an id are counted each; null ids are returned as null; very long texts are encoded whole; an empty table
+gives none. Only the id, the text and the sections are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -52,13 +56,31 @@ def lines(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The section of each token, -1 for none; tokens and sections as spans."""
-    low = np.searchsorted(end, starts, side="right")
-    high = np.searchsorted(first, ends, side="left") - 1
-    found = np.where(low <= high, low, -1)
-    for t in np.flatnonzero(low < high):
-        s = np.arange(low[t], high[t] + 1)
-        found[t] = s[np.argmax(np.minimum(end[s], ends[t]) - np.maximum(first[s], starts[t]))]
+    """The section of each token, -1 for none; tokens (in order) and sections as spans."""
+    order = np.argsort(first, kind="stable")
+    f, e = first[order], np.maximum(end, first)[order]
+    if len(f) and (f[1:] < e[:-1]).any():
+        found = _attribute_overlapping(starts, ends, f, e)
+    else:
+        low = np.searchsorted(e, starts, side="right")
+        high = np.searchsorted(f, ends, side="left") - 1
+        found = np.where(low <= high, low, -1)
+        for t in np.flatnonzero(low < high):
+            s = np.arange(low[t], high[t] + 1)
+            found[t] = s[np.argmax(np.minimum(e[s], ends[t]) - np.maximum(f[s], starts[t]))]
+        held = np.flatnonzero(found >= 0)
+        found[held[f[found[held]] == e[found[held]]]] = -1  # an empty section has no character
+    return np.where(found >= 0, order[found], -1) if len(f) else found
+
+
+def _attribute_overlapping(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sections sorted by start, which may overlap: one after another, each takes the tokens of which it holds more than those before."""
+    found, most = np.full(len(starts), -1), np.zeros(len(starts), np.int64)
+    for s, (a, b) in enumerate(zip(first, end, strict=True)):
+        at = np.arange(np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left"))
+        held = np.minimum(ends[at], b) - np.maximum(starts[at], a)
+        better = held > most[at]
+        found[at[better]], most[at[better]] = s, held[better]
     return found
 
 
@@ -84,7 +106,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", sections: str |
                     t = t or ""
                     starts, ends = spans["it"].of(t)
                     if sections:
-                        first, end = (np.array([c[k] for c in cuts or []], np.int64) for k in ("start", "end"))
+                        spans_of = [(0, 0) if c is None or c["start"] is None or c["end"] is None else (c["start"], c["end"]) for c in cuts or []]
+                        first, end = np.array(spans_of, np.int64).reshape(-1, 2).T
                     else:
                         first, end = lines(t)
                     at = attribute(starts, ends, first, end)
@@ -92,7 +115,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", sections: str |
                     n, c = (np.bincount(x + 1, minlength=len(first) + 1) for x in (at, at[crossing]))
                     for s in range(-1 if n[0] else 0, len(first)):
                         rows.append(i)
-                        out.append((s, int(end[s] - first[s]) if s >= 0 else None, int(n[s + 1]), int(c[s + 1])))
+                        out.append((s, max(0, int(end[s] - first[s])) if s >= 0 else None, int(n[s + 1]), int(c[s + 1])))
                 columns = [pa.array([r[k] for r in out], pa.int32() if k == 0 else pa.int64()) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *columns], ["doc_id", "section", "n_chars", "n_tokens", "n_crossing"])
 
