@@ -1,18 +1,25 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words is trained in numpy from documents confirmed as toxic (positives) and
-from unlabelled text, by the non-negative risk estimator: prior * R(positive as 1) + max(0, R(unlabelled as 0) - prior *
-R(positive as 0)), with the logistic loss. Where the bracket falls below zero on a batch, the step goes against it, as
-the estimator prescribes. The class prior is the share of toxic rows among the labelled training rows. Words are maximal
-runs of letters, lower-cased; a score looks at every distinct word of the whole text.
-
-Null and empty texts score the bias alone. Null labels are not learnt from. Without a positive, every score is 0.
+A linear classifier over words and word beginnings is trained in numpy from documents confirmed as toxic
+(positives) and from unlabelled text, by the non-negative risk estimator: prior * R(positive as 1) + max(0, R(unlabelled as
+0) - prior * R(positive as 0)), with the logistic loss. Where the bracket falls below zero on a batch, the step goes against
+it, as the estimator prescribes. The class prior is the share of toxic rows among the labelled training rows. Words are
+maximal runs of letters, lower-cased; beginnings stand for stems. Features are whether a text has a word, whether a word of
+it has a beginning, and whether one word in DENSE or more has it. A score looks at every word of the whole text.
+
+Training reads a sample bounded by MAX_POSITIVE and MAX_UNLABELLED documents; every word of the sample that tells the two
+apart is a feature, without a cap. Features are counted by Spark; the driver receives telling ones and rows over them.
+
+Null and empty texts score the bias alone. Null labels are not learnt from; null ids are, as unlabelled text. Rows that
+repeat a text count once in training and are scored each. Very long texts are scored whole. Without a positive or without
+unlabelled text every score is 0; an empty table gives none. An input column score is replaced by score(), others pass.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from typing import Any
 
 import numpy as np
@@ -20,58 +27,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import id_remainder, plus, rows_per_task, ship
+from .runtime import cut, id_remainder, plus, release, rows_per_task, ship
 
-#: Bounds of the training sample (documents) and of the model (words); what makes a word part of the model.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 3000, 9000, 5000
+#: Bounds of the training sample (documents); what makes a feature part of the model; lengths of word beginnings.
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 MIN_DOCS, MIN_LIFT, MIN_Z = 3, 2.0, 4.0
+BEGINNINGS, DENSE = (4, 5, 6, 7), 100
 EPOCHS, RATE, DECAY, BATCHES, BETA = 60, 0.05, 1e-4, 12, 0.0
 THRESHOLD, CACHE = 0.3, 250_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def _word_ids(batches):
+def _key(text: str) -> int:
+    return zlib.crc32(text.encode())
+
+
+def _begin(word: str) -> list[str]:
+    return [word[:k] for k in BEGINNINGS if len(word) >= k]
+
+
+def words_of(text: str | None) -> Counter:
+    return Counter(WORDS.findall((text or "").lower()))
+
+
+def features(text: str | None) -> np.ndarray:
+    """All features of a text as crc32, sorted."""
+    words, begun = words_of(text), Counter()
+    for w, n in words.items():
+        for b in _begin(w):
+            begun[b] += n
+    total = sum(words.values())
+    dense = (_key(b + "%") for b, n in begun.items() if n * DENSE >= total)
+    return np.unique(np.array([*map(_key, words), *(_key(b + "*") for b in begun), *dense], np.uint32))
+
+
+def _feature_ids(batches):
+    for whole in batches:
+        for batch in rows_per_task(whole, "text", 2 << 20):
+            packed = [features(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], ["toxic", "features", "mix"])
+    release()
+
+
+def _count_features(batches):
     for batch in batches:
-        packed = [np.array([zlib.crc32(w.encode()) for w in set(WORDS.findall((t or "").lower()))], np.uint32).tobytes() for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["words"])
+        toxic = batch.column(0).to_numpy(zero_copy_only=False)
+        held = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
+        found, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *held]), return_inverse=True)
+        by = np.bincount(at, np.repeat(toxic, [len(x) for x in held]), len(found)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(by), pa.array(np.bincount(at, minlength=len(found)).astype(np.int64) - by)], ["feature", "pos", "unl"])
+    release()
 
 
-def _sample(docs: DataFrame, most: int) -> list[np.ndarray]:
-    """Word ids of about `most` whole documents, chosen by a hash of the id."""
+def _sample(docs: DataFrame, most: int, toxic: int) -> DataFrame:
+    """About `most` whole documents, chosen by a hash of id and text: columns toxic and features, equal texts once."""
     share = min(1.0, most / max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
-    return [np.frombuffer(r.words, np.uint32) for r in chosen.select("text").mapInArrow(_word_ids, "words binary").toLocalIterator()]
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
+    rows = chosen.select(F.lit(toxic).alias("toxic"), "text", F.xxhash64("text").alias("mix"))
+    return rows.mapInArrow(_feature_ids, "toxic int, features binary, mix long").dropDuplicates(["toxic", "mix"]).drop("mix")
+
+
+def telling_features(sample: DataFrame, n_pos: int, n_unl: int) -> np.ndarray:
+    """Features in more positive than unlabelled documents by a factor of MIN_LIFT and by MIN_Z standard errors."""
+    counts = sample.mapInArrow(_count_features, "feature long, pos long, unl long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
+    p, u = F.col("pos") / n_pos, (F.col("unl") + 0.5) / (n_unl + 1)
+    z = (p - u) / F.sqrt(u * (1 - F.least(u, F.lit(0.99))) * (1 / n_pos + 1 / n_unl))
+    good = counts.filter((F.col("pos") >= MIN_DOCS) & (p >= MIN_LIFT * u) & (z >= MIN_Z)).select("feature")
+    return np.sort(good.toArrow()["feature"].to_numpy().astype(np.uint32))
 
 
-def _telling_words(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
-    """Words in more positive than unlabelled documents by a factor of MIN_LIFT and MIN_Z standard errors; the furthest MAX_WORDS."""
-    ids, at = np.unique(np.concatenate([*pos, *unl]), return_inverse=True)
-    split = sum(map(len, pos))
-    in_pos, in_unl = np.bincount(at[:split], minlength=len(ids)), np.bincount(at[split:], minlength=len(ids))
-    p, u = in_pos / len(pos), (in_unl + 0.5) / (len(unl) + 1)
-    z = (p - u) / np.sqrt(u * (1 - np.minimum(u, 0.99)) * (1 / len(pos) + 1 / len(unl)))
-    good = np.flatnonzero((in_pos >= MIN_DOCS) & (p >= MIN_LIFT * u) & (z >= MIN_Z))
-    return np.sort(ids[good[np.lexsort((ids[good], -z[good]))][:MAX_WORDS]])
+def nn_risk(pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk at scores of positives and unlabelled rows, and the direction of the step by row (positives first)."""
+    soft = lambda z: np.logaddexp(0, z)  # noqa: E731  loss of calling z negative
+    sig = lambda z: 0.5 * (1 + np.tanh(z / 2))
+    as_one = prior * soft(-pos).mean()
+    negative = soft(unl).mean() - prior * soft(pos).mean()
+    by_row = np.concatenate([-prior * sig(pos) / len(pos), sig(unl) / len(unl)])  # gradient of the bracket
+    if negative < -BETA:
+        return float(as_one + max(0.0, negative)), -by_row
+    return float(as_one + max(0.0, negative)), by_row + np.concatenate([prior * (sig(pos) - 1) / len(pos), np.zeros(len(unl))])
 
 
 def train(positives: DataFrame, unlabelled: DataFrame, prior: float) -> dict[str, Any]:
-    """Weights of words (by crc32) and a bias, from two frames with doc_id and text."""
+    """Weights of features (crc32) and a bias, from two frames with doc_id and text."""
     ship(positives.sparkSession)
-    pos, unl = _sample(positives, MAX_POSITIVE), _sample(unlabelled, MAX_UNLABELLED)
-    if not pos or not unl:
-        return {"words": np.zeros(0, np.uint32), "weights": np.zeros(0), "bias": -30.0}
-    vocab = _telling_words(pos, unl)
-
-    def rows(docs):
-        """Compressed rows over the vocabulary; the last column is the bias."""
-        out = []
-        for d in docs:
-            at = np.searchsorted(vocab, d)
-            at[at == len(vocab)] = 0
-            out.append(np.append(at[vocab[at] == d] if len(vocab) else at[:0], len(vocab)))
-        return out
-
-    pos, unl = rows(pos), rows(unl)
+    sample = cut(_sample(positives, MAX_POSITIVE, 1).unionByName(_sample(unlabelled, MAX_UNLABELLED, 0)), "sample")
+    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}  # two rows
+    if len(size) < 2:
+        return {"words": np.zeros(0, np.uint32), "weights": np.zeros(0), "bias": -np.inf}
+    vocab = telling_features(sample, size[1], size[0])
+    sent = positives.sparkSession.sparkContext.broadcast(vocab)
+
+    def over_vocab(batches):
+        known = sent.value
+        for batch in batches:
+            rows = [np.flatnonzero(np.isin(known, np.frombuffer(x, np.uint32))).astype(np.int32).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["toxic", "at"])
+
+    table = sample.mapInArrow(over_vocab, "toxic int, at binary").toArrow()  # rows of the bounded sample over telling features
+    rows = sorted(zip(table["toxic"].to_pylist(), table["at"].to_pylist(), strict=True))
+    pos, unl = ([np.append(np.frombuffer(x, np.int32), len(vocab)) for t, x in rows if t == k] for k in (1, 0))  # the last column is the bias
     w = np.zeros(len(vocab) + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
@@ -85,15 +140,7 @@ def train(positives: DataFrame, unlabelled: DataFrame, prior: float) -> dict[str
             sizes = np.array([len(x) for x in held])
             flat, begin = np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)[:-1]])
             scores = np.add.reduceat(w[flat], begin)
-            sp, su = scores[: len(p)], scores[len(p) :]
-            soft = lambda z: np.logaddexp(0, z)  # noqa: E731  loss of calling z negative
-            sig = lambda z: 0.5 * (1 + np.tanh(z / 2))
-            negative = soft(su).mean() - prior * soft(sp).mean()
-            grad_negative = np.concatenate([-prior * sig(sp) / len(p), sig(su) / len(u)])
-            if negative >= -BETA:
-                by_row = grad_negative + np.concatenate([prior * (sig(sp) - 1) / len(p), np.zeros(len(u))])
-            else:
-                by_row = -grad_negative
+            _, by_row = nn_risk(scores[: len(p)], scores[len(p) :], prior)
             grad = np.bincount(flat, np.repeat(by_row, sizes), len(w))
             grad[:-1] += DECAY * w[:-1]
             step += 1
@@ -103,21 +150,29 @@ def train(positives: DataFrame, unlabelled: DataFrame, prior: float) -> dict[str
 
 
 class _Weights(dict):
-    """Weight of each word met, 0 for words outside the model."""
+    """From a word to its own weight and the beginnings of it that the model knows, for most words 0 and none."""
 
     def __init__(self, model: dict[str, Any]) -> None:
         super().__init__()
         self.known, self.bias = dict(zip(model["words"].tolist(), model["weights"].tolist(), strict=True)), model["bias"]
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[float, tuple[str, ...]]:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = x = self.known.get(zlib.crc32(word.encode()), 0.0)
+        self[word] = x = (self.known.get(_key(word), 0.0), tuple(b for b in _begin(word) if _key(b + "*") in self.known or _key(b + "%") in self.known))
         return x
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(map(self.__getitem__, sorted(set(WORDS.findall((text or "").lower())))))
-        return 0.5 * (1 + float(np.tanh(z / 2)))
+        words, z, begun = words_of(text), 0.0, Counter()
+        for w in sorted(words):
+            weight, beginnings = self[w]
+            z += weight
+            for b in beginnings:
+                begun[b] += words[w]
+        total = sum(words.values())
+        for b, n in begun.items():
+            z += self.known.get(_key(b + "*"), 0.0) + (self.known.get(_key(b + "%"), 0.0) if n * DENSE >= total else 0.0)
+        return 0.5 * (1 + float(np.tanh((z + self.bias) / 2)))
 
 
 def score(docs: DataFrame, model: dict[str, Any], text: str = "text") -> DataFrame:
@@ -131,6 +186,7 @@ def score(docs: DataFrame, model: dict[str, Any], text: str = "text") -> DataFra
         for batch in (part for whole in batches for part in rows_per_task(whole, text)):
             found = [weights.score(t) for t in batch.column(names.index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "score"])
+        release()
 
     return docs.mapInArrow(run, plus(docs, score="double"))
 
