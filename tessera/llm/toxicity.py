@@ -131,7 +131,8 @@ def train(positives: DataFrame, unlabelled: DataFrame, prior: float) -> dict[str
     w[-1] = np.log(prior / (1 - prior))
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     rng = np.random.Generator(np.random.PCG64(7))
-    for _ in range(EPOCHS):
+    mean, averaged = np.zeros_like(w), 0  # of the weights after each epoch of the second half: steps against the bracket swing
+    for epoch in range(EPOCHS):
         p_parts, u_parts = np.array_split(rng.permutation(len(pos)), BATCHES), np.array_split(rng.permutation(len(unl)), BATCHES)
         for p, u in zip(p_parts, u_parts, strict=True):
             if not len(p) or not len(u):
@@ -146,7 +147,10 @@ def train(positives: DataFrame, unlabelled: DataFrame, prior: float) -> dict[str
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return {"words": vocab, "weights": w[:-1], "bias": float(w[-1])}
+        if epoch >= EPOCHS // 2:
+            mean, averaged = mean + w, averaged + 1
+    mean /= averaged
+    return {"words": vocab, "weights": mean[:-1], "bias": float(mean[-1])}
 
 
 class _Weights(dict):

@@ -46,7 +46,7 @@ def test_edges(spark):
     model = tx.train(bad, rest, 0.1)
     docs = spark.createDataFrame([(1, "awful awfully", "own"), (2, None, "own"), (3, "", "own"), (None, "calm", "own"), (4, "calm " * 100_000 + "awful", "own"), (5, "calm", "own")], "doc_id long, text string, score string").withColumn("toxic", F.lit(9))
     found = {(r.doc_id, r.text and r.text[:4]): r.score for r in tx.score(docs, model).collect()}
-    assert len(found) == 6 and found[1, "awfu"] > 0.3 > found[2, None]
+    assert len(found) == 6 and found[1, "awfu"] > found[2, None] + 0.2
     assert found[2, None] == found[3, ""] == found[None, "calm"] == found[5, "calm"] < found[4, "calm"]
     assert tx.score(docs.limit(0), model).count() == 0
     for a, b in ((bad.limit(0), rest), (bad, rest.limit(0))):
