@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Endings of the Russian stemmer, in the order of their public description.
 GERUND_AFTER_A = ["в", "вши", "вшись"]
@@ -90,6 +90,19 @@ def tokens(text: Column, fold: bool = False) -> Column:
     return F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+_FOLD = str.maketrans("ё" + FOLD_FROM, "е" + FOLD_TO)
+
+
+def query_words(text: str) -> list[str]:
+    """The folded tokens of a query text, in order: as tokens(fold=True), for a value of the driver."""
+    return re.findall(r"[^\W_]+", text.lower().translate(_FOLD))
+
+
+def word_forms(word: str) -> list[str]:
+    """A token as it is and, where it differs, its stem."""
+    return list(dict.fromkeys([word, stem_word(word)]))
+
+
 def normalised(text: Column) -> Column:
     """Tokens between single spaces, one before and one after: phrases are substrings of it."""
     return F.concat(F.lit(" "), F.array_join(tokens(text, fold=True), " "), F.lit(" "))
@@ -100,26 +113,56 @@ def stems_of(words: DataFrame) -> DataFrame:
     return words.select("term").distinct().filter(F.col("term").rlike("[а-яё]")).withColumn("stem", stem("term")).filter("stem <> term")
 
 
-#: Named entities that are decoded; others stay.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " "}
+def stem_text(words: DataFrame, key: str, text: str) -> DataFrame:
+    """key and stems: the tokens of a text by their stems, in order, joined by spaces; the distinct words are stemmed once."""
+    each = words.select(key, F.posexplode_outer(tokens(F.col(text))).alias("at", "term"))
+    stemmed = each.join(stems_of(each), "term", "left").select(key, "at", F.coalesce("stem", "term").alias("form"))
+    in_order = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "form"))))
+    return stemmed.groupBy(key).agg(F.array_join(F.transform(in_order, lambda s: s["form"]), " ").alias("stems"))
 
 
-def strip_tags(html: Column) -> Column:
-    """Text without tags, entities decoded (named, decimal, hexadecimal), white space folded and trimmed."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"<[^>]*>", " ")
+def index_text(text: Column) -> Column:
+    """The distinct forms of a text as the index holds them: each token followed by its stem, in the order first seen."""
+    return _forms(tokens(text, fold=True))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _forms(words: pd.Series) -> pd.Series:
+    stems: dict[str, list[str]] = {}
 
-    def numeric(piece: Column) -> Column:
-        code = F.regexp_extract(piece, r"^(\d{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        number = F.when(F.lower(code).startswith("x"), F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("long")
-        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    def of(word: str) -> list[str]:
+        if word not in stems:
+            stems[word] = word_forms(word)
+        return stems[word]
+
+    return words.map(lambda ws: list(dict.fromkeys(f for w in ws for f in of(w))))
+
+
+#: Named entities that are decoded, in any case; others stay.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+
+
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities decoded, each once: what one gives isn't decoded again."""
+
+    def decoded(piece: Column) -> Column:
+        entity = F.regexp_extract(piece, r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|\w+);", 1)
+        code = F.regexp_extract(entity, "^#(.*)$", 1)
+        number = F.when(F.lower(code).startswith("x"), F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).try_cast("long")
         valid = (code != "") & number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        return F.when(valid, F.concat(letter, F.regexp_replace(piece, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), piece))
+        letter = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        for name, value in ENTITIES.items():
+            letter = F.coalesce(letter, F.when(F.lower(entity) == name, F.lit(value)))
+        return F.when(letter.isNotNull(), F.concat(letter, F.substring(piece, F.length(entity) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
+
+    parts = F.split(text, "&")
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), decoded), ""))
 
-    parts = F.split(text, "&#")
-    text = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 30), numeric), ""))
-    for name, letter in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    return F.trim(F.regexp_replace(F.replace(text, F.lit("&amp;"), F.lit("&")), r"\s+", " "))
+
+def strip_tags(html: Column) -> Column:
+    """Text without tags, white space folded, entities decoded, trimmed."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"<[^>]*>", " "), r"\s+", " ")
+    return F.trim(decode_entities(plain))
 
 
 CHARS_PER_PAGE = 2000

@@ -2,53 +2,54 @@
 
 from __future__ import annotations
 
-import itertools
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.catalog import Catalog
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """df by way of a table in spark.checkpoint.dir (a new folder where it is unset), so that its lineage ends."""
-    conf = df.sparkSession.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/tessera-{uuid.uuid4().hex}/closure"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Levels after which a recursion is an error; no tree of categories is as deep.
+DEEPEST = 1000
 
 
-def closure(genres: DataFrame, cut_every: int = 3) -> DataFrame:
-    """(root, code, depth): every code with itself and all its descendants, each pair once; cycles end as no new pair appears.
+def closure(genres: DataFrame) -> DataFrame:
+    """(root, code, depth): every code with itself and all its descendants, each pair once at its least depth.
 
-    Trees of any depth; every few levels the lineage is cut by written tables.
+    A recursive query, each level of which joins the pairs found by the level before only. A walk ends where it would come
+    back to a code, so cycles end; a tree of more than DEEPEST levels is an error. No job runs while the plan is built.
     """
-    found = step = genres.select(F.col("genre_code").alias("root"), F.col("genre_code").alias("code"), F.lit(0).alias("depth"))
-    edges = genres.select(F.col("parent_code").alias("code"), F.col("genre_code").alias("child"))
-    for depth in itertools.count(1):
-        step = step.join(edges, "code").select("root", F.col("child").alias("code"), F.lit(depth).alias("depth")).join(found, ["root", "code"], "left_anti").distinct()
-        if depth % cut_every == 0:
-            step, found = _written(step), _written(found)
-        if step.isEmpty():
-            return found
-        found = found.unionByName(step)
+    return genres.sparkSession.sql(
+        f"""with recursive walk (root, code, depth, path) max recursion level {DEEPEST} as (
+              select genre_code, genre_code, 0, array(genre_code) from {{genres}}
+              union all
+              select root, genre_code, depth + 1, array_append(path, genre_code)
+              from walk join {{genres}} on parent_code = code where not array_contains(path, genre_code))
+            select root, code, min(depth) as depth from walk group by root, code""",
+        genres=genres.select("genre_code", "parent_code"),
+    )
 
 
 def subtree_counts(cat: Catalog) -> DataFrame:
-    """code, parent_code, title, books (each book once in the subtree) and own_books, over visible books; zero rows stay."""
+    """code, parent_code, title, books (each book once in the subtree) and own_books, over visible books; zero rows stay, deleted genres don't."""
+    genres = cat.genres.filter("not deleted")
     links = cat.genre_links.join(cat.books.filter("not deleted").select("book_id"), "book_id").select(F.col("genre_code").alias("code"), "book_id")
-    counts = closure(cat.genres).join(links, "code").groupBy("root").agg(F.count_distinct("book_id").alias("books"), F.count_distinct(F.when(F.col("root") == F.col("code"), F.col("book_id"))).alias("own_books"))
-    rows = cat.genres.join(counts.withColumnRenamed("root", "genre_code"), "genre_code", "left")
+    counts = closure(genres).join(links, "code").groupBy("root").agg(F.count_distinct("book_id").alias("books"), F.count_distinct(F.when(F.col("root") == F.col("code"), F.col("book_id"))).alias("own_books"))
+    rows = genres.join(counts.withColumnRenamed("root", "genre_code"), "genre_code", "left")
     return rows.select(F.col("genre_code").alias("code"), F.expr("nullif(parent_code, '')").alias("parent_code"), "title", F.coalesce("books", F.lit(0)).alias("books"), F.coalesce("own_books", F.lit(0)).alias("own_books"))
 
 
 def tree_paths(genres: DataFrame) -> DataFrame:
-    """code, depth and is_root: a row whose parent is absent becomes a root."""
-    up = closure(genres).filter("depth > 0").groupBy(F.col("code").alias("genre_code")).agg(F.max("depth").alias("depth"))
-    return genres.join(up, "genre_code", "left").select(F.col("genre_code").alias("code"), F.coalesce("depth", F.lit(0)).alias("depth"), F.col("depth").isNull().alias("is_root"))
+    """code, depth, is_root and path (titles from the root down, by " / "), in the order of a walk by titles.
+
+    A row whose parent is absent becomes a root.
+    """
+    above = closure(genres).join(genres.select(F.col("genre_code").alias("root"), "title"), "root")
+    way = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("up"), "title", "root")))
+    paths = above.groupBy(F.col("code").alias("genre_code")).agg(F.max("depth").alias("depth"), way.alias("way"))
+    rows = paths.select(
+        F.col("genre_code").alias("code"), "depth", (F.col("depth") == 0).alias("is_root"),
+        F.array_join(F.transform("way", lambda s: s["title"]), " / ").alias("path"), F.transform("way", lambda s: F.struct(s["title"], s["root"])).alias("key"),
+    )
+    return rows.orderBy("key").select("code", "depth", "is_root", "path")
 
 
 def topmost(selection: DataFrame, genres: DataFrame) -> DataFrame:

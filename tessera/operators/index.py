@@ -1,15 +1,32 @@
-"""Text index as tables: postings of forms, document lengths, grams; builds by high-water mark."""
+"""Text index as tables: postings of forms, vocabulary, document sizes, grams; built by high-water mark, read by pointer.
+
+An index is a folder. Each build writes new part folders and then, as its last act, adds one state file that names the
+parts in force; readers take the newest state. Nothing is overwritten or deleted, so a build that dies leaves the index
+as it was, and readers of an older state go on undisturbed.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalised, stems_of, tokens
+from tessera.sources.storage import written
 
+#: Weights of the fields.
 WEIGHTS = {"title": 10, "authors": 8, "series": 4, "keywords": 2, "annotation": 1}
+#: Largest vocabulary part (distinct Cyrillic words whose stem differs) that is broadcast.
+BROADCAST_TERMS = 500_000
+TABLES = {
+    "postings": "term string, book_id long, field string", "terms": "term string, books long, field string",
+    "sizes": "book_id long, dl long", "grams": "gram string, book_id long, field string",
+}
 
 
 def source_rows(books: DataFrame, links: dict[str, tuple[DataFrame, str, str]], annotations: DataFrame | None = None, since: int | None = None) -> DataFrame:
@@ -25,12 +42,22 @@ def source_rows(books: DataFrame, links: dict[str, tuple[DataFrame, str, str]],
     return rows if annotations is None else rows.join(annotations, "book_id", "left")
 
 
+def words_of_fields(source: DataFrame, fields: list[str]) -> DataFrame:
+    """field, term, book_id: the distinct tokens of each field of each book, by a narrow step."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.array_distinct(tokens(F.col(f), fold=True)).alias("terms")) for f in fields))
+    return source.select("book_id", F.explode(each).alias("x")).select("book_id", "x.field", F.explode("x.terms").alias("term")).select("field", "term", "book_id")
+
+
+def with_stems(words: DataFrame, stems: DataFrame) -> DataFrame:
+    """The postings that the stems (term, stem) of the words add."""
+    more = words.join(stems, "term").select("field", F.col("stem").alias("term"), "book_id")
+    return more.distinct().join(words, ["field", "term", "book_id"], "left_anti").select("field", "term", "book_id")
+
+
 def postings(source: DataFrame, fields: list[str]) -> DataFrame:
     """field, term, book_id: the distinct forms (tokens and stems) of each field of each book."""
-    each = F.array(*(F.struct(F.lit(f).alias("field"), F.array_distinct(tokens(F.col(f), fold=True)).alias("terms")) for f in fields))
-    forms = source.select("book_id", F.explode(each).alias("x")).select("book_id", "x.field", F.explode("x.terms").alias("term"))
-    more = forms.join(stems_of(forms), "term").select("field", F.col("stem").alias("term"), "book_id")
-    return forms.select("field", "term", "book_id").unionByName(more.join(forms, ["field", "term", "book_id"], "left_anti").distinct())
+    words = words_of_fields(source, fields)
+    return words.unionByName(with_stems(words, stems_of(words)))
 
 
 def grams(source: DataFrame, fields: list[str], n: int = 3) -> DataFrame:
@@ -41,6 +68,15 @@ def grams(source: DataFrame, fields: list[str], n: int = 3) -> DataFrame:
     return texts.select("field", F.explode(cut).alias("gram"), "book_id")
 
 
+def fingerprint(books: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row: books, mark (largest update id), and the number, bytes and newest time of the files read, where given."""
+    facts = books.agg(F.count("*").alias("books"), F.max("update_id").alias("mark"))
+    if files is None:
+        return facts
+    each = files.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return facts.crossJoin(each.agg(F.count("*").alias("files"), F.sum("file_size").alias("file_bytes"), F.max("file_modification_time").alias("newest")))  # one row each
+
+
 def decide(books: DataFrame, state: dict | None, force: bool = False) -> DataFrame:
     """One row: action (skipped, incremental, full), since, and the state to save (books, mark).
 
@@ -60,26 +96,134 @@ def append(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("book_id").distinct(), "book_id", "left_anti").unionByName(new)
 
 
-def write_index(tables: dict[str, DataFrame], root: str, version: str, state: dict) -> None:
-    """A new version: each table sorted by its term within files so that statistics prune; the pointer is written last."""
-    for name, df in tables.items():
-        key = next(c for c in ("term", "gram", "book_id") if c in df.columns)
-        df.repartition("field", key).sortWithinPartitions("field", key).write.partitionBy("field").parquet(f"{root}/{version}/{name}")
-    spark: SparkSession = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(json.dumps(state | {"version": version}),)], "state string").coalesce(1).write.mode("overwrite").text(f"{root}/state")
+@dataclass
+class TextIndex:
+    """The tables of an index at one state."""
+
+    state: dict
+    postings: DataFrame  # field, term, book_id
+    terms: DataFrame  # field, term, books: in one row or, over several parts, in some
+    sizes: DataFrame  # book_id, dl: forms over all fields
+    grams: DataFrame  # field, gram, book_id
+
+    @property
+    def n_books(self) -> int:
+        """Books with a form."""
+        return sum(p["n"] for p in self.state["parts"])
+
+    @property
+    def average_size(self) -> float:
+        return sum(p["dl"] for p in self.state["parts"]) / max(1, self.n_books)
 
 
 def read_state(spark: SparkSession, root: str) -> dict | None:
+    """The newest state of an index, None where none was ever completed."""
     from pyspark.errors import AnalysisException
 
     try:
-        return json.loads(spark.read.text(f"{root}/state").first().value)
-    except (AnalysisException, AttributeError):
+        states = [json.loads(r.value) for r in spark.read.text(f"{root}/state").collect()]  # a row for each build
+    except AnalysisException:
         return None
+    return max(states, key=lambda s: s["version"], default=None)
 
 
-def lengths(posts: DataFrame) -> DataFrame:
-    """book_id and dl: the number of forms over all fields."""
-    return posts.groupBy("book_id").agg(F.count("*").alias("dl"))
+def save_state(spark: SparkSession, root: str, state: dict) -> None:
+    """One more state file; it appears when its write is committed, and the others stay."""
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("append").text(f"{root}/state")
+
+
+def read_index(spark: SparkSession, root: str) -> TextIndex | None:
+    state = read_state(spark, root)
+    if state is None:
+        return None
 
+    def of(name: str) -> DataFrame:
+        frames = [spark.read.schema(TABLES[name]).parquet(f"{root}/{p['folder']}/{name}") for p in state["parts"]]
+        return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], TABLES[name])
 
+    return TextIndex(state, *(of(name) for name in TABLES))
+
+
+def _new_part(version: int) -> str:
+    """A folder that no other build uses, one that died included."""
+    return f"v{version}-{uuid.uuid4().hex[:12]}"
+
+
+def write_part(source: DataFrame, root: str, folder: str, fields: list[str], gram_fields: list[str]) -> dict:
+    """The tables of some books under root/folder, sorted by term (then book) so that statistics prune; its place in a state.
+
+    Stems are made from the written vocabulary: each distinct word once.
+    """
+    spark, at = source.sparkSession, f"{root}/{folder}"
+
+    def save(df: DataFrame, name: str, *key: str, mode: str = "errorifexists") -> DataFrame:
+        df.repartitionByRange("field", *key).sortWithinPartitions("field", *key).write.option("parquet.block.size", 16 << 20).partitionBy("field").mode(mode).parquet(f"{at}/{name}")
+        return spark.read.schema(TABLES[name]).parquet(f"{at}/{name}")
+
+    posts = save(words_of_fields(source, fields), "postings", "term", "book_id")
+    stems = written(stems_of(posts), "stems")
+    if n := stems.count():
+        more = written(with_stems(posts, F.broadcast(stems) if n <= BROADCAST_TERMS else stems), "stemmed")
+        save(more, "postings", "term", "book_id", mode="append")
+        posts = spark.read.schema(TABLES["postings"]).parquet(f"{at}/postings")
+    save(posts.groupBy("field", "term").agg(F.count("*").alias("books")), "terms", "term")
+    posts.groupBy("book_id").agg(F.count("*").alias("dl")).write.parquet(f"{at}/sizes")
+    save(grams(source, gram_fields), "grams", "gram", "book_id")
+    size = spark.read.schema(TABLES["sizes"]).parquet(f"{at}/sizes").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+    return {"folder": folder, "n": size.n, "dl": size.dl}
+
+
+def build_index(books: DataFrame, source: Callable[[int | None], DataFrame], root: str, fields: list[str], gram_fields: list[str], force: bool = False) -> dict:
+    """Bring the index at root up to date and return its state, with the action taken (skipped, incremental, full).
+
+    books: book_id and update_id of all books; source: rows with book_id and the fields, of all books or those above a mark.
+    """
+    spark = books.sparkSession
+    state = read_state(spark, root)
+    step = decide(books, state, force).first()
+    if step.action == "skipped":
+        return state | {"action": "skipped"}
+    version = state["version"] + 1 if state else 1
+    part = write_part(source(step.since), root, _new_part(version), fields, gram_fields)
+    parts = [*state["parts"], part] if step.action == "incremental" else [part]
+    state = {"version": version, "books": step.books, "mark": step.mark, "parts": parts, "action": step.action}
+    save_state(spark, root, state)
+    return state
+
+
+def deliver(batch: DataFrame, root: str, fields: list[str], gram_fields: list[str]) -> dict:
+    """Add a batch of books (book_id, update_id, fields) to the index; books that it already holds are replaced.
+
+    New books become a part of their own. Where a batch holds indexed books, the parts are merged without them, so an
+    append repeated changes nothing.
+    """
+    spark, index = batch.sparkSession, read_index(batch.sparkSession, root)
+    version = index.state["version"] + 1 if index else 1
+    facts = fingerprint(batch).first()
+    if not facts.books:
+        return index.state if index else {"version": 0, "books": 0, "mark": None, "parts": []}
+    part = write_part(batch, root, _new_part(version), fields, gram_fields)
+    if index is None:
+        parts, books = [part], facts.books
+    elif index.sizes.join(batch.select("book_id"), "book_id", "left_semi").isEmpty():
+        parts, books = [*index.state["parts"], part], index.state["books"] + facts.books
+    else:
+        parts, books = [_merged(index, root, _new_part(version), batch.select("book_id").distinct()), part], None
+    mark = max(x for x in (index.state["mark"] if index else None, facts.mark) if x is not None)
+    state = {"version": version, "books": books if books is not None else sum(p["n"] for p in parts), "mark": mark, "parts": parts, "action": "incremental"}
+    save_state(spark, root, state)
+    return state
+
+
+def _merged(index: TextIndex, root: str, folder: str, gone: DataFrame) -> dict:
+    """The index without some books, as one part."""
+    spark, at = gone.sparkSession, f"{root}/{folder}"
+    for name, key in (("postings", "term"), ("grams", "gram")):
+        kept = getattr(index, name).join(gone, "book_id", "left_anti")
+        kept.repartitionByRange("field", key, "book_id").sortWithinPartitions("field", key, "book_id").write.partitionBy("field").parquet(f"{at}/{name}")
+    posts = spark.read.schema(TABLES["postings"]).parquet(f"{at}/postings")
+    posts.groupBy("field", "term").agg(F.count("*").alias("books")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{at}/terms")
+    sizes = index.sizes.join(gone, "book_id", "left_anti")
+    sizes.write.parquet(f"{at}/sizes")
+    size = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+    return {"folder": folder, "n": size.n, "dl": size.dl}

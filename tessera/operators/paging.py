@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.catalog import Catalog, author_name
+from tessera.sources.storage import written
 
 _COLUMN_KEYS = {"title": ("search_title", ""), "year": ("year", 0), "lib_rate": ("lib_rate", 0), "size": ("size", 0), "added_at": ("update_id", 0)}
 
@@ -54,19 +55,37 @@ def page_rows(cat: Catalog, rows: DataFrame, user: int = 1) -> DataFrame:
 
 
 def relations(cat: Catalog, rows: DataFrame) -> DataFrame:
-    """book_id with its authors, genres and keywords as texts in link order; only links of these rows are read into the joins."""
+    """book_id with its authors, genres and keywords in link order, each an array of (id, label), null where there is none.
+
+    rows: a written page or a frame of books. Only links of these rows meet their dictionaries.
+    """
     ids = rows.select("book_id")
 
-    def ordered(links: DataFrame, label: Column, name: str) -> DataFrame:
+    def ordered(links: DataFrame, dictionary: DataFrame | None, key: str, label: Column, name: str) -> DataFrame:
         of_page = links.join(ids, "book_id", "left_semi")
-        items = of_page.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("ord", label.alias("label")))).alias("items"))
-        return items.select("book_id", F.array_join(F.transform("items", lambda x: x["label"]), "; ").alias(name))
+        named = of_page.join(dictionary, key) if dictionary is not None else of_page.filter(F.col(key).isNotNull())
+        items = named.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col(key).alias("id"), label.alias("label")))).alias("items"))
+        return items.select("book_id", F.transform("items", lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"))).alias(name))
 
-    authors = ordered(cat.author_links.join(cat.authors, "author_id"), author_name(), "authors")
-    genres = ordered(cat.genre_links.join(cat.genres, "genre_code"), F.col("title"), "genres")
-    keywords = ordered(cat.keyword_links.filter("keyword_id is not null"), F.col("keyword_id"), "keywords")
+    authors = ordered(cat.author_links, cat.authors, "author_id", author_name(), "authors")
+    genres = ordered(cat.genre_links, cat.genres.select("genre_code", "title"), "genre_code", F.col("title"), "genres")
+    keywords = ordered(cat.keyword_links, None, "keyword_id", F.col("keyword_id"), "keywords")
     return ids.join(authors, "book_id", "left").join(genres, "book_id", "left").join(keywords, "book_id", "left")
 
 
+def page_response(cat: Catalog, matched: DataFrame, key: str, user: int = 1, with_total: bool = False, **paging) -> DataFrame:
+    """The rows of a page with their relations, and on request the total; the page itself is found once, and written (200 rows at most)."""
+    keyed = with_sort_key(cat, matched, key, user)
+    rows = F.broadcast(written(page(keyed, **paging), "page"))
+    out = page_rows(cat, rows, user).join(relations(cat, rows), "book_id", "left")
+    return out.crossJoin(total(matched)) if with_total else out  # one row
+
+
+def next_key(rows: DataFrame, limit: int, descending: bool = False) -> tuple | None:
+    """The (key, id) after which the next page begins: of the last row of a full page, else None. rows: a page, 200 at most."""
+    seen = sorted(((r.sort_key, r.book_id) for r in rows.select("sort_key", "book_id").collect()), reverse=descending)
+    return seen[-1] if len(seen) == limit else None
+
+
 def total(matched: DataFrame) -> DataFrame:
     return matched.agg(F.count("*").alias("total"))

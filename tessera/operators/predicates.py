@@ -22,7 +22,6 @@ from tessera.sources.catalog import Catalog, group_members
 
 Tree = dict
 SCALARS = {"year", "lib_rate", "size", "lang", "ext", "archive"}
-_OPS = {"eq": "==", "gte": ">=", "lte": "<=", "gt": ">", "lt": "<"}
 
 
 def _compare(column: Column, leaf: Tree) -> Column:
@@ -48,32 +47,41 @@ def scalar(leaf: Tree) -> Column | None:
     return None
 
 
-def linked(cat: Catalog, leaf: Tree, user: int = 1) -> tuple[DataFrame, bool]:
-    """The books that a link leaf selects (distinct by use in semi joins), and whether it means all others."""
+def link_rows(cat: Catalog, leaf: Tree, user: int = 1) -> tuple[str, DataFrame, Column, bool]:
+    """Of a link leaf: a name of its table, the table (with book_id), the condition on its rows, and whether it means all other books."""
+    true = F.lit(True)
     if "books" in leaf:
-        return leaf["books"].select("book_id"), False
+        return f"books{id(leaf['books'])}", leaf["books"], true, False
     if leaf.get("term") == "genre":
-        codes = cat.genres.filter(F.col("genre_code").isin(leaf["values"])).select("genre_code")
-        if leaf.get("children"):
-            codes = closure(cat.genres).filter(F.col("root").isin(leaf["values"])).select(F.col("code").alias("genre_code")).distinct()
-            return cat.genre_links.join(F.broadcast(codes), "genre_code", "left_semi").select("book_id"), False  # the dictionary of categories is small
-        return cat.genre_links.filter(F.col("genre_code").isin(leaf["values"])).select("book_id"), False
+        if not leaf.get("children"):
+            return "genre", cat.genre_links, F.col("genre_code").isin(leaf["values"]), False
+        codes = closure(cat.genres).filter(F.col("root").isin(leaf["values"])).select(F.col("code").alias("genre_code")).distinct()
+        return f"genres below {leaf['values']}", cat.genre_links.join(codes, "genre_code", "left_semi"), true, False
     if "ids" in leaf:
         kind = leaf["ids"]
         links = {"author": cat.author_links, "series": cat.series_links, "keyword": cat.keyword_links}.get(kind)
         links = group_members(cat) if kind == "group" else links
-        return links.filter(F.col(f"{kind}_id").isin(leaf["values"])).select("book_id"), False
+        return kind, links, F.col(f"{kind}_id").isin(leaf["values"]), False
+    mine = cat.user_data.filter(F.col("user_id") == user)
     if "flag" in leaf:
-        sets = {"has_annotation": lambda: cat.annotated, "has_review": lambda: cat.reviewed, "favorite": lambda: cat.user_data.filter(F.col("user_id") == user).filter("favorite = 1"), "read": lambda: cat.user_data.filter(F.col("user_id") == user).filter("read = 1")}
-        return sets[leaf["flag"]]().select("book_id"), not leaf["value"]
+        name = leaf["flag"]
+        if name in ("favorite", "read"):
+            return "user", mine, F.col(name) == 1, not leaf["value"]
+        return name, {"has_annotation": cat.annotated, "has_review": cat.reviewed}[name], true, not leaf["value"]
     field = leaf.get("number") or leaf.get("range")
     if field == "seq":
-        return cat.series_links.filter(_compare(F.col("seq"), leaf)).select("book_id"), False
+        return "series", cat.series_links, _compare(F.col("seq"), leaf), False
     if field == "user_rate":
-        return cat.user_data.filter(F.col("user_id") == user).filter(_compare(F.col("rate"), leaf)).select("book_id"), False
+        return "user", mine, _compare(F.col("rate"), leaf), False
     raise ValueError(f"unknown predicate {leaf}")
 
 
+def linked(cat: Catalog, leaf: Tree, user: int = 1) -> tuple[DataFrame, bool]:
+    """The books that a link leaf selects (distinct by use in semi joins), and whether it means all others."""
+    _, rows, condition, others = link_rows(cat, leaf, user)
+    return rows.filter(condition).select("book_id"), others
+
+
 def children(tree: Tree) -> list[Tree]:
     return tree.get("and") or tree.get("or") or ([tree["not"]] if "not" in tree else [])
 
@@ -83,25 +91,33 @@ def mentions_deleted(tree: Tree) -> bool:
 
 
 def with_flags(cat: Catalog, books: DataFrame, trees: list[Tree], user: int = 1) -> tuple[DataFrame, list[Column]]:
-    """books with a membership column for each link leaf of the trees, and each tree as one boolean expression over them."""
-    flagged = books
+    """books with a membership column for each link leaf of the trees, and each tree as one boolean expression over them.
+
+    One aggregate and one join for each link table, whatever the number of leaves over it.
+    """
+    tables: dict[str, tuple[DataFrame, list[tuple[str, Column]]]] = {}
+    count = 0
 
     def lower(tree: Tree) -> Column:
-        nonlocal flagged
+        nonlocal count
         if "and" in tree or "or" in tree:
             return reduce(Column.__and__ if "and" in tree else Column.__or__, [lower(x) for x in children(tree)])
         if "not" in tree:
             return ~lower(tree["not"])
         if (condition := scalar(tree)) is not None:
             return condition
-        ids, others = linked(cat, tree, user)
-        name = f"f{sum(c.startswith('f') and c[1:].isdigit() for c in flagged.columns)}"
-        flagged = flagged.join(ids.distinct().withColumn(name, F.lit(True)), "book_id", "left")
-        member = F.coalesce(F.col(name), F.lit(False))
+        table, rows, condition, others = link_rows(cat, tree, user)
+        flag = f"flag_{count}_"
+        count += 1
+        tables.setdefault(table, (rows, []))[1].append((flag, condition))
+        member = F.coalesce(F.col(flag), F.lit(False))
         return ~member if others else member
 
     conditions = [lower(t) for t in trees]
-    return flagged, conditions
+    for rows, flags in tables.values():
+        wanted = rows.filter(reduce(Column.__or__, [c for _, c in flags]))
+        books = books.join(wanted.groupBy("book_id").agg(*(F.max(F.coalesce(c, F.lit(False))).alias(f) for f, c in flags)), "book_id", "left")
+    return books, conditions
 
 
 def match(cat: Catalog, tree: Tree | None, user: int = 1, hide_deleted: bool = True) -> DataFrame:

@@ -1,91 +1,209 @@
-"""Text search over the index tables: match, prefix, phrase, substring, BM25, and the unindexed variant."""
+"""Text search over a built index: match, prefix, phrase, substring, BM25, tables of queries, and the unindexed variant.
+
+A query of one text is known to the driver, so its forms become filters that reach the scan of the sorted postings. A table
+of queries is joined with them, each query by its rarest word first.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalised, stems_of, tokens
-from tessera.operators.index import WEIGHTS
+from tessera.functions.text import normalised, query_words, stems_of, tokens, word_forms
+from tessera.operators.index import WEIGHTS, TextIndex
+from tessera.sources.catalog import Catalog, author_name
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-
-
-def query_forms(queries: DataFrame) -> DataFrame:
-    """query_id, word_no, form for a table (query_id, text): every word as it is and by its stem."""
-    words = queries.select("query_id", F.posexplode(tokens(F.col("text"), fold=True)).alias("word_no", "term"))
-    stems = words.join(stems_of(words), "term").select("query_id", "word_no", F.col("stem").alias("form"))
-    return words.select("query_id", "word_no", F.col("term").alias("form")).unionByName(stems).distinct()
+#: Books of a query's rarest word up to which they are broadcast to the other words' postings.
+BROADCAST_BOOKS = 1_000_000
 
 
 def _scoped(posts: DataFrame, field: str) -> DataFrame:
     return posts if field == "any" else posts.filter(F.col("field") == field)
 
 
-def search(queries: DataFrame, posts: DataFrame, field: str = "any", prefix: bool = False) -> DataFrame:
-    """(query_id, book_id) where every word of the query matches by some form; words may match in different fields if any."""
-    forms = query_forms(queries)
-    needed = forms.groupBy("query_id").agg(F.count_distinct("word_no").alias("words"))
-    found = _scoped(posts, field).select("term", "book_id").distinct()
-    if prefix:
-        # Equal first letters make it an equi-join; the rest of the prefix is a condition of the join.
-        hits = forms.withColumn("head", F.substring("form", 1, 1)).join(found.withColumn("head", F.substring("term", 1, 1)), "head").filter(F.col("term").startswith(F.col("form")))
-    else:
-        hits = found.join(forms, found["term"] == forms["form"])
-    got = hits.groupBy("query_id", "book_id").agg(F.count_distinct("word_no").alias("got"))
-    return got.join(needed, "query_id").filter("got = words").select("query_id", "book_id")
+def _is_form(form: str, op: str) -> Column:
+    return F.col("term").startswith(form) if op == "prefix" else F.col("term") == form
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(Column.__or__, conditions, F.lit(False))
 
 
-def phrase(source: DataFrame, field: str, text: str) -> DataFrame:
-    """Books whose raw words hold those of text next to each other."""
-    wanted = normalised(F.lit(text))
-    return source.filter((F.length(wanted) > 2) & normalised(F.col(field)).contains(wanted)).select("book_id")
+def _forms(text: str, op: str) -> list[list[str]]:
+    """The forms of each word of a query; a phrase has raw words only."""
+    words = query_words(text)
+    if not words:
+        raise ValueError("an empty text query")
+    return [[w] if op == "phrase" else word_forms(w) for w in words]
+
+
+def match(index: TextIndex, text: str, field: str = "any", op: str = "match") -> DataFrame:
+    """book_id where every word occurs by some form (op match), or begins some form (op prefix); words may be in different fields if any.
+
+    One filtered scan of the postings and one aggregate. With several words, the books of the rarest one, by the
+    vocabulary, thin out the others' postings first.
+    """
+    forms, posts = _forms(text, op), _scoped(index.postings, field)
+    words = [_any([_is_form(f, op) for f in fs]) for fs in forms]
+    if len(words) == 1:
+        return posts.filter(words[0]).select("book_id").distinct()
+    counted = _scoped(index.terms, field).agg(*(F.coalesce(F.sum(F.when(w, F.col("books"))), F.lit(0)).alias(f"n{k}") for k, w in enumerate(words))).first()
+    rare = min(range(len(words)), key=lambda k: counted[k])
+    found = posts.filter(_any(words))
+    if counted[rare] <= BROADCAST_BOOKS:
+        candidates = posts.filter(words[rare]).select("book_id").distinct()
+        found = found.join(F.broadcast(candidates), "book_id", "left_semi")  # at most as many rows as counted
+    flags = [F.max(w.cast("int")).alias(f"w{k}") for k, w in enumerate(words)]
+    return found.groupBy("book_id").agg(*flags).filter(reduce(Column.__and__, [F.col(f"w{k}") == 1 for k in range(len(words))])).select("book_id")
+
+
+def _occurrences(text: Column, words: list[str]) -> Column:
+    """How often the words stand next to each other in a text."""
+    k, wanted = len(words), F.array(*map(F.lit, words))
+
+    def count(own: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(own) - k + 1)
+        return F.when(F.size(own) >= k, F.size(F.filter(at, lambda i: F.slice(own, i, k) == wanted))).otherwise(0)
+
+    return F.transform(F.array(tokens(text, fold=True)), count)[0]  # the tokens are bound once
+
+
+def phrase(index: TextIndex, source: DataFrame, fields: list[str], text: str) -> DataFrame:
+    """book_id and one count of occurrences for each field: books in which the raw words of text stand next to each other.
+
+    Candidates come from the postings; only their texts are read word by word.
+    """
+    words = query_words(text)
+    scope = fields[0] if len(fields) == 1 else "any"
+    held = source.join(match(index, text, scope, "phrase"), "book_id", "left_semi")
+    counts = held.select("book_id", *(_occurrences(F.col(f), words).alias(f) for f in fields))
+    return counts.filter(_any([F.col(f) > 0 for f in fields]))
+
 
+def substring(index: TextIndex, source: DataFrame, field: str, text: str) -> DataFrame:
+    """Books whose normalised field holds the normalised text, which may cross words: by all its grams, then verified.
 
-def substring(source: DataFrame, gram_table: DataFrame, field: str, text: str) -> DataFrame:
-    """Books whose normalised field holds text, which may cross words: by all its grams, then verified. At least 3 characters."""
-    plain = text.lower()
+    The query is folded and cut into tokens as the field is; at least 3 characters must be left.
+    """
+    plain = " ".join(query_words(text))
     pieces = sorted({plain[i : i + 3] for i in range(len(plain) - 2)})
     if not pieces or field == "annotation":
         raise ValueError("a substring query needs 3 characters and a field other than annotation")
-    candidates = gram_table.filter((F.col("field") == field) & F.col("gram").isin(pieces)).groupBy("book_id").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(pieces))
+    candidates = index.grams.filter((F.col("field") == field) & F.col("gram").isin(pieces)).groupBy("book_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(pieces))
     return source.join(candidates.select("book_id"), "book_id", "left_semi").filter(F.trim(normalised(F.col(field))).contains(plain)).select("book_id")
 
 
+def _holds(text: Column, query: str, op: str) -> Column:
+    """Whether one text holds a query without an index: all words, prefixes or the phrase, without stems; or the upper-cased substring."""
+    if op == "substring":
+        return F.upper(F.coalesce(text, F.lit(""))).contains(query.upper())
+    terms = [query_words(t) for t in query.replace(",", " ").replace(";", " ").split()]
+    terms = [[w for ws in terms for w in ws]] if op == "phrase" else [ws for ws in terms if ws]
+    if not any(terms):
+        raise ValueError("an empty text query")
+    padded = normalised(text)  # words of a term that a symbol parts stand next to each other
+    return reduce(Column.__and__, [padded.contains(" " + " ".join(ws) + ("" if op == "prefix" else " ")) for ws in terms])
+
+
 def unindexed(source: DataFrame, fields: list[str], text: str, op: str = "match") -> DataFrame:
-    """Without an index and stems: all words (or prefixes, or the phrase) in one field; any field of the list may do."""
-    words = [w for w in text.lower().split() if w]
+    """Over columns of the books themselves: all words (or prefixes, or the phrase) in one field; any field of the list may do."""
+    return source.filter(_any([_holds(F.col(f), text, op) for f in fields])).select("book_id")
+
+
+def unindexed_catalog(cat: Catalog, field: str, text: str, op: str = "match", annotations: DataFrame | None = None) -> DataFrame:
+    """book_id by title, author, series, keyword, annotation or any, before an index is built; all words in one row of one table.
+
+    Keywords know prefixes and substrings of the whole name only. any: title for a substring, else all tables but keywords.
+    """
+    dictionaries = {"author": (cat.authors.select("author_id", author_name("list").alias("label")), cat.author_links), "series": (cat.series.select("series_id", F.col("series_title").alias("label")), cat.series_links)}
+
+    def one(name: str) -> DataFrame:
+        if name == "title":
+            return cat.books.filter(_holds(F.col("title"), text, op)).select("book_id")
+        if name == "annotation":
+            if op == "substring" or annotations is None:
+                raise ValueError("an annotation has no substring query, and needs its texts")
+            return annotations.filter(_holds(F.col("annotation"), text, op)).select("book_id")
+        if name == "keyword":
+            label = F.upper(F.col("keyword_id").cast("string"))
+            return cat.keyword_links.filter(label.contains(text.upper()) if op == "substring" else label.startswith(text.upper())).select("book_id")
+        rows, links = dictionaries[name]
+        return links.join(rows.filter(_holds(F.col("label"), text, op)), f"{name}_id", "left_semi").select("book_id")
+
+    if field != "any":
+        return one(field).distinct()
+    names = ["title"] if op == "substring" else ["title", "author", "series", *(["annotation"] if annotations is not None else [])]
+    return reduce(DataFrame.unionByName, map(one, names)).distinct()
+
+
+def _idf(n: Column | int, n_books: int) -> Column:
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.greatest(F.log((F.lit(n_books) - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
+
+
+def _gain(index: TextIndex, freq: DataFrame, by: str) -> DataFrame:
+    """freq (by, book_id, f) with gain: the BM25 part of each form in each book; every form's own idf, lengths over all fields."""
+    held = freq.groupBy(by).agg(F.count("*").alias("n"))
+    f, dl = F.col("f"), F.col("dl")
+    gain = _idf(F.col("n"), index.n_books) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / index.average_size))
+    return freq.join(F.broadcast(held), by).join(index.sizes, "book_id").select(by, "book_id", gain.alias("gain"))  # held: a row for each form of the query
 
-    def holds(field: str) -> Column:
-        own = tokens(F.col(field), fold=True)
-        if op == "phrase":
-            return normalised(F.col(field)).contains(f" {' '.join(words)} ")
-        if op == "substring":
-            return F.upper(F.coalesce(field, F.lit(""))).contains(text.upper())
-        each = [F.exists(own, lambda x, w=w: x.startswith(w)) if op == "prefix" else F.array_contains(own, w) for w in words]
-        return F.aggregate(F.array(*each), F.lit(True), lambda a, x: a & x)
 
-    conditions = [holds(f) for f in fields]
-    return source.filter(F.array_contains(F.array(*conditions), True)).select("book_id")
+def _weight(column: str = "field") -> Column:
+    return reduce(lambda c, x: F.when(F.col(column) == x[0], x[1]).otherwise(c), WEIGHTS.items(), F.lit(0))
 
 
-def bm25(queries: DataFrame, posts: DataFrame, field: str = "any") -> DataFrame:
-    """query_id, book_id, score for the books that match all words; higher is better.
+def bm25(index: TextIndex, text: str, field: str = "any", op: str = "match", source: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
+    """book_id and score of the books that match (op match, prefix, or phrase with source and fields); higher is better.
 
-    A form counts once for each field that holds it, times the field's weight; each form has its own idf over the scope;
-    lengths are over all fields.
+    A form counts once for each field and term that holds it, times the field's weight; a phrase by its occurrences.
+    """
+    if op == "phrase":
+        scope = fields or [field]
+        freq = phrase(index, source, scope, text).select(F.lit(0).alias("form"), "book_id", reduce(Column.__add__, [F.col(f) * WEIGHTS[f] for f in scope]).alias("f"))
+        return _gain(index, freq, "form").select("book_id", F.col("gain").alias("score"))
+    words = _forms(text, op)
+    flat = [(k, f) for k, fs in enumerate(words) for f in fs]
+    posts = _scoped(index.postings, field).filter(_any([_is_form(f, op) for _, f in flat]))
+    which = F.explode(F.array_compact(F.array(*(F.when(_is_form(f, op), i) for i, (_, f) in enumerate(flat)))))
+    freq = posts.select(which.alias("form"), "book_id", _weight().alias("w")).groupBy("form", "book_id").agg(F.sum("w").alias("f"))
+    scored = _gain(index, freq, "form")
+    word_of = reduce(lambda c, x: F.when(F.col("form") == x[0], x[1][0]).otherwise(c), enumerate(flat), F.lit(-1))
+    per_book = scored.groupBy("book_id").agg(F.sum("gain").alias("score"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), word_of)).alias("words"))
+    return per_book.filter(F.col("words") == (1 << len(words)) - 1).select("book_id", "score")
+
+
+def query_forms(queries: DataFrame) -> DataFrame:
+    """query_id, word_no, form for a table (query_id, text): every word as it is and by its stem."""
+    words = queries.select("query_id", F.posexplode(F.array_distinct(tokens(F.col("text"), fold=True))).alias("word_no", "term"))
+    stems = words.join(stems_of(words), "term").select("query_id", "word_no", F.col("stem").alias("form"))
+    return words.select("query_id", "word_no", F.col("term").alias("form")).unionByName(stems).distinct()
+
+
+def search(queries: DataFrame, index: TextIndex, field: str = "any", prefix: bool = False) -> DataFrame:
+    """(query_id, book_id) where every word of the query matches by some form; words may match in different fields if any.
+
+    The rarest word of a query, by the vocabulary, gives its candidates; the other words look up (form, book) pairs, so a
+    common word's postings are never joined with all queries that hold it. Prefixes are expanded over the vocabulary.
     """
     forms = query_forms(queries)
-    sizes = posts.groupBy("book_id").agg(F.count("*").alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n_books"), F.avg("dl").alias("avgdl"))
-    weight = F.lit(0)
-    for name, w in WEIGHTS.items():
-        weight = F.when(F.col("field") == name, w).otherwise(weight)
-    scoped = _scoped(posts, field)
-    freq = scoped.join(forms.select(F.col("form").alias("term")).distinct(), "term", "left_semi").groupBy("term", "book_id").agg(F.sum(weight).alias("f"))
-    held = freq.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.log((F.col("n_books") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    gain = F.greatest(idf, F.lit(LEAST_IDF)) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = freq.join(held, "term").join(sizes, "book_id").crossJoin(F.broadcast(stats)).select("term", "book_id", gain.alias("gain"))  # one row of statistics
-    scores = scored.join(forms, scored["term"] == forms["form"]).groupBy("query_id", "book_id").agg(F.sum("gain").alias("score"))
-    return scores.join(search(queries, posts, field), ["query_id", "book_id"])
+    posts, terms = _scoped(index.postings, field), _scoped(index.terms, field).groupBy("term").agg(F.sum("books").alias("books"))
+    if prefix:
+        # Every beginning of a vocabulary word as a key: an equi-join, at most a word's length times the vocabulary.
+        begun = terms.select("term", "books", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.left(F.col("term"), k))).alias("form"))
+        counted = forms.join(begun, "form").select("query_id", "word_no", F.col("term").alias("form"), "books").distinct()
+    else:
+        counted = forms.join(terms.withColumnRenamed("term", "form"), "form")
+    per_word = counted.groupBy("query_id", "word_no").agg(F.sum("books").alias("books"))
+    plan = per_word.groupBy("query_id").agg(F.min_by("word_no", F.struct("books", "word_no")).alias("rarest"), F.count("*").alias("held"))
+    words = forms.groupBy("query_id").agg(F.count_distinct("word_no").alias("words"))
+    plan = plan.join(words, "query_id").filter("held = words").select("query_id", "rarest", "words")  # a word outside the vocabulary: no match
+    chosen = counted.join(plan, "query_id")
+    held = posts.select(F.col("term").alias("form"), "book_id").distinct()
+    first = chosen.filter("word_no = rarest").select("query_id", "words", "form").join(held, "form").select("query_id", "words", "book_id").distinct()
+    rest = first.join(chosen.filter("word_no <> rarest").select("query_id", "word_no", "form"), "query_id").join(held, ["form", "book_id"])
+    got = rest.groupBy("query_id", "book_id", "words").agg(F.count_distinct("word_no").alias("got")).filter("got = words - 1").select("query_id", "book_id")
+    return first.filter("words = 1").select("query_id", "book_id").unionByName(got)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,31 +19,39 @@ from tessera.operators import search_text as st
 from tessera.operators.predicates import match
 from tessera.sources.catalog import Catalog, group_members, orders_catalog, table
 from tessera.sources.content import normalise_reviews
+from tessera.sources.storage import new_folder, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-BASE = """with books as (
+BASE = """with overrides as (select json_extract(props, '$.k')::bigint as book_id, arg_max(value >= 50, {'a': ts, 'b': event_id}) as deleted from events
+  where event_type = 'error' and json_extract(props, '$.k') is not null group by 1),
+books as (
   select o_orderkey as book_id, o_orderpriority || ' ' || o_orderkey as title, upper(o_orderpriority || ' ' || o_orderkey) as search_title,
     year(o_orderdate)::int as year, floor(o_totalprice)::bigint as size, substr(o_orderpriority, 1, 1)::int as lib_rate, o_orderpriority as lang,
-    '.' || lower(o_orderstatus) as ext, c_mktsegment as archive, o_orderstatus = 'P' as deleted,
+    '.' || lower(o_orderstatus) as ext, c_mktsegment as archive, 'b' || o_orderkey || '.' || lower(o_orderstatus) as file_name, coalesce(deleted, o_orderstatus = 'P') as deleted,
     (year(o_orderdate) * 12 + month(o_orderdate))::bigint as update_id, c_nationkey
-  from orders left join customer on o_custkey = c_custkey),
+  from orders left join customer on o_custkey = c_custkey left join overrides on book_id = o_orderkey),
+names as (select p_partkey as author_id, string_split(p_name, ' ')[2] as last_name, string_split(p_name, ' ')[1] as first_name, case when p_size % 3 = 0 then p_brand end as middle_name from part),
+labels_ as (select author_id, last_name, trim(concat_ws(' ', nullif(last_name, ''), nullif(first_name, ''), nullif(middle_name, ''))) as p,
+  trim(last_name || ' ' || coalesce(first_name, '') || ' ' || coalesce(middle_name, '')) as f, trim(coalesce(last_name, '') || ' ' || coalesce(first_name, '') || ' ' || coalesce(middle_name, '')) as l from names),
+authors as (select author_id, last_name, case when coalesce(p, '') in ('', 'unknown') then 'Unknown author' else p end as page_name, case when coalesce(f, '') in ('', 'unknown') then 'Unknown author' else f end as facet_name,
+  case when l in ('', 'unknown') then 'Unknown author' else l end as list_name from labels_),
 author_links as (select *, row_number() over (partition by book_id order by seq, author_id) - 1 as ord from
   (select l_orderkey as book_id, l_partkey as author_id, min(l_linenumber) as seq from lineitem group by all)),
 series_links as (select *, row_number() over (partition by book_id order by seq, series_id) - 1 as ord from
   (select l_orderkey as book_id, l_suppkey as series_id, min(l_linenumber) as seq from lineitem group by all)),
 keyword_links as (select *, row_number() over (partition by book_id order by seq, keyword_id) - 1 as ord from
   (select l_orderkey as book_id, p_type as keyword_id, min(l_linenumber) as seq from lineitem join part on p_partkey = l_partkey group by all)),
-genres as (select 'R' || r_regionkey as genre_code, '' as parent_code, r_name as title from region
-  union all select 'N' || n_nationkey, 'R' || n_regionkey, n_name from nation),
+genres as (select 'R' || r_regionkey as genre_code, '' as parent_code, r_name as title, false as deleted from region
+  union all select 'N' || n_nationkey, 'R' || n_regionkey, case when n_nationkey % 3 > 0 then n_name when n_nationkey % 2 > 0 then lower(n_name) else 'N' || n_nationkey end, n_nationkey = 17 from nation),
 genre_links as (select book_id, 'N' || c_nationkey as genre_code from books where c_nationkey is not null),
 user_data as (select user_id, json_extract(props, '$.k')::bigint as book_id, max((event_type = 'purchase')::int) as favorite,
   max((event_type = 'view')::int) as read, floor(arg_max(value, {'a': ts, 'b': event_id}))::bigint % 5 + 1 as rate from events group by all),
 seen as (select * from books where not deleted)
 """
 TOK = f"list_filter(regexp_split_to_array(translate(lower(coalesce({{}}, '')), 'ё{FOLD_FROM}', 'е{FOLD_TO}'), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda x: x <> '')"
-TITLE = "left(string_split(text, chr(10))[1], 200)"
+TITLE = "string_split(text, chr(10))[1]"
 
 
 def tok(column: str) -> str:
@@ -73,10 +83,27 @@ def cat_of(spark: SparkSession, d: str) -> Catalog:
     return orders_catalog(spark, d)
 
 
+def flat(rows: DataFrame) -> DataFrame:
+    """Relations as texts, for the comparison with SQL."""
+    return rows.withColumns({c: F.array_join(F.transform(c, lambda x: x["label"]), "; ") for c in ("authors", "genres", "keywords")})
+
+
 def documents_source(spark: SparkSession, d: str) -> DataFrame:
-    """book_id, title (first line, 200 characters) and annotation (the text) of the documents."""
+    """book_id, update_id, title (the whole first line) and annotation (the text) of the documents."""
     docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("book_id"), F.substring(F.split("text", "\n")[0], 1, 200).alias("title"), F.col("text").alias("annotation"))
+    return docs.select(F.col("doc_id").alias("book_id"), F.col("doc_id").alias("update_id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("annotation"))
+
+
+FIELDS, GRAM_FIELDS = ["title", "annotation"], ["title"]
+
+
+def documents_index(spark: SparkSession, d: str) -> ix.TextIndex:
+    """The index of the documents: built where there is none, else read; what has been added since is indexed incrementally."""
+    root = f"{shared_folder(spark)}/text-index-{hashlib.md5(d.encode()).hexdigest()}"
+    source = documents_source(spark, d)
+    books = source.select("book_id", "update_id")
+    ix.build_index(books, lambda since: source if since is None else source.filter(F.col("update_id") > since), root, FIELDS, GRAM_FIELDS)
+    return ix.read_index(spark, root)
 
 
 def whole_source(spark: SparkSession, d: str) -> DataFrame:
@@ -125,9 +152,9 @@ def search_link_any(spark, d):
     return match(cat_of(spark, d), tree).select("book_id")
 
 
-_GROUPS = """, g as (select n_regionkey::bigint as group_id, n_nationkey as object_id from nation), gm as (
-  select group_id, book_id from g join books on book_id = object_id union select group_id, book_id from g join author_links on author_id = object_id
-  union select group_id, book_id from g join series_links on series_id = object_id)"""
+_GROUPS = """, g as (select n_regionkey::bigint as group_id, n_nationkey::varchar as object_id from nation union all select distinct length(p_type)::bigint % 5, p_type from part), gm as (
+  select group_id, book_id from g join books on book_id::varchar = object_id union select group_id, book_id from g join author_links on author_id::varchar = object_id
+  union select group_id, book_id from g join series_links on series_id::varchar = object_id union select group_id, book_id from g join keyword_links on keyword_id = object_id)"""
 
 
 @query(_GROUPS + " select group_id, book_id from gm")
@@ -152,7 +179,7 @@ def visibility(spark, d):
     return match(cat_of(spark, d), {"or": [{"flag": "deleted", "value": True}, {"number": "year", "op": "eq", "value": 2000}]}).select("book_id", "deleted")
 
 
-@query(_AND_SQL + """, k as (select book_id, arg_min(upper(p_name), {'a': ord, 'b': author_id}) as k from author_links join part on p_partkey = author_id group by 1)
+@query(_AND_SQL + """, k as (select book_id, arg_min(upper(last_name), {'a': ord, 'b': author_id}) as k from author_links join authors using (author_id) group by 1)
   select m.book_id, title, year, size, coalesce(k, '') as sort_key from m left join k using (book_id) order by sort_key desc, book_id desc limit 50""")
 def sort_first_author(spark, d):
     cat = cat_of(spark, d)
@@ -171,7 +198,56 @@ def page_offset(spark, d):
     return pg.page(pg.with_sort_key(cat, match(cat, None), "year"), offset=120, descending=True).select(*_PAGE.split(", "))
 
 
-_RELATIONS = """, ra as (select book_id, string_agg(coalesce(nullif(trim(p_name), ''), 'Unknown author'), '; ' order by ord) as authors from author_links join part on p_partkey = author_id group by 1),
+@query(" select book_id from seen where book_id in (select book_id from genre_links where genre_code in ('N3', 'N7', 'R1'))")
+def search_genre_exact(spark, d):
+    return match(cat_of(spark, d), {"term": "genre", "values": ["N3", "N7", "R1"]}).select("book_id")
+
+
+@query(""" select book_id from seen where book_id in (select book_id from user_data where user_id = 3 and read = 1) and book_id in (select book_id from series_links where seq between 2 and 3)
+  and lib_rate between 2 and 4""")
+def search_read(spark, d):
+    return match(cat_of(spark, d), {"and": [{"flag": "read", "value": True}, {"range": "seq", "from": 2, "to": 3}, {"range": "lib_rate", "from": 2, "to": 4}]}, user=3).select("book_id")
+
+
+@query(""" select book_id from seen where (book_id in (select book_id from user_data where user_id = 3 and rate > 3) or book_id not in (select book_id from user_data where user_id = 3 and read = 1) and year < 1995
+  or book_id in (select book_id from user_data where user_id = 3 and favorite = 1)) and not (book_id in (select book_id from author_links where author_id = 7) or book_id in (select book_id from author_links where author_id < 5))""")
+def search_flags(spark, d):
+    """Several leaves over one link table, inside OR and NOT: one aggregate for each table."""
+    any_of = {"or": [{"number": "user_rate", "op": "gt", "value": 3}, {"and": [{"flag": "read", "value": False}, {"number": "year", "op": "lt", "value": 1995}]}, {"flag": "favorite", "value": True}]}
+    tree = {"and": [any_of, {"not": {"or": [{"ids": "author", "values": [7]}, {"ids": "author", "values": [0, 1, 2, 3, 4]}]}}]}
+    return match(cat_of(spark, d), tree, user=3).select("book_id")
+
+
+@query(" select book_id, deleted, file_name from books where deleted <> (book_id in (select o_orderkey from orders where o_orderstatus = 'P')) or book_id < 50")
+def effective_books(spark, d):
+    """The effective view where a user's override changed the flag, and the first books."""
+    cat = cat_of(spark, d)
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("book_id"), (F.col("o_orderstatus") == "P").alias("own"))
+    return cat.books.join(own, "book_id").filter("deleted <> own or book_id < 50").select("book_id", "deleted", "file_name")
+
+
+_SORTS = {
+    "lib_rate": "coalesce(lib_rate, 0)", "added_at": "coalesce(update_id, 0)", "user_rate": "coalesce((select max(rate) from user_data u where u.book_id = s.book_id and user_id = 2), 0)",
+    "seq": "coalesce((select min(seq) from series_links l where l.book_id = s.book_id), 0)",
+    "series": "coalesce((select arg_min(upper(s_name), {'a': ord, 'b': series_id}) from series_links l join supplier on s_suppkey = series_id where l.book_id = s.book_id), '')",
+}
+
+
+def _sort_query(key: str, expression: str) -> None:
+    def run(spark, d):
+        cat = cat_of(spark, d)
+        return pg.page(pg.with_sort_key(cat, match(cat, None), key, user=2), limit=200, descending=key == "series").select("book_id", F.col("sort_key"))
+
+    run.__name__ = f"sort_{key}"
+    way = " desc" if key == "series" else ""
+    query(f" select book_id, {expression} as sort_key from seen s order by sort_key{way}, book_id{way} limit 200")(run)
+
+
+for _k, _e in _SORTS.items():
+    _sort_query(_k, _e)
+
+
+_RELATIONS = """, ra as (select book_id, string_agg(page_name, '; ' order by ord) as authors from author_links join authors using (author_id) group by 1),
  rg as (select book_id, string_agg(title, '; ') as genres from genre_links join genres using (genre_code) group by 1),
  rk as (select book_id, string_agg(keyword_id, '; ' order by ord) as keywords from keyword_links group by 1),
  rs as (select book_id, series_id, seq, s_name as series_title from series_links join supplier on s_suppkey = series_id where ord = 0)"""
@@ -183,8 +259,15 @@ _RELATIONS = """, ra as (select book_id, string_agg(coalesce(nullif(trim(p_name)
  from p left join rs using (book_id) left join ra using (book_id) left join rg using (book_id) left join rk using (book_id) left join user_data u on u.book_id = p.book_id and user_id = 1""")
 def page_relations(spark, d):
     cat = cat_of(spark, d)
-    rows = pg.page(pg.with_sort_key(cat, match(cat, SEARCH_AND), "title"))
-    return pg.page_rows(cat, rows).join(pg.relations(cat, rows), "book_id", "left")
+    return flat(pg.page_response(cat, match(cat, SEARCH_AND), "title"))
+
+
+@query(_AND_SQL + _RELATIONS + """, p as (select *, year as sort_key from m order by year desc, book_id desc limit 20 offset 30)
+ select p.book_id, title, sort_key, authors, genres, keywords, (select count(*) from m) as total from p left join ra using (book_id) left join rg using (book_id) left join rk using (book_id)""")
+def search_response(spark, d):
+    cat = cat_of(spark, d)
+    found = pg.page_response(cat, match(cat, SEARCH_AND), "year", with_total=True, limit=20, offset=30, descending=True)
+    return flat(found).select("book_id", "title", "sort_key", "authors", "genres", "keywords", "total")
 
 
 @query(_AND_SQL + " select count(*) as total from m")
@@ -200,7 +283,7 @@ _FACET_V = {
     "year": ("select 'year' as field, year::varchar as value, null as label from c where c1 and c2 and year > 0", ""),
     "lib_rate": ("select 'lib_rate' as field, lib_rate::varchar as value, null as label from c where c1 and c2 and c3 and lib_rate > 0", ""),
     "genre": ("select 'genre' as field, genre_code as value, genres.title as label from c join genre_links using (book_id) left join genres using (genre_code) where c1 and c2 and c3", ""),
-    "author": ("select 'author' as field, author_id::varchar as value, coalesce(nullif(trim(p_name), ''), 'Unknown author') as label from c join author_links using (book_id) join part on p_partkey = author_id where c1 and c3", ""),
+    "author": ("select 'author' as field, author_id::varchar as value, facet_name as label from c join author_links using (book_id) join authors using (author_id) where c1 and c3", ""),
     "series": ("select 'series' as field, series_id::varchar as value, s_name as label from c join series_links using (book_id) join supplier on s_suppkey = series_id where c1 and c2 and c3", ""),
 }
 
@@ -213,7 +296,7 @@ def _facet_sql(fields: list[str]) -> str:
  r as (select *, row_number() over (partition by field order by pin, n desc, coalesce(label, value), value) as rank, count(*) over (partition by field) > most as truncated from n),
  a as (select field, value, label, n, pin, truncated from r where rank <= most
    union all select f, x, label, 0, -1, coalesce((select any_value(truncated) from r where field = f), false) from (
-     select 'lang' as f, unnest(['1-URGENT', '2-HIGH']) as x, null as label union all select 'author', p_partkey::varchar, coalesce(nullif(trim(p_name), ''), 'Unknown author') from part where p_partkey between 1 and 8) z
+     select 'lang' as f, unnest(['1-URGENT', '2-HIGH']) as x, null as label union all select 'author', author_id::varchar, facet_name from authors where author_id between 1 and 8) z
    where (f, x) not in (select (field, value) from r where rank <= most) and f in (""" + ", ".join(f"'{f}'" for f in fields) + """))
  select field, value, case when label <> value then label end as label, n, truncated,
    row_number() over (partition by field order by case when field in ('year', 'lib_rate') then -value::bigint end, pin, n desc, coalesce(label, value), value) as place from a"""
@@ -241,19 +324,51 @@ def facet_self_exclude(spark, d):
     return fc.facets(cat_of(spark, d), tree, ["lang"])
 
 
+@query(""", c as (select * from seen where year = 1997), v as (select lang as value, null as label, count(*) as n from c group by 1)
+ select 'lang' as field, value, label, n, false as truncated, 2 + row_number() over (order by case when value = '1-URGENT' then 0 else 1 end, n desc, value) - 1 as place from v
+ union all select 'lang', 'NO-SUCH', null, 0, false, 1""")
+def facet_zero_rows(spark, d):
+    """A selected value without any book comes first, with the count 0."""
+    tree = {"and": [{"term": "lang", "values": ["1-URGENT", "NO-SUCH"]}, {"number": "year", "op": "eq", "value": 1997}]}
+    return fc.facets(cat_of(spark, d), tree, ["lang"])
+
+
+@query(""", v as (select author_id::varchar as value, facet_name as label, count(*) as n from seen join author_links using (book_id) join authors using (author_id) where year = 1996 and author_id % 3 = 0 group by all),
+ g as (select genre_code as value, case when genre_code < 'N2' then genres.title end as label, count(*) as n from seen join genre_links using (book_id) join genres using (genre_code) where year = 1996 group by all),
+ r as (select 'author' as field, *, row_number() over (order by n desc, coalesce(label, value), value) as place, count(*) over () > 20 as truncated from v
+   union all select 'genre', *, row_number() over (order by n desc, coalesce(label, value), value), count(*) over () > 20 from g)
+ select field, value, case when label <> value then label end as label, n, truncated, place from r where place <= 20""")
+def facet_dangling(spark, d):
+    """Links without a dictionary row: authors vanish, categories stay without a label."""
+    cat = cat_of(spark, d)
+    cat.authors, cat.genres = cat.authors.filter("author_id % 3 = 0"), cat.genres.filter("genre_code < 'N2'")
+    return fc.facets(cat, {"number": "year", "op": "eq", "value": 1996}, ["author", "genre"])
+
+
+@query(""", c as (select * from seen where lang in ('1-URGENT', '2-HIGH') and year between 1996 and 1999), x as (select * from seen where year between 1996 and 1999),
+ e as (select ltrim(ext, '.') as value, count(*) as n from c group by 1), l as (select lang as value, count(*) as n from x group by 1)
+ select 0 as facet_no, 'total' as field, null::varchar as value, null::varchar as label, (select count(*) from c) as n, 1 as place, false as truncated
+ union all select 1, 'ext', value, null, n, row_number() over (order by n desc, value), false from e
+ union all select 2, 'lang', value, null, n, row_number() over (order by case when value in ('1-URGENT', '2-HIGH') then 0 else 1 end, n desc, value), false from l""")
+def facet_response(spark, d):
+    tree = {"and": [{"term": "lang", "values": ["1-URGENT", "2-HIGH"]}, {"range": "year", "from": 1996, "to": 1999}]}
+    return fc.facet_response(cat_of(spark, d), tree, ["ext", "lang"])
+
+
 @query(" select genre_code as root, genre_code as code, 0 as depth from genres union all select parent_code, genre_code, 1 from genres where parent_code <> ''")
 def genre_closure(spark, d):
     return hi.closure(cat_of(spark, d).genres)
 
 
-@query(" select genre_code as code, (parent_code <> '')::int as depth, parent_code = '' as is_root from genres")
+@query(""" select g.genre_code as code, (g.parent_code <> '')::int as depth, g.parent_code = '' as is_root, coalesce(p.title || ' / ', '') || g.title as path
+  from genres g left join genres p on p.genre_code = g.parent_code""")
 def genre_paths(spark, d):
     return hi.tree_paths(cat_of(spark, d).genres)
 
 
-@query(""", cl as (select genre_code as root, genre_code as code from genres union all select parent_code, genre_code from genres where parent_code <> ''),
+@query(""", cl as (select genre_code as root, genre_code as code from genres where not deleted union all select parent_code, genre_code from genres where parent_code <> '' and not deleted),
  k as (select root, count(distinct book_id) as books, count(distinct case when root = code then book_id end) as own from cl join genre_links on genre_code = code join seen using (book_id) group by 1)
- select genre_code as code, nullif(parent_code, '') as parent_code, title, coalesce(books, 0) as books, coalesce(own, 0) as own_books from genres left join k on root = genre_code""")
+ select genre_code as code, nullif(parent_code, '') as parent_code, title, coalesce(books, 0) as books, coalesce(own, 0) as own_books from genres left join k on root = genre_code where not deleted""")
 def genre_subtree_counts(spark, d):
     return hi.subtree_counts(cat_of(spark, d))
 
@@ -274,10 +389,11 @@ def collection_summary(spark, d):
     return rp.collection_summary(cat_of(spark, d))
 
 
-@query(""" select p_partkey as author_id, coalesce(nullif(trim(p_name), ''), 'Unknown author') as name, coalesce(b.n, 0) as books from part
- left join (select author_id, count(*) as n from author_links join seen using (book_id) group by 1) b on b.author_id = p_partkey
- where (contains(upper(p_name), 'RE') or len(list_filter(regexp_split_to_array(upper(p_name), '[^\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'RE'))) > 0) and p_partkey in (select author_id from author_links)
- order by case when starts_with(upper(p_name), 'RE') then 0 else 1 end, upper(p_name), p_partkey limit 100""")
+@query(""", found as (select * from authors where (contains(upper(last_name), 'RE') or len(list_filter(regexp_split_to_array(upper(list_name), '[^\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'RE'))) > 0)
+   and author_id in (select author_id from author_links))
+ select author_id, list_name as name, coalesce(b.n, 0) as books, (select count(*) from found) as total from found
+ left join (select author_id, count(*) as n from author_links join seen using (book_id) group by 1) b using (author_id)
+ order by case when starts_with(upper(last_name), 'RE') then 0 else 1 end, upper(last_name), author_id limit 100""")
 def author_list(spark, d):
     return rp.author_list(cat_of(spark, d), "re", limit=100)
 
@@ -287,7 +403,7 @@ def languages(spark, d):
     return rp.languages(cat_of(spark, d))
 
 
-@query(" select p_partkey as id, p_name as label, count(distinct book_id) as books from part join author_links on author_id = p_partkey join seen using (book_id) where starts_with(upper(p_name), 'S') group by 1, 2 order by books desc, id limit 10")
+@query(" select author_id as id, list_name as label, count(distinct book_id) as books from authors join author_links using (author_id) join seen using (book_id) where starts_with(upper(list_name), 'S') group by 1, 2 order by books desc, id limit 10")
 def suggest_author(spark, d):
     return rp.suggest(cat_of(spark, d), "author", "s")
 
@@ -302,10 +418,11 @@ def suggest_title(spark, d):
     return rp.suggest(cat_of(spark, d), "title", "3-m")
 
 
-@query(_RELATIONS + """ select book_id, title, year, lang, size, archive, substr(ext, 2) || '+zip' as formats, series_title, seq as seq_number, authors, genres, keywords
- from seen left join rs using (book_id) left join ra using (book_id) left join rg using (book_id) left join rk using (book_id)""")
+@query(_RELATIONS + """, an as (select l_orderkey as book_id, 'a book of ' || count(*) || ' lines' as annotation from lineitem group by 1 having count(*) > 3)
+ select book_id, title, year, lang, size, archive, substr(ext, 2) || '+zip' as formats, file_name, annotation, series_title, seq as seq_number, authors, genres, keywords
+ from seen left join rs using (book_id) left join an using (book_id) left join ra using (book_id) left join rg using (book_id) left join rk using (book_id)""")
 def book_card(spark, d):
-    return rp.book_cards(cat_of(spark, d))
+    return flat(rp.book_cards(cat_of(spark, d)))
 
 
 @query(""" select series_id, book_id, seq, lag(book_id) over (partition by series_id order by seq, book_id) as previous,
@@ -322,63 +439,150 @@ def tokens_forms(spark, d):
 
 @query(f"with {POSTS} select field, term, book_id from posts", base=False)
 def index_postings(spark, d):
-    return ix.postings(documents_source(spark, d), ["title", "annotation"])
+    return ix.postings(documents_source(spark, d), FIELDS)
+
+
+@query(f"with {POSTS} select field, term, count(*) as books from posts group by all", base=False)
+def index_terms(spark, d):
+    """The vocabulary of the written index."""
+    return documents_index(spark, d).terms.groupBy("field", "term").agg(F.sum("books").alias("books"))
+
+
+@query(f"with {POSTS} select book_id, count(*) as dl from posts group by all", base=False)
+def index_sizes(spark, d):
+    return documents_index(spark, d).sizes
 
 
 @query(f"""with {POSTS}, t as (select book_id, list_aggregate({tok("title")}, 'string_agg', ' ') as t from src) select distinct 'title' as field, t[i:i + 2] as gram, book_id
  from (select book_id, t, unnest(generate_series(1, len(t) - 2)) as i from t where len(t) >= 3)""", base=False)
 def index_grams(spark, d):
-    return ix.grams(documents_source(spark, d), ["title"])
+    return ix.grams(documents_source(spark, d), GRAM_FIELDS)
 
 
-def _queries_frame(spark: SparkSession, text: str) -> DataFrame:
-    return spark.range(1).select(F.lit(1).cast("long").alias("query_id"), F.lit(text).alias("text"))
+@query(f"with {POSTS} select book_id from posts where term in ('erth', 'thnt') group by book_id having count(distinct term) = 2", base=False)
+def text_match(spark, d):
+    return st.match(documents_index(spark, d), "erth thnt")
 
 
-@query(f"with {POSTS} select 1::bigint as query_id, book_id from posts where term in ('erth', 'thnt') group by book_id having count(distinct term) = 2", base=False)
-def text_match(spark, d):
-    return st.search(_queries_frame(spark, "erth thnt"), ix.postings(documents_source(spark, d), ["title", "annotation"]))
+@query(f"with {POSTS} select book_id from posts where field = 'title' and term in ('the', 'of') group by book_id having count(distinct term) = 2", base=False)
+def text_match_field(spark, d):
+    return st.match(documents_index(spark, d), "The, of", "title")
 
 
-@query(f"with {POSTS} select 1::bigint as query_id, book_id from posts where field = 'title' and starts_with(term, 'therr') group by book_id", base=False)
+@query(f"with {POSTS} select book_id from posts where field = 'title' and starts_with(term, 'therr') group by book_id", base=False)
 def text_prefix(spark, d):
-    return st.search(_queries_frame(spark, "therr"), ix.postings(documents_source(spark, d), ["title", "annotation"]), field="title", prefix=True)
+    return st.match(documents_index(spark, d), "therr", "title", "prefix")
 
 
-@query(f"with {POSTS} select book_id from src where contains(' ' || list_aggregate({tok('annotation')}, 'string_agg', ' ') || ' ', ' of the ')", base=False)
+@query(f"with {POSTS} select book_id from posts where starts_with(term, 'therr') or starts_with(term, 'thn') group by book_id having bool_or(starts_with(term, 'therr')) and bool_or(starts_with(term, 'thn'))", base=False)
+def text_prefix_words(spark, d):
+    return st.match(documents_index(spark, d), "therr Thn", op="prefix")
+
+
+_OF_THE = "len(list_filter(generate_series(1, len(w) - 1), lambda i: w[i] = 'of' and w[i + 1] = 'the'))"
+
+
+@query(f"with {POSTS}, w as (select book_id, {tok('annotation')} as w from src) select book_id, annotation from (select book_id, {_OF_THE} as annotation from w) where annotation > 0", base=False)
 def text_phrase(spark, d):
-    return st.phrase(documents_source(spark, d), "annotation", "of the")
+    return st.phrase(documents_index(spark, d), documents_source(spark, d), ["annotation"], "of the").withColumn("annotation", F.col("annotation").cast("long"))
 
 
 @query(f"with {POSTS} select book_id from src where contains(list_aggregate({tok('title')}, 'string_agg', ' '), 'ing th')", base=False)
 def text_substring(spark, d):
-    source = documents_source(spark, d)
-    return st.substring(source, ix.grams(source, ["title"]), "title", "ing th")
+    return st.substring(documents_index(spark, d), documents_source(spark, d), "title", "Íng,th")
 
 
 @query(f"with {POSTS} select book_id from src where list_has_all({tok('title')}, ['the', 'of']) or list_has_all({tok('annotation')}, ['the', 'of'])", base=False)
 def text_fallback(spark, d):
-    return st.unindexed(documents_source(spark, d), ["title", "annotation"], "the of")
+    return st.unindexed(documents_source(spark, d), ["title", "annotation"], "the; of,")
 
 
-@query(f"""with {POSTS}, w as (select item_id as query_id, list_distinct({tok("text")}[1:3]) as ws from benchmark), q as (select query_id, unnest(ws) as term, len(ws) as words from w)
+@query(f"with {POSTS}, p as (select book_id, ' ' || list_aggregate({tok('annotation')}, 'string_agg', ' ') || ' ' as t from src) select book_id from p where contains(t, ' of the ')", base=False)
+def text_fallback_phrase(spark, d):
+    return st.unindexed(documents_source(spark, d), ["annotation"], "of  The", "phrase")
+
+
+@query(f"with {POSTS} select book_id from src where len(list_filter({tok('annotation')}, lambda x: starts_with(x, 'therr'))) > 0 and len(list_filter({tok('annotation')}, lambda x: starts_with(x, 'thn'))) > 0", base=False)
+def text_fallback_prefix(spark, d):
+    return st.unindexed(documents_source(spark, d), ["annotation"], "therr thn", "prefix")
+
+
+_NAME = "lower(list_name)"
+
+
+@query(f""" select distinct book_id from author_links join authors using (author_id) where list_contains(string_split({_NAME}, ' '), 'ring') and len(list_filter(regexp_split_to_array({_NAME}, '[^a-z0-9]+'), lambda x: x = 'small')) > 0
+  union select distinct book_id from books where false union select distinct book_id from series_links join supplier on s_suppkey = series_id where false""")
+def text_fallback_author(spark, d):
+    return st.unindexed_catalog(cat_of(spark, d), "author", "Small ring")
+
+
+@query(""" select distinct book_id from series_links join supplier on s_suppkey = series_id where contains(upper(s_name), 'R#00000000')""")
+def text_fallback_series(spark, d):
+    return st.unindexed_catalog(cat_of(spark, d), "series", "r#00000000", "substring")
+
+
+@query(" select distinct book_id from keyword_links where starts_with(upper(keyword_id), 'ECO')")
+def text_fallback_keyword(spark, d):
+    return st.unindexed_catalog(cat_of(spark, d), "keyword", "eco")
+
+
+@query(f""" select book_id from author_links join authors using (author_id) where len(list_filter(regexp_split_to_array({_NAME}, '[^a-z0-9]+'), lambda x: x = 'red')) > 0
+  union select l_orderkey from lineitem where false union select book_id from books where list_contains(regexp_split_to_array(lower(title), '[^a-z0-9]+'), 'red')""")
+def text_fallback_any(spark, d):
+    return st.unindexed_catalog(cat_of(spark, d), "any", "red")
+
+
+@query(f"""with {POSTS}, w as (select item_id as query_id, list_distinct({tok("text")}) as ws from benchmark), q as (select query_id, unnest(ws) as term, len(ws) as words from w)
  select query_id, book_id from q join (select distinct term, book_id from posts) p using (term) group by query_id, book_id, words having count(*) = words""", base=False)
 def batch_search(spark, d):
-    first = F.array_join(F.array_distinct(F.slice(tokens(F.col("text"), fold=True), 1, 3)), " ")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("text"))
-    return st.search(asked, ix.postings(documents_source(spark, d), ["title", "annotation"]))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return st.search(asked, documents_index(spark, d))
 
 
-@query(f"""with {POSTS}, dl as (select book_id, count(*) as dl from posts group by 1), s as (select count(*) as n_books, avg(dl) as avgdl from dl),
- f as (select term, book_id, sum(case field when 'title' then 10 else 1 end) as f from posts where term in ('erth', 'thnt') group by all), h as (select term, count(*) as n from f group by 1),
- g as (select book_id, sum(greatest(ln((n_books - n + 0.5::double) / (n + 0.5::double)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score, count(*) as words from f join h using (term) join dl using (book_id), s group by 1)
- select book_id, round(score, 6) as score from g where words = 2 order by round(score, 6) desc, book_id limit 20""", base=False)
-def bm25_top(spark, d):
-    scored = st.bm25(_queries_frame(spark, "erth thnt"), ix.postings(documents_source(spark, d), ["title", "annotation"]))
+@query(f"""with {POSTS}, k as (select distinct p_partkey as query_id, substr(string_split(p_name, ' ')[1], 1, 2) as pre from part where p_partkey < 1000000000 and p_size = 11)
+ select distinct query_id, book_id from k join posts on starts_with(term, pre) and field = 'title'""", base=False)
+def batch_prefix(spark, d):
+    asked = table(spark, d, "part").filter("p_size = 11").select(F.col("p_partkey").alias("query_id"), F.substring(F.split("p_name", " ")[0], 1, 2).alias("text"))
+    return st.search(asked, documents_index(spark, d), "title", prefix=True)
+
+
+_GAIN = """dl as (select book_id, count(*) as dl from posts group by 1), s as (select count(*) as n_books, avg(dl) as avgdl from dl),
+ f as materialized ({f}), h as (select term, count(*) as n from f group by 1),
+ g as (select book_id, sum(greatest(ln((n_books - n + 0.5::double) / (n + 0.5::double)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score, count(*) as words from f join h using (term) join dl using (book_id), s group by 1)"""
+_BM25 = _GAIN + " select book_id, round(score, 6) as score from g where words = {words} order by round(score, 6) desc, book_id limit 20"
+_FORMS_F = "select term, book_id, sum(case field when 'title' then 10 else 1 end) as f from posts where term in ('erth', 'thnt') group by all"
+_PREFIX_F = "select 0 as term, book_id, sum(case field when 'title' then 10 else 1 end) as f from posts where starts_with(term, 'therr') group by all"
+_PHRASE_F = f"select 0 as term, book_id, f from (select book_id, {_OF_THE} as f from (select book_id, {tok('annotation')} as w from src)) where f > 0"
+
+
+def _best(scored: DataFrame) -> DataFrame:
     return scored.select("book_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "book_id").limit(20)
 
 
-# The queries above that read a title of 200 characters, or three words of a passage, over whole texts and passages.
+@query(f"with {POSTS}, {_BM25.format(f=_FORMS_F, words=2)}", base=False)
+def bm25_top(spark, d):
+    return _best(st.bm25(documents_index(spark, d), "erth thnt"))
+
+
+@query(f"with {POSTS}, {_BM25.format(f=_PREFIX_F, words=1)}", base=False)
+def bm25_prefix(spark, d):
+    return _best(st.bm25(documents_index(spark, d), "therr", op="prefix"))
+
+
+@query(f"with {POSTS}, {_BM25.format(f=_PHRASE_F, words=1)}", base=False)
+def bm25_phrase(spark, d):
+    return _best(st.bm25(documents_index(spark, d), "of the", "annotation", "phrase", documents_source(spark, d)))
+
+
+_THE_F = "select 0 as term, book_id, 10 * count(*) as f from posts where field = 'title' and starts_with(term, 'the') group by all"
+
+
+@query(f"with {POSTS}, {_GAIN.format(f=_THE_F)} select book_id, title from g join src using (book_id) order by round(score, 6) desc, book_id limit 10", base=False)
+def suggest_title_indexed(spark, d):
+    return rp.suggest_title(documents_index(spark, d), documents_source(spark, d), "the")
+
+
+# Queries over the whole text as a field that may hold grams, or as the only field.
 
 
 @query(f"with {WHOLE} select field, term, book_id from posts", base=False)
@@ -392,22 +596,23 @@ def index_grams_whole(spark, d):
     return ix.grams(whole_source(spark, d), ["body"])
 
 
-@query(f"with {WHOLE} select 1::bigint as query_id, book_id from posts where field = 'annotation' and starts_with(term, 'therr') group by book_id", base=False)
+@query(f"with {WHOLE} select book_id from posts where field = 'annotation' and starts_with(term, 'therr') group by book_id", base=False)
 def text_prefix_whole(spark, d):
-    return st.search(_queries_frame(spark, "therr"), ix.postings(whole_source(spark, d), ["annotation"]), field="annotation", prefix=True)
+    return st.match(documents_index(spark, d), "therr", "annotation", "prefix")
 
 
 @query(f"with {WHOLE} select book_id from src where contains(list_aggregate({tok('body')}, 'string_agg', ' '), 'ing th')", base=False)
 def text_substring_whole(spark, d):
     source = whole_source(spark, d)
-    return st.substring(source, ix.grams(source, ["body"]), "body", "ing th")
+    index = ix.TextIndex({"parts": []}, None, None, None, ix.grams(source, ["body"]))
+    return st.substring(index, source, "body", "ing th")
 
 
 @query(f"""with {WHOLE}, w as (select item_id as query_id, list_distinct({tok("text")}) as ws from benchmark), q as (select query_id, unnest(ws) as term, len(ws) as words from w)
  select query_id, book_id from q join (select distinct term, book_id from posts) p using (term) group by query_id, book_id, words having count(*) = words""", base=False)
 def batch_search_whole(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return st.search(asked, ix.postings(whole_source(spark, d), ["annotation"]))
+    return st.search(asked, documents_index(spark, d), "annotation")
 
 
 @query(f"""with {WHOLE}, dl as (select book_id, count(*) as dl from posts group by 1), s as (select count(*) as n_books, avg(dl) as avgdl from dl),
@@ -415,8 +620,7 @@ def batch_search_whole(spark, d):
  g as (select book_id, sum(greatest(ln((n_books - n + 0.5::double) / (n + 0.5::double)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score, count(*) as words from f join h using (term) join dl using (book_id), s group by 1)
  select book_id, round(score, 6) as score from g where words = 2 order by round(score, 6) desc, book_id limit 20""", base=False)
 def bm25_top_whole(spark, d):
-    scored = st.bm25(_queries_frame(spark, "erth thnt"), ix.postings(whole_source(spark, d), ["title", "annotation"]))
-    return scored.select("book_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "book_id").limit(20)
+    return _best(st.bm25(documents_index(spark, d), "erth thnt"))
 
 
 MARK = 12 * 2000 + 6
@@ -430,17 +634,72 @@ def index_decision(spark, d):
     return ix.decide(books, {"mark": MARK, "books": held})
 
 
-@query(f""", s as (select book_id, 'title' as field, {tok("title")} as t from books union all
-   select book_id, 'authors', {tok("string_agg(p_name, ' ' order by ord, author_id)")} from author_links join part on p_partkey = author_id where book_id in (select book_id from books) group by book_id),
- p as (select distinct field, unnest(t) as term, book_id from s) select field, term, count(*) as books from p group by all""")
-def index_incremental(spark, d):
-    """Postings up to a mark, and the later delivery appended twice: as one full build."""
+@query(""", c as (select count(*) as books, max(update_id) as mark from books)
+ select 'first' as state, 'full' as action, books, mark from c union all select 'same', 'skipped', books, mark from c union all select 'fewer below the mark', 'full', books, mark from c""")
+def index_decisions(spark, d):
+    """The other branches of the decision: no state, nothing new, and books missing below the mark."""
+    books = cat_of(spark, d).books
+    now = ix.fingerprint(books).first()
+    states = {"first": None, "same": {"mark": now.mark, "books": now.books}, "fewer below the mark": {"mark": now.mark - 1, "books": now.books}}
+    each = [ix.decide(books, state).select(F.lit(name).alias("state"), "action", "books", "mark") for name, state in states.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(" select count(*) as books, max(update_id) as mark, 1::bigint as files from books")
+def index_fingerprint(spark, d):
     cat = cat_of(spark, d)
-    links = {"authors": (cat.author_links.join(cat.authors, "author_id"), "author_id", "last_name")}
-    fields = ["title", "authors"]
-    old = ix.postings(ix.source_rows(cat.books.filter(F.col("update_id") <= MARK), links), fields)
-    new = ix.postings(ix.source_rows(cat.books, links, since=MARK), fields)
-    return ix.append(ix.append(old, new), new).groupBy("field", "term").agg(F.count("*").alias("books"))
+    return ix.fingerprint(cat.books, spark.read.parquet(f"{d}/orders.parquet")).select("books", "mark", "files")
+
+
+def catalog_build(spark: SparkSession, cat: Catalog, root: str, books: DataFrame, force: bool = False) -> dict:
+    """Bring the catalog's index at root up to date with some of its books."""
+    links = {
+        "authors": (cat.author_links.join(cat.authors, "author_id"), "author_id", "last_name"),
+        "series": (cat.series_links.join(cat.series, "series_id"), "series_id", "series_title"),
+        "keywords": (cat.keyword_links, "keyword_id", "keyword_id"),
+    }
+    return ix.build_index(books.select("book_id", "update_id"), lambda since: ix.source_rows(books, links, cat.annotated, since), root, list(ix.WEIGHTS), ["title", "authors", "series", "keywords"], force)
+
+
+_INDEXED = f"""s as (select book_id, 'title' as field, {tok("title")} as t from books union all
+   select book_id, 'authors', {tok("string_agg(last_name, ' ' order by ord, author_id)")} from author_links join authors using (author_id) where book_id in (select book_id from books) group by book_id union all
+   select book_id, 'series', {tok("string_agg(s_name, ' ')")} from series_links join supplier on s_suppkey = series_id where book_id in (select book_id from books) group by book_id union all
+   select book_id, 'keywords', {tok("string_agg(keyword_id, ' ')")} from keyword_links where book_id in (select book_id from books) group by book_id union all
+   select l_orderkey, 'annotation', {tok("'a book of ' || count(*) || ' lines'")} from lineitem where l_orderkey in (select book_id from books) group by l_orderkey having count(*) > 3),
+ p as (select distinct field, unnest(t) as term, book_id from s)"""
+
+
+@query(f""", {_INDEXED} select field, term, count(*) as books from p group by all""")
+def index_incremental(spark, d):
+    """An index of the books up to a mark, brought up to date by a part with the later ones: as one full build."""
+    cat, root = cat_of(spark, d), new_folder(spark, "index")
+    catalog_build(spark, cat, root, cat.books.filter(F.col("update_id") <= MARK))
+    catalog_build(spark, cat, root, cat.books)
+    return ix.read_index(spark, root).postings.groupBy("field", "term").agg(F.count("*").alias("books"))
+
+
+@query(f""", {_INDEXED}, o as (select count(*) as n from books where update_id <= {MARK}), c as (select count(*) as books, max(update_id) as mark from books),
+ z as (select count(distinct book_id) as indexed, count(*) as forms from p), y as (select count(distinct p.book_id) as indexed, count(*) as forms from p join books using (book_id) where update_id <= {MARK})
+ select 1 as step, 'full' as action, n as books, {MARK}::bigint as mark, 1 as parts, indexed, forms from o, y
+ union all select 2, 'incremental', books, mark, 2, indexed, forms from c, z union all select 3, 'skipped', books, mark, 2, indexed, forms from c, z
+ union all select 4, 'full', books, mark, 1, indexed, forms from c, z""")
+def index_state(spark, d):
+    """What the state says after a first build, an incremental one, one with nothing to do, and a forced one."""
+    cat, root = cat_of(spark, d), new_folder(spark, "index")
+    early = cat.books.filter(F.col("update_id") <= MARK)
+    states = [catalog_build(spark, cat, root, early), *(catalog_build(spark, cat, root, cat.books, force) for force in (False, False, True))]
+    rows = [(k, s["action"], s["books"], s["mark"], len(s["parts"]), sum(p["n"] for p in s["parts"]), sum(p["dl"] for p in s["parts"])) for k, s in enumerate(states, 1)]
+    return spark.createDataFrame(rows, "step int, action string, books long, mark long, parts int, indexed long, forms long")  # one row a step
+
+
+@query(f""", {_INDEXED} select book_id from p where field = 'authors' and term = 'ring' intersect select book_id from p where field = 'keywords' and term = 'economy' intersect select book_id from seen where year = 1997""")
+def search_text_tree(spark, d):
+    """Text leaves of the catalog's index inside a tree: an author's word and a keyword, and a year."""
+    cat, root = cat_of(spark, d), f"{shared_folder(spark)}/catalog-index-{hashlib.md5(d.encode()).hexdigest()}"
+    catalog_build(spark, cat, root, cat.books)
+    index = ix.read_index(spark, root)
+    tree = {"and": [{"books": st.match(index, "Ring", "authors")}, {"books": st.match(index, "econ", "keywords", "prefix")}, {"number": "year", "op": "eq", "value": 1997}]}
+    return match(cat, tree).select("book_id")
 
 
 @query("""select doc_id, length(t)::bigint as letters, case when length(t) = 0 then 0 else len(regexp_split_to_array(t, '\\s+')) end::bigint as words,
@@ -451,8 +710,8 @@ def file_volume(spark, d):
     return plain.select("doc_id", *volume(F.col("t")))
 
 
-@query("""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'),
- '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) as plain from pages""", base=False)
+@query("""select page_id, trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'),
+ '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')) as plain from pages""", base=False)
 def html_strip(spark, d):
     return table(spark, d, "pages").select("page_id", strip_tags(F.col("html")).alias("plain"))
 

@@ -1,11 +1,11 @@
-"""Book files and reviews as jobs: metadata of FB2 files, and normalised review lists."""
+"""Book files and reviews as jobs: files by name, metadata of FB2 files, and normalised review lists."""
 
 from __future__ import annotations
 
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -29,6 +29,27 @@ def decode_file(data: pd.Series) -> pd.Series:
     return data.map(_decoded)
 
 
+def _file(part: int) -> Column:
+    """The folder (1) or the name (2) of the file that a row comes from."""
+    return F.url_decode(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/([^/]*)$", part), r"\+", "%2B"))
+
+
+def read_book_files(spark: SparkSession, folder: str, books: DataFrame) -> DataFrame:
+    """book_id and content of the files below folder whose names are those of books (book_id, file_name)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(_file(2).alias("file_name"), "content").join(books.select("book_id", "file_name"), "file_name").select("book_id", "content")
+
+
+def read_reviews(spark: SparkSession, folder: str, books: DataFrame) -> DataFrame:
+    """book_id, name, time, text and place of all reviews below folder: a file's locator is its folder's title, #, and its name.
+
+    books: book_id, archive (the folder's title), file_name. Files that no book names are left out; books without one have no row.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.concat(_file(1), F.lit("#"), _file(2)).alias("locator"), F.col("value").alias("data"))
+    located = books.select("book_id", F.concat("archive", F.lit("#"), "file_name").alias("locator"))
+    return normalise_reviews(files.join(located, "locator"), "book_id", "data")
+
+
 def _inner(xml: Column, tag: str) -> Column:
     """What the first element of a name holds, any namespace prefix; null where there is none."""
     return F.nullif(F.regexp_extract(xml, rf"(?s)<{_TAG}{tag}(?:\s[^>]*)?>(.*?)</{_TAG}{tag}\s*>", 1), F.lit(""))
@@ -43,7 +64,7 @@ def _text(xml: Column) -> Column:
 
 
 def _person(xml: Column) -> Column:
-    parts = F.array_join(F.filter(F.array(*(_text(_inner(xml, t)) for t in ("first-name", "middle-name", "last-name"))), lambda x: x.isNotNull()), " ")
+    parts = F.array_join(F.filter(F.array(*(_text(_inner(xml, t)) for t in ("last-name", "first-name", "middle-name"))), lambda x: x.isNotNull()), " ")
     return F.coalesce(F.nullif(parts, F.lit("")), _text(_inner(xml, "nickname")))
 
 

@@ -1,18 +1,21 @@
-"""Deliveries of new books as a stream of files: each batch is appended to the index tables, and repeats change nothing."""
+"""Deliveries of new books as a stream of files: each batch goes into the index, and repeats change nothing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.index import postings
+from tessera.operators.index import deliver
 
 
-def stream_postings(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, fields: list[str]) -> StreamingQuery:
-    """Read what has arrived in folder (parquet with book_id and fields) and add postings to out, one folder for each delivery."""
+def stream_index(spark: SparkSession, folder: str, schema: str, root: str, checkpoint: str, fields: list[str], gram_fields: list[str]) -> StreamingQuery:
+    """Read what has arrived in folder (parquet with book_id, update_id and fields) and add it to the index at root.
+
+    A batch that runs again after a failure, or a book that is delivered again, replaces what the index has of it.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        postings(batch, fields).write.mode("overwrite").parquet(f"{out}/delivery={number}")
+        deliver(batch, root, fields, gram_fields)
 
     arrived = spark.readStream.schema(schema).parquet(folder)
     return arrived.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,8 +11,10 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 
 
 @pytest.fixture(scope="session")
-def spark():
-    builder = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
+def spark(tmp_path_factory):
+    cores = os.environ.get("TEST_CPUS", "8")
+    builder = SparkSession.builder.master(f"local[{cores}]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", cores)
+    builder = builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
     session = builder.config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -1,11 +1,21 @@
-"""Trees deeper than 32 levels, and a cycle."""
+"""Deep trees, cycles, deleted genres and orphans."""
+
+import time
 
 from tessera.operators import hierarchy as hi
 
 
 def test_deep_tree_and_cycle(spark):
-    deep = 36
+    deep = 40
     rows = [(f"g{i}", f"g{i - 1}" if i else "", "t") for i in range(deep)] + [("a", "b", "t"), ("b", "a", "t")]
+    began = time.time()
     found = [(r.root, r.code, r.depth) for r in hi.closure(spark.createDataFrame(rows, "genre_code string, parent_code string, title string").coalesce(1)).collect()]
     expected = {(f"g{i}", f"g{j}", j - i) for i in range(deep) for j in range(i, deep)} | {("a", "a", 0), ("b", "b", 0), ("a", "b", 1), ("b", "a", 1)}
     assert len(found) == len(expected) and set(found) == expected
+    assert time.time() - began < 60
+
+
+def test_paths_and_orphans(spark):
+    rows = [("1", "", "B"), ("2", "1", "y"), ("3", "1", "x"), ("4", "3", "z"), ("5", "absent", "A")]
+    found = [tuple(r) for r in hi.tree_paths(spark.createDataFrame(rows, "genre_code string, parent_code string, title string")).collect()]
+    assert found == [("5", 0, True, "A"), ("1", 0, True, "B"), ("3", 1, False, "B / x"), ("4", 2, False, "B / x / z"), ("2", 1, False, "B / y")]
