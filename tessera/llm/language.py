@@ -7,7 +7,8 @@ so a byte's cost depends on four bytes only: costs are tabulated once, in fixed
 exact integer sum over all its bytes. The shortest code wins; ties go to the first language by name.
 
 Null texts and texts without a letter get `und` and score 0. Texts are lower-cased in A-Z and preceded by three spaces.
-Null ids are never trained on. Repeated rows give repeated results; other columns are not read.
+Null ids are never trained on. Repeated rows give repeated results; other columns are not read. Very long texts are coded
+whole, by chunks; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -201,7 +202,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents with a letter whose best language codes them in fewer than 8 bits a byte, with the columns of the input.
 
     At 8 bits a byte a model knows nothing of a text: hex or base64 dumps and other scripts. Where no language could be
-    learnt, every document with a letter stays.
+    learnt, every document with a letter stays. Null ids and repeated rows are judged each; other columns pass, whatever
+    their names.
     """
     model = train(_trainable(docs.select("doc_id", "lang", "text")))
     sent = spark.sparkContext.broadcast(model)

@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection, with built-in functions only.
 
 Words are maximal runs of characters other than space and U+0009..U+000D. Null text counts as text without words.
-Null ids pass through; repeated rows give repeated results; other columns of the input are not read.
+Null ids pass through; repeated rows give repeated results; other columns of the input are not read. Very long texts are
+measured whole; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that keep all rules, with the columns of the input."""
+    """Documents that keep all rules, with the columns of the input, whatever their names; null texts go, null ids and repeated rows are judged each."""
     # No column is added, so none of the input can clash with the measures' names.
     verdict = F.transform(F.array(measures("`text`")), lambda m: ~fails_base(m.getField) & compile_rules(RULES, m.getField))
     return docs.filter(verdict[0])

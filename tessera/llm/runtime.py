@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -16,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from tessera.sources.storage import new_folder, written
+
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "id_remainder", "join_sized", "new_folder", "plus", "release", "rows_per_task", "ship"]
+
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 #: Largest number of narrow rows (an id and a number) that is broadcast; 16 MB at most.
 BROADCAST_ROWS = 1_000_000
@@ -38,27 +40,9 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a new one in local mode, an error on a cluster."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends here, and a lost executor costs no recompute."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
