@@ -176,6 +176,13 @@ def bm25(index: TextIndex, text: str, field: str = "any", op: str = "match", sou
     return per_book.filter(F.col("words") == (1 << len(words)) - 1).select("book_id", "score")
 
 
+def by_relevance(matched: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+    """matched with sort_key, to be paged in ascending order: best scores first; without scores by title."""
+    if scored is None:
+        return matched.withColumn("sort_key", F.coalesce("search_title", F.lit("")))
+    return matched.join(scored.select("book_id", (-F.round("score", 6)).alias("sort_key")), "book_id")
+
+
 def query_forms(queries: DataFrame) -> DataFrame:
     """query_id, word_no, form for a table (query_id, text): every word as it is and by its stem."""
     words = queries.select("query_id", F.posexplode(F.array_distinct(tokens(F.col("text"), fold=True))).alias("word_no", "term"))

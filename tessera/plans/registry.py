@@ -510,8 +510,7 @@ def text_fallback_prefix(spark, d):
 _NAME = "lower(list_name)"
 
 
-@query(f""" select distinct book_id from author_links join authors using (author_id) where list_contains(string_split({_NAME}, ' '), 'ring') and len(list_filter(regexp_split_to_array({_NAME}, '[^a-z0-9]+'), lambda x: x = 'small')) > 0
-  union select distinct book_id from books where false union select distinct book_id from series_links join supplier on s_suppkey = series_id where false""")
+@query(f""" select distinct book_id from author_links join authors using (author_id) where list_contains(string_split({_NAME}, ' '), 'ring') and len(list_filter(regexp_split_to_array({_NAME}, '[^a-z0-9]+'), lambda x: x = 'small')) > 0""")
 def text_fallback_author(spark, d):
     return st.unindexed_catalog(cat_of(spark, d), "author", "Small ring")
 
@@ -527,7 +526,8 @@ def text_fallback_keyword(spark, d):
 
 
 @query(f""" select book_id from author_links join authors using (author_id) where len(list_filter(regexp_split_to_array({_NAME}, '[^a-z0-9]+'), lambda x: x = 'red')) > 0
-  union select l_orderkey from lineitem where false union select book_id from books where list_contains(regexp_split_to_array(lower(title), '[^a-z0-9]+'), 'red')""")
+  union select book_id from series_links join supplier on s_suppkey = series_id where list_contains(regexp_split_to_array(lower(s_name), '[^a-z0-9]+'), 'red')
+  union select book_id from books where list_contains(regexp_split_to_array(lower(title), '[^a-z0-9]+'), 'red')""")
 def text_fallback_any(spark, d):
     return st.unindexed_catalog(cat_of(spark, d), "any", "red")
 
@@ -546,9 +546,9 @@ def batch_prefix(spark, d):
     return st.search(asked, documents_index(spark, d), "title", prefix=True)
 
 
-_GAIN = """dl as (select book_id, count(*) as dl from posts group by 1), s as (select count(*) as n_books, avg(dl) as avgdl from dl),
+_GAIN = """dl as (select book_id, count(*) as dl from posts group by 1), corpus as (select count(*) as n_books, avg(dl) as avgdl from dl),
  f as materialized ({f}), h as (select term, count(*) as n from f group by 1),
- g as (select book_id, sum(greatest(ln((n_books - n + 0.5::double) / (n + 0.5::double)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score, count(*) as words from f join h using (term) join dl using (book_id), s group by 1)"""
+ g as (select book_id, sum(greatest(ln((n_books - n + 0.5::double) / (n + 0.5::double)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score, count(*) as words from f join h using (term) join dl using (book_id), corpus group by 1)"""
 _BM25 = _GAIN + " select book_id, round(score, 6) as score from g where words = {words} order by round(score, 6) desc, book_id limit 20"
 _FORMS_F = "select term, book_id, sum(case field when 'title' then 10 else 1 end) as f from posts where term in ('erth', 'thnt') group by all"
 _PREFIX_F = "select 0 as term, book_id, sum(case field when 'title' then 10 else 1 end) as f from posts where starts_with(term, 'therr') group by all"
@@ -615,10 +615,7 @@ def batch_search_whole(spark, d):
     return st.search(asked, documents_index(spark, d), "annotation")
 
 
-@query(f"""with {WHOLE}, dl as (select book_id, count(*) as dl from posts group by 1), s as (select count(*) as n_books, avg(dl) as avgdl from dl),
- f as (select term, book_id, sum(case field when 'title' then 10 else 1 end) as f from posts where term in ('erth', 'thnt') group by all), h as (select term, count(*) as n from f group by 1),
- g as (select book_id, sum(greatest(ln((n_books - n + 0.5::double) / (n + 0.5::double)), 1e-6::double) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score, count(*) as words from f join h using (term) join dl using (book_id), s group by 1)
- select book_id, round(score, 6) as score from g where words = 2 order by round(score, 6) desc, book_id limit 20""", base=False)
+@query(f"with {WHOLE}, {_BM25.format(f=_FORMS_F, words=2)}", base=False)
 def bm25_top_whole(spark, d):
     return _best(st.bm25(documents_index(spark, d), "erth thnt"))
 
@@ -626,6 +623,13 @@ def bm25_top_whole(spark, d):
 MARK = 12 * 2000 + 6
 
 
+def catalog_index(spark: SparkSession, d: str) -> tuple[Catalog, ix.TextIndex]:
+    """The catalog, and its index brought up to date."""
+    cat, root = cat_of(spark, d), f"{shared_folder(spark)}/catalog-index-{hashlib.md5(d.encode()).hexdigest()}"
+    catalog_build(spark, cat, root, cat.books)
+    return cat, ix.read_index(spark, root)
+
+
 @query(f""", o as (select count(*) as n from books where update_id <= {MARK}), c as (select count(*) as books, max(update_id) as mark from books)
  select case when books = n then 'skipped' when mark > {MARK} then 'incremental' else 'full' end as action, case when mark > {MARK} then {MARK}::bigint end as since, books, mark from c, o""")
 def index_decision(spark, d):
@@ -695,13 +699,29 @@ def index_state(spark, d):
 @query(f""", {_INDEXED} select book_id from p where field = 'authors' and term = 'ring' intersect select book_id from p where field = 'keywords' and term = 'economy' intersect select book_id from seen where year = 1997""")
 def search_text_tree(spark, d):
     """Text leaves of the catalog's index inside a tree: an author's word and a keyword, and a year."""
-    cat, root = cat_of(spark, d), f"{shared_folder(spark)}/catalog-index-{hashlib.md5(d.encode()).hexdigest()}"
-    catalog_build(spark, cat, root, cat.books)
-    index = ix.read_index(spark, root)
+    cat, index = catalog_index(spark, d)
     tree = {"and": [{"books": st.match(index, "Ring", "authors")}, {"books": st.match(index, "econ", "keywords", "prefix")}, {"number": "year", "op": "eq", "value": 1997}]}
     return match(cat, tree).select("book_id")
 
 
+_WEIGHT = "case field " + " ".join(f"when '{f}' then {w}" for f, w in ix.WEIGHTS.items()) + " end"
+
+
+@query(f""", {_INDEXED}, posts as materialized (select * from p), {_GAIN.format(f=f"select 0 as term, book_id, sum({_WEIGHT}) as f from posts where term = 'ring' group by all")}
+ select book_id, title, -round(score, 6) as sort_key from g join seen using (book_id) order by sort_key, book_id limit 50""")
+def sort_relevance(spark, d):
+    """The best books for one word in any field, by weighted BM25."""
+    cat, index = catalog_index(spark, d)
+    keyed = st.by_relevance(match(cat, None), st.bm25(index, "ring"))
+    return pg.page(keyed).select("book_id", "title", "sort_key")
+
+
+@query(" select book_id, title, search_title as sort_key from seen where year = 1996 order by search_title, book_id limit 50")
+def sort_relevance_without_text(spark, d):
+    keyed = st.by_relevance(match(cat_of(spark, d), {"number": "year", "op": "eq", "value": 1996}))
+    return pg.page(keyed).select("book_id", "title", "sort_key")
+
+
 @query("""select doc_id, length(t)::bigint as letters, case when length(t) = 0 then 0 else len(regexp_split_to_array(t, '\\s+')) end::bigint as words,
  case when length(t) = 0 then 0 else greatest(1, floor(length(t) / 2000 + 0.5)) end::bigint as pages from
  (select doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as t from documents)""", base=False)
