@@ -42,7 +42,7 @@ HASHES, BATCH = 120, 30
 #: Largest probability of missing a linked pair, by banding and by each pruning step.
 MISS = 1e-6
 #: Classes, and shingles on average, of a group that one task settles; rows of a bucket that one task compares.
-BLOCK, BLOCK_SHINGLES, BUCKET = 512, 4_000_000, 512
+BLOCK, BLOCK_SHINGLES, BUCKET = 128, 4_000_000, 512
 CACHE = 250_000
 
 
