@@ -160,7 +160,8 @@ def write_part(source: DataFrame, root: str, folder: str, fields: list[str], gra
         df.repartitionByRange("field", *key).sortWithinPartitions("field", *key).write.option("parquet.block.size", 16 << 20).partitionBy("field").mode(mode).parquet(f"{at}/{name}")
         return spark.read.schema(TABLES[name]).parquet(f"{at}/{name}")
 
-    posts = save(words_of_fields(source, fields), "postings", "term", "book_id")
+    # Written unsorted first, as the bounds of the sort take a pass of their own, which would cut all texts again.
+    posts = save(written(words_of_fields(source, fields), "words"), "postings", "term", "book_id")
     stems = written(stems_of(posts), "stems")
     if n := stems.count():
         more = written(with_stems(posts, F.broadcast(stems) if n <= BROADCAST_TERMS else stems), "stemmed")
@@ -168,7 +169,7 @@ def write_part(source: DataFrame, root: str, folder: str, fields: list[str], gra
         posts = spark.read.schema(TABLES["postings"]).parquet(f"{at}/postings")
     save(posts.groupBy("field", "term").agg(F.count("*").alias("books")), "terms", "term")
     posts.groupBy("book_id").agg(F.count("*").alias("dl")).write.parquet(f"{at}/sizes")
-    save(grams(source, gram_fields), "grams", "gram", "book_id")
+    save(written(grams(source, gram_fields), "pieces"), "grams", "gram", "book_id")
     size = spark.read.schema(TABLES["sizes"]).parquet(f"{at}/sizes").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
     return {"folder": folder, "n": size.n, "dl": size.dl}
 
