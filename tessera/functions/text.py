@@ -113,6 +113,19 @@ def stems_of(words: DataFrame) -> DataFrame:
     return words.select("term").distinct().filter(F.col("term").rlike("[а-яё]")).withColumn("stem", stem("term")).filter("stem <> term")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def stems_of_words(words: pd.Series) -> pd.Series:
+    """The stem of each word of an array; a batch stems each distinct word once."""
+    known: dict[str, str] = {}
+
+    def of(word: str) -> str:
+        if word not in known:
+            known[word] = stem_word(word)
+        return known[word]
+
+    return words.map(lambda ws: [of(w) for w in ws])
+
+
 def stem_text(words: DataFrame, key: str, text: str) -> DataFrame:
     """key and stems: the tokens of a text by their stems, in order, joined by spaces; the distinct words are stemmed once."""
     each = words.select(key, F.posexplode_outer(tokens(F.col(text))).alias("at", "term"))

@@ -6,26 +6,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.catalog import Catalog
+from tessera.sources.storage import written
 
-#: Levels after which a recursion is an error; no tree of categories is as deep.
-DEEPEST = 1000
+#: Pairs up to which one side of a doubling step is broadcast.
+BROADCAST_PAIRS = 500_000
+
+
+def _within(pairs: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(pairs) if n <= BROADCAST_PAIRS else pairs
 
 
 def closure(genres: DataFrame) -> DataFrame:
     """(root, code, depth): every code with itself and all its descendants, each pair once at its least depth.
 
-    A recursive query, each level of which joins the pairs found by the level before only. A walk ends where it would come
-    back to a code, so cycles end; a tree of more than DEEPEST levels is an error. No job runs while the plan is built.
+    By pointer doubling: jumps lead 2^k levels up, and a round joins each jump with the ancestors found so far of where it
+    ends, so trees of n levels take log n rounds and every pair is made once. Cycles end, as a round without a new pair is
+    the last. A row with a parent that is absent, or without one, is a root; rows of one code with several parents are all
+    followed. Each round is a written table; those of up to BROADCAST_PAIRS rows are broadcast, so a parent of very many
+    children is no hot key, and beyond that skewed joins are split by the adaptive plan.
     """
-    return genres.sparkSession.sql(
-        f"""with recursive walk (root, code, depth, path) max recursion level {DEEPEST} as (
-              select genre_code, genre_code, 0, array(genre_code) from {{genres}}
-              union all
-              select root, genre_code, depth + 1, array_append(path, genre_code)
-              from walk join {{genres}} on parent_code = code where not array_contains(path, genre_code))
-            select root, code, min(depth) as depth from walk group by root, code""",
-        genres=genres.select("genre_code", "parent_code"),
-    )
+    own = genres.select("genre_code", "parent_code").filter("genre_code is not null").distinct()
+    codes = own.select("genre_code").distinct()
+    # (code, mid): mid is 2^k levels above code. found: (root, code, depth) of all depths below 2^k.
+    jumps = written(own.join(codes.select(F.col("genre_code").alias("mid")), F.col("parent_code") == F.col("mid")).select(F.col("genre_code").alias("code"), "mid"), "jumps")
+    parts = [written(codes.select(F.col("genre_code").alias("root"), F.col("genre_code").alias("code"), F.lit(0).alias("depth")), "pairs")]
+    found, n_found, n_jumps, step = parts[0], parts[0].count(), jumps.count(), 1
+    while n_jumps:
+        above = _within(found.withColumnRenamed("code", "mid"), n_found) if n_found <= n_jumps or n_jumps > BROADCAST_PAIRS else found.withColumnRenamed("code", "mid")
+        near = jumps if n_jumps > BROADCAST_PAIRS or n_found <= n_jumps else F.broadcast(jumps)
+        reached = near.join(above, "mid").groupBy("root", "code").agg((F.min("depth") + step).alias("depth"))
+        new = written(reached.join(found.select("root", "code"), ["root", "code"], "left_anti"), "pairs")
+        if not (n_new := new.count()):
+            break
+        parts.append(new)
+        found, n_found = found.unionByName(new), n_found + n_new
+        ends = jumps.select(F.col("code").alias("end"), "mid")
+        further = jumps.withColumnRenamed("mid", "end").join(_within(ends, n_jumps), "end").select("code", "mid").distinct()
+        jumps = written(further, "jumps")
+        n_jumps, step = jumps.count(), 2 * step
+    return found
 
 
 def subtree_counts(cat: Catalog) -> DataFrame:

@@ -1,8 +1,12 @@
-"""Text index as tables: postings of forms, vocabulary, document sizes, grams; built by high-water mark, read by pointer.
+"""Text index as tables: postings with positions, vocabulary, books, grams; parts under a state, merged in tiers.
 
-An index is a folder. Each build writes new part folders and then, as its last act, adds one state file that names the
-parts in force; readers take the newest state. Nothing is overwritten or deleted, so a build that dies leaves the index
-as it was, and readers of an older state go on undisturbed.
+An index is a folder. A build or a delivery writes new part folders and then, as its last act, adds one state file that
+names the parts in force; readers take the newest state. Nothing is overwritten or deleted, so a build that dies leaves the
+index as it was, and readers of an older state go on undisturbed.
+
+A later part replaces what earlier parts say of its books: it carries the ids that it replaces (its tombstones), and readers
+leave those out of the parts before it. FANOUT parts of one level become one part of the next level, so the number of parts
+grows with the logarithm of the number of deliveries.
 """
 
 from __future__ import annotations
@@ -11,21 +15,28 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalised, stems_of, tokens
-from tessera.sources.storage import written
+from tessera.functions.text import normalised, stems_of_words, tokens
+from tessera.sources.storage import spread, written
 
 #: Weights of the fields.
 WEIGHTS = {"title": 10, "authors": 8, "series": 4, "keywords": 2, "annotation": 1}
-#: Largest vocabulary part (distinct Cyrillic words whose stem differs) that is broadcast.
-BROADCAST_TERMS = 500_000
+#: Parts of a level that are merged into one of the next; level of a full build, which deliveries don't reach.
+FANOUT, FULL_LEVEL = 4, 60
+#: Rows of a table up to which one task sorts and writes it; ids up to which a set of books is broadcast.
+ONE_TASK_ROWS, BROADCAST_IDS = 200_000, 1_000_000
 TABLES = {
-    "postings": "term string, book_id long, field string", "terms": "term string, books long, field string",
-    "sizes": "book_id long, dl long", "grams": "gram string, book_id long, field string",
+    "postings": "term string, book_id long, dl long, positions array<int>, field string",
+    "terms": "term string, books long, field string",
+    "books": "book_id long, update_id long, dl long",
+    "grams": "gram string, book_id long, field string",
+    "gone": "book_id long",
 }
 
 
@@ -42,89 +53,184 @@ def source_rows(books: DataFrame, links: dict[str, tuple[DataFrame, str, str]],
     return rows if annotations is None else rows.join(annotations, "book_id", "left")
 
 
-def words_of_fields(source: DataFrame, fields: list[str]) -> DataFrame:
-    """field, term, book_id: the distinct tokens of each field of each book, by a narrow step."""
-    each = F.array(*(F.struct(F.lit(f).alias("field"), F.array_distinct(tokens(F.col(f), fold=True)).alias("terms")) for f in fields))
-    return source.select("book_id", F.explode(each).alias("x")).select("book_id", "x.field", F.explode("x.terms").alias("term")).select("field", "term", "book_id")
+def _placed(words: Column) -> Column:
+    """An array of (term, positions) for an array of tokens: sorted once, and cut where the term changes."""
+
+    def cut(s: Column) -> Column:
+        term = lambda k: F.get(s, k)["term"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (term(k) != term(k - 1)))
+
+        def entries(at: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(at, j + 1), F.size(s))
+            return F.transform(at, lambda k, j: F.struct(term(k).alias("term"), F.transform(F.slice(s, k + 1, end(j) - k), lambda x: x["at"]).alias("positions")))
+
+        return F.when(F.size(s) > 0, F.transform(F.array(starts), entries)[0])
+
+    in_order = F.array_sort(F.transform(words, lambda t, i: F.struct(t.alias("term"), i.alias("at"))))
+    return F.transform(F.array(in_order), cut)[0]  # bound once
+
+
+def forms(source: DataFrame, fields: list[str]) -> DataFrame:
+    """book_id, update_id, dl, field, term, positions of every form of every field, by a narrow step, and for each book one
+    row without a field.
 
+    Forms are tokens, with their positions, and stems that aren't tokens of that field, without; dl counts a book's forms
+    over all fields. Only Cyrillic words leave the JVM, to be stemmed.
+    """
+    update = F.col("update_id") if "update_id" in source.columns else F.lit(None).cast("long")
+    cut = source.select("book_id", update.alias("update_id"), *(F.transform(F.array(tokens(F.col(f), fold=True)), _placed)[0].alias(f"f{k}") for k, f in enumerate(fields)))
+    cyrillic = [F.filter(F.transform(f"f{k}", lambda x: x["term"]), lambda t: t.rlike("[а-яё]")) for k in range(len(fields))]
+    more = cut.select("*", *(stems_of_words(F.coalesce(c, F.array().cast("array<string>"))).alias(f"s{k}") for k, c in enumerate(cyrillic)))
+
+    def both(k: int) -> Column:
+        own = F.coalesce(F.col(f"f{k}"), F.array().cast("array<struct<term:string,positions:array<int>>>"))
+        new = F.array_except(F.array_distinct(f"s{k}"), F.transform(own, lambda x: x["term"]))
+        return F.concat(own, F.transform(new, lambda t: F.struct(t.alias("term"), F.array().cast("array<int>").alias("positions"))))
 
-def with_stems(words: DataFrame, stems: DataFrame) -> DataFrame:
-    """The postings that the stems (term, stem) of the words add."""
-    more = words.join(stems, "term").select("field", F.col("stem").alias("term"), "book_id")
-    return more.distinct().join(words, ["field", "term", "book_id"], "left_anti").select("field", "term", "book_id")
+    joined = more.select("book_id", "update_id", *(both(k).alias(f) for k, f in enumerate(fields)))
+    sized = joined.withColumn("dl", reduce(Column.__add__, [F.size(f) for f in fields]).cast("long"))
+    each = [F.struct(F.lit(None).cast("string").alias("field"), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("array<int>").alias("positions"))).alias("x"))]
+    each += [F.struct(F.lit(f).alias("field"), F.col(f).alias("x")) for f in fields]
+    return sized.select("book_id", "update_id", "dl", F.explode(F.array(*each)).alias("e")).select("book_id", "update_id", "dl", "e.field", F.explode("e.x").alias("x")).select("book_id", "update_id", "dl", "field", "x.term", "x.positions")
 
 
 def postings(source: DataFrame, fields: list[str]) -> DataFrame:
     """field, term, book_id: the distinct forms (tokens and stems) of each field of each book."""
-    words = words_of_fields(source, fields)
-    return words.unionByName(with_stems(words, stems_of(words)))
+    return forms(source, fields).filter("field is not null").select("field", "term", "book_id")
 
 
 def grams(source: DataFrame, fields: list[str], n: int = 3) -> DataFrame:
     """field, gram, book_id over the normalised text, distinct."""
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.trim(normalised(F.col(f))).alias("t")) for f in fields))
     texts = source.select("book_id", F.explode(each).alias("x")).select("book_id", "x.field", "x.t").filter(F.length("t") >= n)
-    cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring("t", i, F.lit(n))))
+
+    def pieces(letters: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(letters) - n), lambda i: F.concat(*(F.get(letters, i + k) for k in range(n))))
+
+    cut = F.array_distinct(F.transform(F.array(F.filter(F.split("t", ""), lambda c: c != "")), pieces)[0])  # the letters are bound once
     return texts.select("field", F.explode(cut).alias("gram"), "book_id")
 
 
-def fingerprint(books: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """One row: books, mark (largest update id), and the number, bytes and newest time of the files read, where given."""
-    facts = books.agg(F.count("*").alias("books"), F.max("update_id").alias("mark"))
-    if files is None:
-        return facts
-    each = files.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    return facts.crossJoin(each.agg(F.count("*").alias("files"), F.sum("file_size").alias("file_bytes"), F.max("file_modification_time").alias("newest")))  # one row each
+def file_manifest(spark: SparkSession, paths: list[str]) -> dict:
+    """What the files below some paths are: files, bytes, newest (microseconds), and a digest over each one's path, size and time.
+
+    Spark lists them; contents aren't read. Any file that is added, removed or rewritten changes the digest.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", F.unix_micros("modificationTime").alias("at"))
+    each = F.xxhash64("path", "length", "at").cast("decimal(38,0)")
+    found = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max("at").alias("newest"), F.sum(each).cast("string").alias("digest")).first()
+    return found.asDict()
+
+
+def fingerprint(books: DataFrame, manifest: dict | None = None) -> DataFrame:
+    """One row: books, mark (largest update id), and what file_manifest says of the files read, where given."""
+    facts = [F.lit(manifest[k]).alias(f"file_{k}" if k != "files" else k) for k in ("files", "bytes", "newest", "digest")] if manifest else []
+    return books.agg(F.count("*").alias("books"), F.max("update_id").alias("mark")).select("*", *facts)
 
 
-def decide(books: DataFrame, state: dict | None, force: bool = False) -> DataFrame:
+def decide(books: DataFrame, state: dict | None, force: bool = False, manifest: dict | None = None) -> DataFrame:
     """One row: action (skipped, incremental, full), since, and the state to save (books, mark).
 
-    Incremental only where the mark grew and the number of books up to the old mark is unchanged.
+    Skipped only where the number of books, the mark and, where given, the manifest are those of the state. Incremental only
+    where the mark grew and the number of books up to the old mark is unchanged. So files rewritten with as many books and
+    the same mark give a full build.
     """
     old_mark, old_count = (state["mark"], state["books"]) if state else (None, None)
     now = books.agg(F.count("*").alias("books"), F.max("update_id").alias("mark"), F.count(F.when(F.col("update_id") <= F.lit(old_mark), 1)).alias("below"))
     if state is None or force:
         action = F.lit("full")
     else:
-        action = F.when((F.col("books") == old_count) & F.col("mark").eqNullSafe(F.lit(old_mark)), "skipped").when((F.col("mark") > old_mark) & (F.col("below") == old_count), "incremental").otherwise("full")
+        same_files = F.lit(manifest is None or state.get("manifest") == manifest)
+        same = (F.col("books") == old_count) & F.col("mark").eqNullSafe(F.lit(old_mark).cast("long")) & same_files
+        action = F.when(same, "skipped").when((F.col("mark") > old_mark) & (F.col("below") == old_count), "incremental").otherwise("full")
     return now.select(action.alias("action"), F.when(action == "incremental", F.lit(old_mark)).cast("long").alias("since"), "books", "mark")
 
 
-def append(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old postings without the books of the batch, and the batch: repeating an append changes nothing."""
-    return old.join(new.select("book_id").distinct(), "book_id", "left_anti").unionByName(new)
+def _within(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
 
 @dataclass
 class TextIndex:
-    """The tables of an index at one state."""
+    """The tables of an index at one state, without what later parts replace."""
 
+    spark: SparkSession
+    root: str
     state: dict
-    postings: DataFrame  # field, term, book_id
-    terms: DataFrame  # field, term, books: in one row or, over several parts, in some
-    sizes: DataFrame  # book_id, dl: forms over all fields
-    grams: DataFrame  # field, gram, book_id
+
+    def table(self, name: str) -> DataFrame:
+        """postings, books or grams of all books in force. Parts between which nothing was replaced are one scan."""
+        groups: list[list[dict]] = []
+        for part in self.state["parts"]:
+            if part["gone"] or not groups:
+                groups.append([])
+            groups[-1].append(part)
+        return reduce(DataFrame.unionByName, (self._left(_read(self.spark, self.root, group, name), groups[k + 1 :]) for k, group in enumerate(groups))) if groups else self.spark.createDataFrame([], TABLES[name])
+
+    def _left(self, rows: DataFrame, later: list[list[dict]]) -> DataFrame:
+        replacing = [part for group in later for part in group if part["gone"]]
+        if not replacing:
+            return rows
+        gone = _read(self.spark, self.root, replacing, "gone").distinct()
+        return rows.join(_within(gone, sum(p["gone"] for p in replacing)), "book_id", "left_anti")
+
+    @property
+    def postings(self) -> DataFrame:  # field, term, book_id, dl, positions
+        return self.table("postings")
+
+    @property
+    def grams(self) -> DataFrame:  # field, gram, book_id
+        return self.table("grams")
+
+    @property
+    def books(self) -> DataFrame:  # book_id, update_id, dl
+        return self.table("books")
+
+    @property
+    def sizes(self) -> DataFrame:
+        """book_id and dl, forms over all fields, of the books that have any."""
+        return self.books.filter("dl > 0").select("book_id", "dl")
+
+    @property
+    def terms(self) -> DataFrame:
+        """field, term, books, in one row or, over several parts, in some. Replaced books count until their part is merged: for planning."""
+        return _read(self.spark, self.root, self.state["parts"], "terms")
+
+    def vocabulary(self) -> DataFrame:
+        """field, term and the exact number of books: from the written counts, or from the postings where books were replaced."""
+        if any(p["gone"] for p in self.state["parts"]):
+            return self.postings.groupBy("field", "term").agg(F.count("*").alias("books"))
+        return self.terms.groupBy("field", "term").agg(F.sum("books").alias("books"))
 
     @property
     def n_books(self) -> int:
         """Books with a form."""
-        return sum(p["n"] for p in self.state["parts"])
+        return self.state["indexed"]
 
     @property
     def average_size(self) -> float:
-        return sum(p["dl"] for p in self.state["parts"]) / max(1, self.n_books)
+        return self.state["forms"] / max(1, self.n_books)
+
+
+def _read(spark: SparkSession, root: str, parts: list[dict], name: str) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], TABLES[name])
+    paths = [_path(root, p["folder"], name) for p in parts]
+    return spark.read.schema(f"{TABLES[name]}, part string").option("basePath", f"{root}/{name}").parquet(*paths).drop("part")
+
+
+def _path(root: str, folder: str, name: str) -> str:
+    return f"{root}/{name}/part={folder}"
 
 
 def read_state(spark: SparkSession, root: str) -> dict | None:
     """The newest state of an index, None where none was ever completed."""
-    from pyspark.errors import AnalysisException
-
     try:
-        states = [json.loads(r.value) for r in spark.read.text(f"{root}/state").collect()]  # a row for each build
+        states = spark.read.text(f"{root}/state")
     except AnalysisException:
         return None
-    return max(states, key=lambda s: s["version"], default=None)
+    newest = states.orderBy(F.get_json_object("value", "$.version").cast("long").desc()).first()
+    return json.loads(newest.value) if newest else None
 
 
 def save_state(spark: SparkSession, root: str, state: dict) -> None:
@@ -134,14 +240,7 @@ def save_state(spark: SparkSession, root: str, state: dict) -> None:
 
 def read_index(spark: SparkSession, root: str) -> TextIndex | None:
     state = read_state(spark, root)
-    if state is None:
-        return None
-
-    def of(name: str) -> DataFrame:
-        frames = [spark.read.schema(TABLES[name]).parquet(f"{root}/{p['folder']}/{name}") for p in state["parts"]]
-        return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], TABLES[name])
-
-    return TextIndex(state, *(of(name) for name in TABLES))
+    return None if state is None else TextIndex(spark, root, state)
 
 
 def _new_part(version: int) -> str:
@@ -149,82 +248,118 @@ def _new_part(version: int) -> str:
     return f"v{version}-{uuid.uuid4().hex[:12]}"
 
 
-def write_part(source: DataFrame, root: str, folder: str, fields: list[str], gram_fields: list[str]) -> dict:
-    """The tables of some books under root/folder, sorted by term (then book) so that statistics prune; its place in a state.
+def _save(df: DataFrame, path: str, key: list[str], small: bool) -> None:
+    """A table sorted by its key within files, so that statistics prune; ranges of the key (a hot one parted by book), or one task if small."""
+    dealt = df.coalesce(1) if small else df.repartitionByRange("field", *key)
+    dealt.sortWithinPartitions("field", *key).write.option("parquet.block.size", 16 << 20).partitionBy("field").parquet(path)
 
-    Stems are made from the written vocabulary: each distinct word once.
-    """
-    spark, at = source.sparkSession, f"{root}/{folder}"
-
-    def save(df: DataFrame, name: str, *key: str, mode: str = "errorifexists") -> DataFrame:
-        df.repartitionByRange("field", *key).sortWithinPartitions("field", *key).write.option("parquet.block.size", 16 << 20).partitionBy("field").mode(mode).parquet(f"{at}/{name}")
-        return spark.read.schema(TABLES[name]).parquet(f"{at}/{name}")
-
-    # Written unsorted first, as the bounds of the sort take a pass of their own, which would cut all texts again.
-    posts = save(written(words_of_fields(source, fields), "words"), "postings", "term", "book_id")
-    stems = written(stems_of(posts), "stems")
-    if n := stems.count():
-        more = written(with_stems(posts, F.broadcast(stems) if n <= BROADCAST_TERMS else stems), "stemmed")
-        save(more, "postings", "term", "book_id", mode="append")
-        posts = spark.read.schema(TABLES["postings"]).parquet(f"{at}/postings")
-    save(posts.groupBy("field", "term").agg(F.count("*").alias("books")), "terms", "term")
-    posts.groupBy("book_id").agg(F.count("*").alias("dl")).write.parquet(f"{at}/sizes")
-    save(written(grams(source, gram_fields), "pieces"), "grams", "gram", "book_id")
-    size = spark.read.schema(TABLES["sizes"]).parquet(f"{at}/sizes").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
-    return {"folder": folder, "n": size.n, "dl": size.dl}
-
-
-def build_index(books: DataFrame, source: Callable[[int | None], DataFrame], root: str, fields: list[str], gram_fields: list[str], force: bool = False) -> dict:
+
+def _write_tables(root: str, folder: str, posts: DataFrame, books: DataFrame, pieces: DataFrame, gone: DataFrame | None, n: int, level: int) -> dict:
+    """The tables of a part from written ones; its entry in a state."""
+    spark, small = posts.sparkSession, n <= ONE_TASK_ROWS
+    _save(posts.select("field", "term", "book_id", "dl", "positions"), _path(root, folder, "postings"), ["term", "book_id"], small)
+    counted = posts.groupBy("field", "term").agg(F.count("*").alias("books"))
+    (counted.coalesce(1) if small else counted).sortWithinPartitions("field", "term").write.partitionBy("field").parquet(_path(root, folder, "terms"))  # dealt by (field, term) already
+    _save(pieces, _path(root, folder, "grams"), ["gram", "book_id"], small)
+    (books.coalesce(1) if small else books).select("book_id", "update_id", "dl").write.parquet(_path(root, folder, "books"))
+    part = {"folder": folder, "level": level, "gone": 0}
+    if gone is not None:
+        gone.coalesce(1).write.parquet(_path(root, folder, "gone"))
+        part["gone"] = spark.read.schema(TABLES["gone"]).parquet(_path(root, folder, "gone")).count()
+    size = spark.read.schema(TABLES["books"]).parquet(_path(root, folder, "books")).agg(F.count("*").alias("books"), F.count_if(F.col("dl") > 0).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+    return part | size.asDict()
+
+
+def write_part(source: DataFrame, root: str, folder: str, fields: list[str], gram_fields: list[str], gone: DataFrame | None = None, level: int = 0) -> dict:
+    """The tables of some books as a part of root; the texts are cut once, into a table that the sorts then sample and read."""
+    source = spread(source)
+    raw = written(forms(source, fields), "forms")
+    return _write_tables(root, folder, raw.filter("field is not null"), raw.filter("field is null"), written(grams(source, gram_fields), "pieces"), gone, raw.count(), level)
+
+
+def _merged(spark: SparkSession, root: str, version: int, parts: list[dict], level: int) -> dict:
+    """Consecutive parts as one, without what the later of them replace; it still replaces what they replace in earlier parts."""
+    index = TextIndex(spark, root, {"parts": parts})
+    gone = _read(spark, root, [p for p in parts if p["gone"]], "gone").distinct() if any(p["gone"] for p in parts) else None
+    posts = index.postings
+    return _write_tables(root, _new_part(version), posts, index.books, index.grams, gone, posts.count(), level)
+
+
+def compact(spark: SparkSession, root: str, version: int, parts: list[dict]) -> list[dict]:
+    """The parts after merging: as long as the last FANOUT are of one level they become one of the next; where replaced books
+    outnumber those in force, all become one."""
+    while len(parts) >= FANOUT and len({p["level"] for p in parts[-FANOUT:]}) == 1 and parts[-1]["level"] < FULL_LEVEL:
+        parts = [*parts[:-FANOUT], _merged(spark, root, version, parts[-FANOUT:], parts[-1]["level"] + 1)]
+    if len(parts) > 1 and 2 * sum(p["gone"] for p in parts) > sum(p["books"] for p in parts):
+        whole = _merged(spark, root, version, parts, FULL_LEVEL)
+        parts = [whole | {"gone": 0}]  # nothing is before it
+    return parts
+
+
+def _now() -> str:
+    return datetime.now(UTC).isoformat(timespec="seconds")
+
+
+def build_index(books: DataFrame, source: Callable[[int | None], DataFrame], root: str, fields: list[str], gram_fields: list[str], force: bool = False, files: list[str] | None = None) -> dict:
     """Bring the index at root up to date and return its state, with the action taken (skipped, incremental, full).
 
-    books: book_id and update_id of all books; source: rows with book_id and the fields, of all books or those above a mark.
+    books: book_id and update_id of all books; source: rows with book_id and the fields, of all books or those above a mark;
+    files: the paths that they are read from, whose manifest is compared with that of the last build.
     """
     spark = books.sparkSession
-    state = read_state(spark, root)
-    step = decide(books, state, force).first()
+    state, manifest = read_state(spark, root), file_manifest(spark, files) if files else None
+    step = decide(books, state, force, manifest).first()
     if step.action == "skipped":
         return state | {"action": "skipped"}
     version = state["version"] + 1 if state else 1
-    part = write_part(source(step.since), root, _new_part(version), fields, gram_fields)
-    parts = [*state["parts"], part] if step.action == "incremental" else [part]
-    state = {"version": version, "books": step.books, "mark": step.mark, "parts": parts, "action": step.action}
-    save_state(spark, root, state)
-    return state
+    more = step.action == "incremental"
+    part = write_part(source(step.since), root, _new_part(version), fields, gram_fields, level=0 if more else FULL_LEVEL)
+    before = state if more else {"parts": [], "indexed": 0, "forms": 0}
+    new = {
+        "version": version, "books": step.books, "mark": step.mark, "manifest": manifest, "indexed_at": _now(), "streams": before.get("streams", {}),
+        "indexed": before["indexed"] + part["n"], "forms": before["forms"] + part["dl"], "parts": compact(spark, root, version, [*before["parts"], part]), "action": step.action,
+    }
+    save_state(spark, root, new)
+    return new
+
 
+def newest(batch: DataFrame) -> DataFrame:
+    """One row for each book: the largest update id (nulls are the oldest), of equal ones the same whatever the order of rows."""
+    version = F.struct("update_id", F.xxhash64(*sorted(batch.columns)))
+    return batch.groupBy("book_id").agg(F.max_by(F.struct(*batch.columns), version).alias("x")).select("x.*")
 
-def deliver(batch: DataFrame, root: str, fields: list[str], gram_fields: list[str]) -> dict:
-    """Add a batch of books (book_id, update_id, fields) to the index; books that it already holds are replaced.
 
-    New books become a part of their own. Where a batch holds indexed books, the parts are merged without them, so an
-    append repeated changes nothing.
+def deliver(batch: DataFrame, root: str, fields: list[str], gram_fields: list[str], stream: str | None = None, number: int | None = None) -> dict:
+    """Add a batch of books (book_id, update_id, fields) to the index, and return its state.
+
+    Of several versions of a book in the batch the newest counts. A book that the index holds is replaced, unless the index
+    has a newer version; only the batch's own part is written, and the ids that it replaces. stream and number: whose batch
+    it is; a batch that is replayed changes and writes nothing. Batches of a stream have growing numbers.
     """
     spark, index = batch.sparkSession, read_index(batch.sparkSession, root)
-    version = index.state["version"] + 1 if index else 1
-    facts = fingerprint(batch).first()
-    if not facts.books:
-        return index.state if index else {"version": 0, "books": 0, "mark": None, "parts": []}
-    part = write_part(batch, root, _new_part(version), fields, gram_fields)
-    if index is None:
-        parts, books = [part], facts.books
-    elif index.sizes.join(batch.select("book_id"), "book_id", "left_semi").isEmpty():
-        parts, books = [*index.state["parts"], part], index.state["books"] + facts.books
-    else:
-        parts, books = [_merged(index, root, _new_part(version), batch.select("book_id").distinct()), part], None
-    mark = max(x for x in (index.state["mark"] if index else None, facts.mark) if x is not None)
-    state = {"version": version, "books": books if books is not None else sum(p["n"] for p in parts), "mark": mark, "parts": parts, "action": "incremental"}
+    state = index.state if index else {"version": 0, "books": 0, "mark": None, "manifest": None, "indexed_at": None, "streams": {}, "indexed": 0, "forms": 0, "parts": []}
+    if stream is not None and number is not None and number <= state["streams"].get(stream, -1):
+        return state | {"action": "skipped"}
+    rows = written(newest(batch), "delivery")
+    facts = rows.agg(F.count("*").alias("books"), F.max("update_id").alias("mark")).first()
+    state = state | {"version": state["version"] + 1, "action": "incremental", "streams": state["streams"] | ({stream: number} if stream is not None else {})}
+    lost, gone = (0, 0, 0), None
+    if index and facts.books:
+        ids = rows.select("book_id", F.col("update_id").alias("new_id"))
+        held = written(index.books.join(_within(ids, facts.books), "book_id").select("book_id", "dl", F.coalesce(F.col("new_id") < F.col("update_id"), F.col("new_id").isNull() & F.col("update_id").isNotNull()).alias("older")), "held")
+        count = held.groupBy("older").agg(F.count("*").alias("books"), F.count_if(F.col("dl") > 0).alias("n"), F.sum("dl").alias("dl")).collect()  # two rows at most
+        for r in count:
+            if r.older:
+                rows = rows.join(_within(held.filter("older").select("book_id"), r.books), "book_id", "left_anti")
+                facts = rows.agg(F.count("*").alias("books"), F.max("update_id").alias("mark")).first()
+            else:
+                gone, lost = held.filter("not older").select("book_id"), (r.books, r.n, r.dl)
+    if facts.books:
+        part = write_part(rows, root, _new_part(state["version"]), fields, gram_fields, gone)
+        state |= {"books": state["books"] + part["books"] - lost[0], "indexed": state["indexed"] + part["n"] - lost[1], "forms": state["forms"] + part["dl"] - lost[2]}
+        state |= {"mark": max((x for x in (state["mark"], facts.mark) if x is not None), default=None), "manifest": None, "indexed_at": _now()}
+        state["parts"] = compact(spark, root, state["version"], [*state["parts"], part])
+    elif stream is None:
+        return state | {"version": state["version"] - 1, "action": "skipped"}
     save_state(spark, root, state)
     return state
-
-
-def _merged(index: TextIndex, root: str, folder: str, gone: DataFrame) -> dict:
-    """The index without some books, as one part."""
-    spark, at = gone.sparkSession, f"{root}/{folder}"
-    for name, key in (("postings", "term"), ("grams", "gram")):
-        kept = getattr(index, name).join(gone, "book_id", "left_anti")
-        kept.repartitionByRange("field", key, "book_id").sortWithinPartitions("field", key, "book_id").write.partitionBy("field").parquet(f"{at}/{name}")
-    posts = spark.read.schema(TABLES["postings"]).parquet(f"{at}/postings")
-    posts.groupBy("field", "term").agg(F.count("*").alias("books")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{at}/terms")
-    sizes = index.sizes.join(gone, "book_id", "left_anti")
-    sizes.write.parquet(f"{at}/sizes")
-    size = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
-    return {"folder": folder, "n": size.n, "dl": size.dl}

@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 from tessera.functions.text import normalised, query_words, stems_of, tokens, word_forms
 from tessera.operators.index import WEIGHTS, TextIndex
 from tessera.sources.catalog import Catalog, author_name
+from tessera.sources.storage import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Books of a query's rarest word up to which they are broadcast to the other words' postings.
 BROADCAST_BOOKS = 1_000_000
+#: Distinct forms of a table of queries up to which they are broadcast to the scan of the postings.
+BROADCAST_FORMS = 200_000
 
 
 def _scoped(posts: DataFrame, field: str) -> DataFrame:
     return posts if field == "any" else posts.filter(F.col("field") == field)
 
 
-def _is_form(form: str, op: str) -> Column:
-    return F.col("term").startswith(form) if op == "prefix" else F.col("term") == form
+def _is_form(forms: list[str], op: str) -> Column:
+    """Whether a posting is of one of the forms, or begins with one."""
+    return _any([F.col("term").startswith(f) for f in forms]) if op == "prefix" else F.col("term").isin(forms)
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -40,47 +44,55 @@ def _forms(text: str, op: str) -> list[list[str]]:
     return [[w] if op == "phrase" else word_forms(w) for w in words]
 
 
+def _found(index: TextIndex, words: list[list[str]], field: str, op: str) -> DataFrame:
+    """The postings of the forms of several words. By the vocabulary, the books of the rarest word thin out the others' first."""
+    posts, terms, held = _scoped(index.postings, field), _scoped(index.terms, field), [_is_form(fs, op) for fs in words]
+    found = posts.filter(_is_form(sorted({f for fs in words for f in fs}), op))
+    if len(words) == 1:
+        return found
+    counted = terms.agg(*(F.coalesce(F.sum(F.when(w, F.col("books"))), F.lit(0)).alias(f"n{k}") for k, w in enumerate(held))).first()
+    rare = min(range(len(words)), key=lambda k: counted[k])
+    if counted[rare] > BROADCAST_BOOKS:
+        return found
+    candidates = posts.filter(held[rare]).select("book_id").distinct()
+    return found.join(F.broadcast(candidates), "book_id", "left_semi")  # at most as many rows as counted
+
+
 def match(index: TextIndex, text: str, field: str = "any", op: str = "match") -> DataFrame:
     """book_id where every word occurs by some form (op match), or begins some form (op prefix); words may be in different fields if any.
 
-    One filtered scan of the postings and one aggregate. With several words, the books of the rarest one, by the
-    vocabulary, thin out the others' postings first.
+    One filtered scan of the postings and one aggregate, for any number of words.
     """
-    forms, posts = _forms(text, op), _scoped(index.postings, field)
-    words = [_any([_is_form(f, op) for f in fs]) for fs in forms]
+    words = [list(fs) for fs in dict.fromkeys(map(tuple, _forms(text, op)))]
+    found = _found(index, words, field, op)
     if len(words) == 1:
-        return posts.filter(words[0]).select("book_id").distinct()
-    counted = _scoped(index.terms, field).agg(*(F.coalesce(F.sum(F.when(w, F.col("books"))), F.lit(0)).alias(f"n{k}") for k, w in enumerate(words))).first()
-    rare = min(range(len(words)), key=lambda k: counted[k])
-    found = posts.filter(_any(words))
-    if counted[rare] <= BROADCAST_BOOKS:
-        candidates = posts.filter(words[rare]).select("book_id").distinct()
-        found = found.join(F.broadcast(candidates), "book_id", "left_semi")  # at most as many rows as counted
-    flags = [F.max(w.cast("int")).alias(f"w{k}") for k, w in enumerate(words)]
+        return found.select("book_id").distinct()
+    flags = [F.max(_is_form(fs, op).cast("int")).alias(f"w{k}") for k, fs in enumerate(words)]
     return found.groupBy("book_id").agg(*flags).filter(reduce(Column.__and__, [F.col(f"w{k}") == 1 for k in range(len(words))])).select("book_id")
 
 
-def _occurrences(text: Column, words: list[str]) -> Column:
-    """How often the words stand next to each other in a text."""
-    k, wanted = len(words), F.array(*map(F.lit, words))
-
-    def count(own: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(own) - k + 1)
-        return F.when(F.size(own) >= k, F.size(F.filter(at, lambda i: F.slice(own, i, k) == wanted))).otherwise(0)
+def _shifted(places: str, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
 
-    return F.transform(F.array(tokens(text, fold=True)), count)[0]  # the tokens are bound once
 
+def _phrase_counts(index: TextIndex, fields: list[str], text: str) -> DataFrame:
+    """book_id, dl and how often the raw words of text stand next to each other in each field, by their positions alone."""
+    words = query_words(text)
+    if not words:
+        raise ValueError("an empty text query")
+    distinct = list(dict.fromkeys(words))
+    posts = _found(index, [[w] for w in distinct], fields[0] if len(fields) == 1 else "any", "phrase").filter(F.col("field").isin(fields) & (F.size("positions") > 0))
+    places = [F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"p{k}") for k, w in enumerate(distinct)]  # one row each
+    each = posts.groupBy("book_id", "field").agg(F.max("dl").alias("dl"), *places)
+    begins = [_shifted(f"p{distinct.index(w)}", j) for j, w in enumerate(words)]
+    counted = each.withColumn("n", F.coalesce(F.size(reduce(F.array_intersect, begins)), F.lit(0)))
+    per_field = [F.coalesce(F.max(F.when(F.col("field") == f, F.col("n"))), F.lit(0)).alias(f) for f in fields]
+    return counted.filter("n > 0").groupBy("book_id").agg(F.max("dl").alias("dl"), *per_field)
 
-def phrase(index: TextIndex, source: DataFrame, fields: list[str], text: str) -> DataFrame:
-    """book_id and one count of occurrences for each field: books in which the raw words of text stand next to each other.
 
-    Candidates come from the postings; only their texts are read word by word.
-    """
-    words = query_words(text)
-    scope = fields[0] if len(fields) == 1 else "any"
-    held = source.join(match(index, text, scope, "phrase"), "book_id", "left_semi")
-    counts = held.select("book_id", *(_occurrences(F.col(f), words).alias(f) for f in fields))
-    return counts.filter(_any([F.col(f) > 0 for f in fields]))
+def phrase(index: TextIndex, fields: list[str], text: str) -> DataFrame:
+    """book_id and one count of occurrences for each field: books in which the raw words of text stand next to each other."""
+    return _phrase_counts(index, fields, text).drop("dl")
 
 
 def substring(index: TextIndex, source: DataFrame, field: str, text: str) -> DataFrame:
@@ -145,35 +157,48 @@ def _idf(n: Column | int, n_books: int) -> Column:
 
 
 def _gain(index: TextIndex, freq: DataFrame, by: str) -> DataFrame:
-    """freq (by, book_id, f) with gain: the BM25 part of each form in each book; every form's own idf, lengths over all fields."""
+    """freq (by, book_id, dl, f) with gain: the BM25 part of each form in each book; every form's own idf, lengths over all fields."""
     held = freq.groupBy(by).agg(F.count("*").alias("n"))
     f, dl = F.col("f"), F.col("dl")
     gain = _idf(F.col("n"), index.n_books) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / index.average_size))
-    return freq.join(F.broadcast(held), by).join(index.sizes, "book_id").select(by, "book_id", gain.alias("gain"))  # held: a row for each form of the query
+    return freq.join(F.broadcast(held), by).select(by, "book_id", gain.alias("gain"))  # held: a row for each form of the query
 
 
 def _weight(column: str = "field") -> Column:
     return reduce(lambda c, x: F.when(F.col(column) == x[0], x[1]).otherwise(c), WEIGHTS.items(), F.lit(0))
 
 
-def bm25(index: TextIndex, text: str, field: str = "any", op: str = "match", source: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
-    """book_id and score of the books that match (op match, prefix, or phrase with source and fields); higher is better.
+def bm25(index: TextIndex, text: str, field: str = "any", op: str = "match", fields: list[str] | None = None) -> DataFrame:
+    """book_id and score of the books that match (op match, prefix, or phrase within fields); higher is better.
 
-    A form counts once for each field and term that holds it, times the field's weight; a phrase by its occurrences.
+    A form counts once for each field and term that holds it, times the field's weight; a phrase by its occurrences. Lengths
+    come with the postings. Any number of words.
     """
     if op == "phrase":
-        scope = fields or [field]
-        freq = phrase(index, source, scope, text).select(F.lit(0).alias("form"), "book_id", reduce(Column.__add__, [F.col(f) * WEIGHTS[f] for f in scope]).alias("f"))
+        scope = fields or (list(WEIGHTS) if field == "any" else [field])
+        freq = _phrase_counts(index, scope, text).select(F.lit(0).alias("form"), "book_id", "dl", reduce(Column.__add__, [F.col(f) * WEIGHTS[f] for f in scope]).alias("f"))
         return _gain(index, freq, "form").select("book_id", F.col("gain").alias("score"))
     words = _forms(text, op)
     flat = [(k, f) for k, fs in enumerate(words) for f in fs]
-    posts = _scoped(index.postings, field).filter(_any([_is_form(f, op) for _, f in flat]))
-    which = F.explode(F.array_compact(F.array(*(F.when(_is_form(f, op), i) for i, (_, f) in enumerate(flat)))))
-    freq = posts.select(which.alias("form"), "book_id", _weight().alias("w")).groupBy("form", "book_id").agg(F.sum("w").alias("f"))
-    scored = _gain(index, freq, "form")
-    word_of = reduce(lambda c, x: F.when(F.col("form") == x[0], x[1][0]).otherwise(c), enumerate(flat), F.lit(-1))
-    per_book = scored.groupBy("book_id").agg(F.sum("gain").alias("score"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), word_of)).alias("words"))
-    return per_book.filter(F.col("words") == (1 << len(words)) - 1).select("book_id", "score")
+    if op == "prefix":
+        which = F.array_compact(F.array(*(F.when(F.col("term").startswith(f), i) for i, (_, f) in enumerate(flat))))
+    else:
+        places: dict[str, list[int]] = {}
+        for i, (_, f) in enumerate(flat):
+            places.setdefault(f, []).append(i)
+        which = F.element_at(F.create_map(*(c for f, at in places.items() for c in (F.lit(f), F.array(*map(F.lit, at))))), F.col("term"))
+    posts = _scoped(index.postings, field).filter(_is_form(sorted({f for _, f in flat}), op))  # all of them: a form's idf counts every book
+    freq = posts.select(F.explode(which).alias("form"), "book_id", "dl", _weight().alias("w")).groupBy("form", "book_id").agg(F.sum("w").alias("f"), F.max("dl").alias("dl"))
+    word = F.get(F.array(*(F.lit(k) for k, _ in flat)), F.col("form"))
+    per_book = _gain(index, freq, "form").groupBy("book_id").agg(F.sum("gain").alias("score"), F.size(F.collect_set(word)).alias("words"))
+    return per_book.filter(F.col("words") == len(words)).select("book_id", "score")
+
+
+def ranked(tree: dict, index: TextIndex) -> DataFrame | None:
+    """The scores of a tree that can be ordered by relevance: one text leaf as the root, not by substring; else None."""
+    if set(tree) & {"and", "or", "not"} or "text" not in tree or tree.get("op", "match") == "substring":
+        return None
+    return bm25(index, tree["text"], tree.get("field", "any"), tree.get("op", "match"))
 
 
 def by_relevance(matched: DataFrame, scored: DataFrame | None = None) -> DataFrame:
@@ -194,22 +219,27 @@ def search(queries: DataFrame, index: TextIndex, field: str = "any", prefix: boo
     """(query_id, book_id) where every word of the query matches by some form; words may match in different fields if any.
 
     The rarest word of a query, by the vocabulary, gives its candidates; the other words look up (form, book) pairs, so a
-    common word's postings are never joined with all queries that hold it. Prefixes are expanded over the vocabulary.
+    common word's postings are never joined with all queries that hold it. The postings are read once, and only those of the
+    forms asked leave the scan. Prefixes are expanded over the vocabulary.
     """
-    forms = query_forms(queries)
-    posts, terms = _scoped(index.postings, field), _scoped(index.terms, field).groupBy("term").agg(F.sum("books").alias("books"))
+    forms = written(query_forms(queries), "forms")
+    terms = _scoped(index.terms, field).select("term", "books")
     if prefix:
         # Every beginning of a vocabulary word as a key: an equi-join, at most a word's length times the vocabulary.
         begun = terms.select("term", "books", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.left(F.col("term"), k))).alias("form"))
-        counted = forms.join(begun, "form").select("query_id", "word_no", F.col("term").alias("form"), "books").distinct()
+        pairs = forms.join(begun, "form").select("query_id", "word_no", F.col("term").alias("form"), "books")
     else:
-        counted = forms.join(terms.withColumnRenamed("term", "form"), "form")
+        pairs = forms.join(terms.withColumnRenamed("term", "form"), "form")
+    counted = written(pairs.groupBy("query_id", "word_no", "form").agg(F.sum("books").alias("books")), "counted")
     per_word = counted.groupBy("query_id", "word_no").agg(F.sum("books").alias("books"))
     plan = per_word.groupBy("query_id").agg(F.min_by("word_no", F.struct("books", "word_no")).alias("rarest"), F.count("*").alias("held"))
     words = forms.groupBy("query_id").agg(F.count_distinct("word_no").alias("words"))
     plan = plan.join(words, "query_id").filter("held = words").select("query_id", "rarest", "words")  # a word outside the vocabulary: no match
-    chosen = counted.join(plan, "query_id")
-    held = posts.select(F.col("term").alias("form"), "book_id").distinct()
+    chosen = written(counted.join(plan, "query_id"), "chosen")
+    asked = chosen.select("form").distinct()
+    posts = _scoped(index.postings, field).select(F.col("term").alias("form"), "book_id")
+    few = asked.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS
+    held = written(posts.join(F.broadcast(asked) if few else asked, "form", "left_semi").distinct(), "held")
     first = chosen.filter("word_no = rarest").select("query_id", "words", "form").join(held, "form").select("query_id", "words", "book_id").distinct()
     rest = first.join(chosen.filter("word_no <> rarest").select("query_id", "word_no", "form"), "query_id").join(held, ["form", "book_id"])
     got = rest.groupBy("query_id", "book_id", "words").agg(F.count_distinct("word_no").alias("got")).filter("got = words - 1").select("query_id", "book_id")

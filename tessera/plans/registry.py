@@ -97,19 +97,37 @@ def documents_source(spark: SparkSession, d: str) -> DataFrame:
 FIELDS, GRAM_FIELDS = ["title", "annotation"], ["title"]
 
 
-def documents_index(spark: SparkSession, d: str) -> ix.TextIndex:
-    """The index of the documents: built where there is none, else read; what has been added since is indexed incrementally."""
-    root = f"{shared_folder(spark)}/text-index-{hashlib.md5(d.encode()).hexdigest()}"
-    source = documents_source(spark, d)
-    books = source.select("book_id", "update_id")
-    ix.build_index(books, lambda since: source if since is None else source.filter(F.col("update_id") > since), root, FIELDS, GRAM_FIELDS)
+def input_files(d: str, *names: str) -> list[str]:
+    return [f"{d}/{name}.parquet" for name in names]
+
+
+def index_root(spark: SparkSession, d: str, kind: str, fields: list[str], gram_fields: list[str]) -> str:
+    """Where the index of an input lies: one for each path, kind and choice of fields."""
+    named = hashlib.md5("\n".join([d, *fields, "", *gram_fields]).encode()).hexdigest()
+    return f"{shared_folder(spark)}/{kind}-{named}"
+
+
+def _documents_index(spark: SparkSession, d: str, kind: str, source: DataFrame, fields: list[str], gram_fields: list[str]) -> ix.TextIndex:
+    root = index_root(spark, d, kind, fields, gram_fields)
+    since = lambda mark: source if mark is None else source.filter(F.col("update_id") > mark)
+    ix.build_index(source.select("book_id", "update_id"), since, root, fields, gram_fields, files=input_files(d, "documents"))
     return ix.read_index(spark, root)
 
 
+def documents_index(spark: SparkSession, d: str) -> ix.TextIndex:
+    """The index of the documents: built where there is none or the files were rewritten, else read; what has been added since is indexed incrementally."""
+    return _documents_index(spark, d, "text-index", documents_source(spark, d), FIELDS, GRAM_FIELDS)
+
+
+def body_index(spark: SparkSession, d: str) -> ix.TextIndex:
+    """The grams of the whole texts."""
+    return _documents_index(spark, d, "body-index", whole_source(spark, d), ["title"], ["body"])
+
+
 def whole_source(spark: SparkSession, d: str) -> DataFrame:
     """book_id, title (the whole first line), annotation and body (both the text) of the documents."""
     docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("book_id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("annotation"), F.col("text").alias("body"))
+    return docs.select(F.col("doc_id").alias("book_id"), F.col("doc_id").alias("update_id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("annotation"), F.col("text").alias("body"))
 
 
 SEARCH_AND = {"and": [{"range": "year", "from": 1996, "to": 1998}, {"term": "genre", "values": ["R1", "R3"], "children": True}, {"not": {"term": "lang", "values": ["5-LOW"]}}]}
@@ -445,7 +463,7 @@ def index_postings(spark, d):
 @query(f"with {POSTS} select field, term, count(*) as books from posts group by all", base=False)
 def index_terms(spark, d):
     """The vocabulary of the written index."""
-    return documents_index(spark, d).terms.groupBy("field", "term").agg(F.sum("books").alias("books"))
+    return documents_index(spark, d).vocabulary()
 
 
 @query(f"with {POSTS} select book_id, count(*) as dl from posts group by all", base=False)
@@ -484,7 +502,7 @@ _OF_THE = "len(list_filter(generate_series(1, len(w) - 1), lambda i: w[i] = 'of'
 
 @query(f"with {POSTS}, w as (select book_id, {tok('annotation')} as w from src) select book_id, annotation from (select book_id, {_OF_THE} as annotation from w) where annotation > 0", base=False)
 def text_phrase(spark, d):
-    return st.phrase(documents_index(spark, d), documents_source(spark, d), ["annotation"], "of the").withColumn("annotation", F.col("annotation").cast("long"))
+    return st.phrase(documents_index(spark, d), ["annotation"], "of the").withColumn("annotation", F.col("annotation").cast("long"))
 
 
 @query(f"with {POSTS} select book_id from src where contains(list_aggregate({tok('title')}, 'string_agg', ' '), 'ing th')", base=False)
@@ -564,6 +582,16 @@ def bm25_top(spark, d):
     return _best(st.bm25(documents_index(spark, d), "erth thnt"))
 
 
+@query(f"""with {POSTS}, asked as materialized (select unnest(list_distinct({tok("text")})) as term from documents where doc_id = (select min(doc_id) from documents where len(list_distinct({tok("text")})) >= 100)),
+ {_GAIN.format(f="select term, book_id, sum(case field when 'title' then 10 else 1 end) as f from posts where term in (select term from asked) group by all")}
+ select book_id, round(score, 6) as score from g where words = (select count(*) from asked) order by round(score, 6) desc, book_id limit 20""", base=False)
+def bm25_long(spark, d):
+    """All words of the first document of 100 different ones or more, as one query."""
+    words = F.array_distinct(tokens(F.col("text"), fold=True))
+    text = " ".join(table(spark, d, "documents").select("doc_id", words.alias("w")).filter(F.size("w") >= 100).orderBy("doc_id").first().w)  # one text
+    return _best(st.bm25(documents_index(spark, d), text))
+
+
 @query(f"with {POSTS}, {_BM25.format(f=_PREFIX_F, words=1)}", base=False)
 def bm25_prefix(spark, d):
     return _best(st.bm25(documents_index(spark, d), "therr", op="prefix"))
@@ -571,7 +599,7 @@ def bm25_prefix(spark, d):
 
 @query(f"with {POSTS}, {_BM25.format(f=_PHRASE_F, words=1)}", base=False)
 def bm25_phrase(spark, d):
-    return _best(st.bm25(documents_index(spark, d), "of the", "annotation", "phrase", documents_source(spark, d)))
+    return _best(st.bm25(documents_index(spark, d), "of the", "annotation", "phrase"))
 
 
 _THE_F = "select 0 as term, book_id, 10 * count(*) as f from posts where field = 'title' and starts_with(term, 'the') group by all"
@@ -603,9 +631,7 @@ def text_prefix_whole(spark, d):
 
 @query(f"with {WHOLE} select book_id from src where contains(list_aggregate({tok('body')}, 'string_agg', ' '), 'ing th')", base=False)
 def text_substring_whole(spark, d):
-    source = whole_source(spark, d)
-    index = ix.TextIndex({"parts": []}, None, None, None, ix.grams(source, ["body"]))
-    return st.substring(index, source, "body", "ing th")
+    return st.substring(body_index(spark, d), whole_source(spark, d), "body", "ing th")
 
 
 @query(f"""with {WHOLE}, w as (select item_id as query_id, list_distinct({tok("text")}) as ws from benchmark), q as (select query_id, unnest(ws) as term, len(ws) as words from w)
@@ -625,8 +651,8 @@ MARK = 12 * 2000 + 6
 
 def catalog_index(spark: SparkSession, d: str) -> tuple[Catalog, ix.TextIndex]:
     """The catalog, and its index brought up to date."""
-    cat, root = cat_of(spark, d), f"{shared_folder(spark)}/catalog-index-{hashlib.md5(d.encode()).hexdigest()}"
-    catalog_build(spark, cat, root, cat.books)
+    cat, root = cat_of(spark, d), index_root(spark, d, "catalog-index", list(ix.WEIGHTS), CATALOG_GRAMS)
+    catalog_build(spark, cat, root, cat.books, files=input_files(d, *CATALOG_TABLES))
     return cat, ix.read_index(spark, root)
 
 
@@ -649,20 +675,24 @@ def index_decisions(spark, d):
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query(" select count(*) as books, max(update_id) as mark, 1::bigint as files from books")
+@query(" select count(*) as books, max(update_id) as mark, (select count(*) from orders) > 0 as any_file, true as sized from books")
 def index_fingerprint(spark, d):
-    cat = cat_of(spark, d)
-    return ix.fingerprint(cat.books, spark.read.parquet(f"{d}/orders.parquet")).select("books", "mark", "files")
+    cat, manifest = cat_of(spark, d), ix.file_manifest(spark, input_files(d, "orders"))
+    return ix.fingerprint(cat.books, manifest).select("books", "mark", (F.col("files") > 0).alias("any_file"), ((F.col("file_bytes") > 0) & F.col("file_newest").isNotNull()).alias("sized"))
 
 
-def catalog_build(spark: SparkSession, cat: Catalog, root: str, books: DataFrame, force: bool = False) -> dict:
+CATALOG_TABLES = ("orders", "customer", "lineitem", "part", "supplier", "events")
+CATALOG_GRAMS = ["title", "authors", "series", "keywords"]
+
+
+def catalog_build(spark: SparkSession, cat: Catalog, root: str, books: DataFrame, force: bool = False, files: list[str] | None = None) -> dict:
     """Bring the catalog's index at root up to date with some of its books."""
     links = {
         "authors": (cat.author_links.join(cat.authors, "author_id"), "author_id", "last_name"),
         "series": (cat.series_links.join(cat.series, "series_id"), "series_id", "series_title"),
         "keywords": (cat.keyword_links, "keyword_id", "keyword_id"),
     }
-    return ix.build_index(books.select("book_id", "update_id"), lambda since: ix.source_rows(books, links, cat.annotated, since), root, list(ix.WEIGHTS), ["title", "authors", "series", "keywords"], force)
+    return ix.build_index(books.select("book_id", "update_id"), lambda since: ix.source_rows(books, links, cat.annotated, since), root, list(ix.WEIGHTS), CATALOG_GRAMS, force, files)
 
 
 _INDEXED = f"""s as (select book_id, 'title' as field, {tok("title")} as t from books union all
@@ -692,10 +722,60 @@ def index_state(spark, d):
     cat, root = cat_of(spark, d), new_folder(spark, "index")
     early = cat.books.filter(F.col("update_id") <= MARK)
     states = [catalog_build(spark, cat, root, early), *(catalog_build(spark, cat, root, cat.books, force) for force in (False, False, True))]
-    rows = [(k, s["action"], s["books"], s["mark"], len(s["parts"]), sum(p["n"] for p in s["parts"]), sum(p["dl"] for p in s["parts"])) for k, s in enumerate(states, 1)]
+    rows = [(k, s["action"], s["books"], s["mark"], len(s["parts"]), s["indexed"], s["forms"]) for k, s in enumerate(states, 1)]
     return spark.createDataFrame(rows, "step int, action string, books long, mark long, parts int, indexed long, forms long")  # one row a step
 
 
+_CHANGED = f"""src as (select doc_id as book_id, {TITLE} as title, annotation from (select doc_id, {{text}} as text, {{text}} as annotation from documents)),
+toks as (select book_id, 'title' as field, {tok("title")} as t from src union all select book_id, 'annotation', {tok("annotation")} from src),
+posts as (select distinct field, unnest(t) as term, book_id from toks)"""
+
+
+def _changed(source: DataFrame, text) -> DataFrame:
+    """The documents' source with other texts."""
+    return source.select("book_id", "update_id", F.split(text, "\n")[0].alias("title"), text.alias("annotation"))
+
+
+@query(f"with {_CHANGED.replace("{text}", "'exchanged ' || text")} select 'full' as action, field, term, count(*) as books, min(book_id) as least from posts group by all", base=False)
+def index_rewritten(spark, d):
+    """Files that are rewritten with as many books and the same mark: the index is built anew, not skipped."""
+    folder, root = new_folder(spark, "input"), new_folder(spark, "index")
+    docs = documents_source(spark, d)
+
+    def build() -> dict:
+        given = spark.read.schema(docs.schema).parquet(folder)
+        return ix.build_index(given.select("book_id", "update_id"), lambda since: given, root, FIELDS, GRAM_FIELDS, files=[folder])
+
+    docs.write.parquet(folder)
+    first, second = build(), build()
+    _changed(docs, F.concat(F.lit("exchanged "), "annotation")).write.mode("overwrite").parquet(folder)
+    third = build()
+    if (first["action"], second["action"]) != ("full", "skipped"):
+        raise RuntimeError("the first build is full, a second one has nothing to do")
+    found = ix.read_index(spark, root).postings.groupBy("field", "term").agg(F.count("*").alias("books"), F.min("book_id").alias("least"))
+    return found.select(F.lit(third["action"]).alias("action"), "field", "term", "books", "least")
+
+
+@query(f"""with {_CHANGED.replace("{text}", "case when doc_id % 5 = 0 then 'again ' || text when doc_id % 3 = 0 then 'newest ' || text else text end")}
+ select field, term, count(*) as books, min(book_id) as least from posts group by all""", base=False)
+def index_delivered(spark, d):
+    """Deliveries: two versions of a book in one batch, books delivered again, late old versions, and a batch that is replayed."""
+    root, docs = new_folder(spark, "index"), documents_source(spark, d)
+
+    def version(books: str, update: int, word: str) -> DataFrame:
+        return _changed(docs.filter(books).withColumn("update_id", F.lit(update).cast("long")), F.concat(F.lit(word), "annotation"))
+
+    batches = [
+        version("book_id % 3 > 0", 1, ""),
+        version("book_id % 3 = 0", 3, "newest ").unionByName(version("book_id % 3 = 0", 2, "middle ")),
+        version("book_id % 5 = 0", 5, "again "),
+        version("book_id % 5 = 0", 4, "late "),
+    ]
+    for number, batch in [*enumerate(batches), (1, batches[1])]:
+        ix.deliver(batch, root, FIELDS, GRAM_FIELDS, "deliveries", number)
+    return ix.read_index(spark, root).postings.groupBy("field", "term").agg(F.count("*").alias("books"), F.min("book_id").alias("least"))
+
+
 @query(f""", {_INDEXED} select book_id from p where field = 'authors' and term = 'ring' intersect select book_id from p where field = 'keywords' and term = 'economy' intersect select book_id from seen where year = 1997""")
 def search_text_tree(spark, d):
     """Text leaves of the catalog's index inside a tree: an author's word and a keyword, and a year."""
