@@ -12,13 +12,13 @@ from tessera.sources.catalog import Catalog, author_name
 
 
 def collection_summary(cat: Catalog, index_state: dict | None = None) -> DataFrame:
-    """One row: visible books, all authors and series, languages (of deleted books too), plausible year bounds, annotated books, and the books and mark of the index, where its state is given."""
+    """One row: visible books, all authors and series, languages (of deleted books too), plausible year bounds, annotated books, and the books, mark and time of the index, where its state is given."""
     sane = F.when(F.col("year").between(1400, 2200), F.col("year"))
     seen = ~F.col("deleted")
     books = cat.books.agg(F.sum(seen.cast("long")).alias("books"), F.count_distinct("lang").alias("languages"), F.min(F.when(seen, sane)).alias("year_from"), F.max(F.when(seen, sane)).alias("year_to"))
     one = lambda df, name: df.agg(F.count("*").alias(name))
     rows = books.crossJoin(one(cat.authors, "authors")).crossJoin(one(cat.series, "series")).crossJoin(one(cat.annotated, "annotations"))  # one row each
-    return rows if index_state is None else rows.select("*", F.lit(index_state["books"]).alias("indexed_books"), F.lit(index_state["mark"]).alias("index_mark"))
+    return rows if index_state is None else rows.select("*", F.lit(index_state["books"]).alias("indexed_books"), F.lit(index_state["mark"]).alias("index_mark"), F.lit(index_state["indexed_at"]).alias("indexed_at"))
 
 
 def author_list(cat: Catalog, text: str, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -407,6 +407,14 @@ def collection_summary(spark, d):
     return rp.collection_summary(cat_of(spark, d))
 
 
+@query(""" select (select count(*) from seen) as books, (select count(*) from part) as authors, (select count(*) from books) as indexed_books, (select max(update_id) from books) as index_mark, true as dated""")
+def summary_indexed(spark, d):
+    """The summary with what the index's state says: its books, mark and time."""
+    cat, index = catalog_index(spark, d)
+    found = rp.collection_summary(cat, index.state)
+    return found.select("books", "authors", "indexed_books", "index_mark", F.to_timestamp("indexed_at").isNotNull().alias("dated"))
+
+
 @query(""", found as (select * from authors where (contains(upper(last_name), 'RE') or len(list_filter(regexp_split_to_array(upper(list_name), '[^\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'RE'))) > 0)
    and author_id in (select author_id from author_links))
  select author_id, list_name as name, coalesce(b.n, 0) as books, (select count(*) from found) as total from found
@@ -421,9 +429,19 @@ def languages(spark, d):
     return rp.languages(cat_of(spark, d))
 
 
-@query(" select author_id as id, list_name as label, count(distinct book_id) as books from authors join author_links using (author_id) join seen using (book_id) where starts_with(upper(list_name), 'S') group by 1, 2 order by books desc, id limit 10")
+_PREFIX = "(select left(upper(max(last_name)), 1) from authors)"
+
+
+@query(f" select author_id as id, list_name as label, count(distinct book_id) as books from authors join author_links using (author_id) join seen using (book_id) where starts_with(upper(list_name), {_PREFIX}) group by 1, 2 order by books desc, id limit 10")
 def suggest_author(spark, d):
-    return rp.suggest(cat_of(spark, d), "author", "s")
+    """By the first letter of the last surname, so that there are authors to suggest."""
+    cat = cat_of(spark, d)
+    return rp.suggest(cat, "author", cat.authors.agg(F.left(F.max("last_name"), F.lit(1))).first()[0].lower())
+
+
+@query(" select series_id as id, s_name as label, count(distinct book_id) as books from series_links join supplier on s_suppkey = series_id join seen using (book_id) where starts_with(upper(s_name), 'SUPPLIER#00000000') group by 1, 2 order by books desc, id limit 10")
+def suggest_series(spark, d):
+    return rp.suggest(cat_of(spark, d), "series", "supplier#00000000")
 
 
 @query(" select keyword_id as id, keyword_id as label, count(distinct book_id) as books from keyword_links join seen using (book_id) where starts_with(upper(keyword_id), 'S') group by 1 order by books desc, id limit 10")

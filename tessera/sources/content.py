@@ -11,13 +11,14 @@ from pyspark.sql.types import ArrayType, StringType
 
 from tessera.functions.text import strip_tags, volume
 
-_TAG = r"(?:[\w.-]+:)?"
+#: A tag may have any namespace prefix; its letters may be of either case.
+_TAG = r"(?:\w+:)?"
 
 
 def _decoded(data: bytes | None) -> str:
     """Text by the charset of the XML declaration; UTF-8 where it is unknown."""
     data = data or b""
-    named = re.search(rb"""encoding=["']([\w.-]+)["']""", data[:200])
+    named = re.search(rb"""encoding\s*=\s*["']([\w-]+)["']""", data[:256], re.IGNORECASE)
     try:
         return data.decode(named[1].decode() if named else "utf-8", "replace")
     except LookupError:
@@ -51,12 +52,12 @@ def read_reviews(spark: SparkSession, folder: str, books: DataFrame) -> DataFram
 
 
 def _inner(xml: Column, tag: str) -> Column:
-    """What the first element of a name holds, any namespace prefix; null where there is none."""
-    return F.nullif(F.regexp_extract(xml, rf"(?s)<{_TAG}{tag}(?:\s[^>]*)?>(.*?)</{_TAG}{tag}\s*>", 1), F.lit(""))
+    """What the first element of a name holds, any namespace prefix, in any case; null where there is none."""
+    return F.nullif(F.regexp_extract(xml, rf"(?si)<{_TAG}{tag}(?:\s[^>]*)?>(.*?)</{_TAG}{tag}\s*>", 1), F.lit(""))
 
 
 def _all(xml: Column, tag: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(rf"(?s)<{_TAG}{tag}(?:\s[^>]*)?>(.*?)</{_TAG}{tag}\s*>"), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(rf"(?si)<{_TAG}{tag}(?:\s[^>]*)?>(.*?)</{_TAG}{tag}\s*>"), F.lit(1))
 
 
 def _text(xml: Column) -> Column:
@@ -68,23 +69,28 @@ def _person(xml: Column) -> Column:
     return F.coalesce(F.nullif(parts, F.lit("")), _text(_inner(xml, "nickname")))
 
 
+_SECTION = re.compile(rf"<(/?){_TAG}section(?:\s[^>]*?)?(/?)>", re.IGNORECASE | re.ASCII)
+_NESTED = re.compile(rf"<{_TAG}section[\s>]", re.IGNORECASE | re.ASCII)
+_TITLE = re.compile(rf"<{_TAG}title(?:\s[^>]*)?>(.*?)</{_TAG}title\s*>", re.IGNORECASE | re.ASCII | re.DOTALL)
+
+
 def _chapters(bodies: pd.Series) -> pd.Series:
-    """Titles of the sections at the top level of a body, in order; a small scan over tags keeps broken files readable."""
+    """What the titles of the outermost sections hold, in order: a section's is its first title before its first nested section.
+
+    A scan over section tags, so broken files stay readable.
+    """
 
     def titles(body: str | None) -> list[str]:
-        depth, found, at = 0, [], None
-        for m in re.finditer(rf"<(/?){_TAG}(section|title)\b[^>]*?(/?)>", body or ""):
-            closing, tag, empty = m[1], m[2], m[3]
-            if empty:
-                continue
-            if tag == "section":
-                depth += -1 if closing else 1
-            elif depth == 1 and not closing:
-                at = m.end()
-            elif closing and at is not None:
-                title = " ".join(re.sub(r"<[^>]*>", " ", body[at : m.start()]).split())
-                found += [title] if title else []
-                at = None
+        depth, found, body = 0, [], body or ""
+        for m in _SECTION.finditer(body):
+            if m[1]:
+                depth -= 1
+            elif not m[2]:
+                if depth == 0:
+                    nested = _NESTED.search(body, m.end())
+                    title = _TITLE.search(body, m.end(), nested.start() if nested else len(body))
+                    found += [title[1]] if title else []
+                depth += 1
         return found
 
     return bodies.map(titles)
@@ -104,7 +110,7 @@ def book_metadata(files: DataFrame, key: str = "book_id", data: str = "content")
         key, F.when(note.isNotNull(), F.coalesce(F.nullif(lines, F.lit("")), _text(note))).alias("annotation"), _text(_inner(F.col("pi"), "publisher")).alias("publisher"),
         F.when(year.rlike(r"^\d{3,4}$"), year.cast("int")).alias("publish_year"), _text(_inner(F.col("pi"), "city")).alias("publish_city"), _text(_inner(F.col("pi"), "isbn")).alias("isbn"),
         _text(_inner(F.col("ti"), "src-lang")).alias("src_lang"), F.filter(F.transform(_all(F.col("ti"), "translator"), _person), lambda x: x.isNotNull()).alias("translators"),
-        chapters("body").alias("chapters"), strip_tags(F.col("body")).alias("plain"),
+        F.filter(F.transform(chapters("body"), strip_tags), lambda x: x != "").alias("chapters"), strip_tags(F.col("body")).alias("plain"),
     )
     return plain.select("*", *volume(F.col("plain"))).drop("plain")
 
