@@ -60,6 +60,8 @@ def facets(cat: Catalog, tree: Tree | None, fields: list[str], user: int = 1, ze
     if scalars:
         parts[0] = parts[0].groupBy("field", "value").agg(F.count("*").alias("n"))
     counts = reduce(DataFrame.unionByName, parts)
+    if len(fields) > 1:
+        counts = written(counts, "counts")  # a row for each value, read by every limit
 
     labels = reduce(DataFrame.unionByName, (
         cat.genres.select(F.lit("genre").alias("field"), F.col("genre_code").alias("value"), F.col("title").alias("label")),

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalised, stems_of_words, tokens
-from tessera.sources.storage import spread, written
+from tessera.sources.storage import file_manifest, spread, written
 
 #: Weights of the fields.
 WEIGHTS = {"title": 10, "authors": 8, "series": 4, "keywords": 2, "annotation": 1}
@@ -111,17 +111,6 @@ def grams(source: DataFrame, fields: list[str], n: int = 3) -> DataFrame:
     return texts.select("field", F.explode(cut).alias("gram"), "book_id")
 
 
-def file_manifest(spark: SparkSession, paths: list[str]) -> dict:
-    """What the files below some paths are: files, bytes, newest (microseconds), and a digest over each one's path, size and time.
-
-    Spark lists them; contents aren't read. Any file that is added, removed or rewritten changes the digest.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", F.unix_micros("modificationTime").alias("at"))
-    each = F.xxhash64("path", "length", "at").cast("decimal(38,0)")
-    found = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.max("at").alias("newest"), F.sum(each).cast("string").alias("digest")).first()
-    return found.asDict()
-
-
 def fingerprint(books: DataFrame, manifest: dict | None = None) -> DataFrame:
     """One row: books, mark (largest update id), and what file_manifest says of the files read, where given."""
     facts = [F.lit(manifest[k]).alias(f"file_{k}" if k != "files" else k) for k in ("files", "bytes", "newest", "digest")] if manifest else []

@@ -55,7 +55,8 @@ def link_rows(cat: Catalog, leaf: Tree, user: int = 1) -> tuple[str, DataFrame,
     if leaf.get("term") == "genre":
         if not leaf.get("children"):
             return "genre", cat.genre_links, F.col("genre_code").isin(leaf["values"]), False
-        codes = closure(cat.genres).filter(F.col("root").isin(leaf["values"])).select(F.col("code").alias("genre_code")).distinct()
+        below = closure(cat.genres) if cat.below is None else cat.below
+        codes = below.filter(F.col("root").isin(leaf["values"])).select(F.col("code").alias("genre_code")).distinct()
         return f"genres below {leaf['values']}", cat.genre_links.join(codes, "genre_code", "left_semi"), true, False
     if "ids" in leaf:
         kind = leaf["ids"]

@@ -17,9 +17,9 @@ from tessera.operators import paging as pg
 from tessera.operators import reports as rp
 from tessera.operators import search_text as st
 from tessera.operators.predicates import match
-from tessera.sources.catalog import Catalog, group_members, orders_catalog, table
+from tessera.sources.catalog import Catalog, group_members, orders_catalog, stored, table
 from tessera.sources.content import normalise_reviews
-from tessera.sources.storage import new_folder, shared_folder
+from tessera.sources.storage import file_manifest, new_folder, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,8 +79,18 @@ def query(sql: str | None = None, base: bool = True):
     return add
 
 
+CATALOG_TABLES = ("orders", "customer", "lineitem", "part", "supplier", "region", "nation", "events")
+
+
 def cat_of(spark: SparkSession, d: str) -> Catalog:
-    return orders_catalog(spark, d)
+    """The catalog of an input, stored once in the shared folder for each state of its files."""
+
+    def bind() -> Catalog:
+        cat = orders_catalog(spark, d)
+        cat.below = hi.closure(cat.genres)
+        return cat
+
+    return stored(spark, bind, input_files(d, *CATALOG_TABLES))
 
 
 def flat(rows: DataFrame) -> DataFrame:
@@ -695,11 +705,10 @@ def index_decisions(spark, d):
 
 @query(" select count(*) as books, max(update_id) as mark, (select count(*) from orders) > 0 as any_file, true as sized from books")
 def index_fingerprint(spark, d):
-    cat, manifest = cat_of(spark, d), ix.file_manifest(spark, input_files(d, "orders"))
+    cat, manifest = cat_of(spark, d), file_manifest(spark, input_files(d, "orders"))
     return ix.fingerprint(cat.books, manifest).select("books", "mark", (F.col("files") > 0).alias("any_file"), ((F.col("file_bytes") > 0) & F.col("file_newest").isNotNull()).alias("sized"))
 
 
-CATALOG_TABLES = ("orders", "customer", "lineitem", "part", "supplier", "events")
 CATALOG_GRAMS = ["title", "authors", "series", "keywords"]
 
 

@@ -5,12 +5,15 @@ Bindings are lazy frames over explicit columns; links are unique for each (book,
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import kept
+
 
 @dataclass
 class Catalog:
@@ -28,6 +31,8 @@ class Catalog:
     groups: DataFrame  # group_id, object_id (text: of any kind)
     reviewed: DataFrame  # book_id
     annotated: DataFrame  # book_id, annotation
+    members: DataFrame | None = None  # group_id, book_id: the groups resolved
+    below: DataFrame | None = None  # root, code, depth: the closure of genres
 
 
 #: Columns that the bindings need of each table.
@@ -39,11 +44,25 @@ NEEDED = {
 }
 
 
+#: Columns of NEEDED that must be whole numbers; the names of dates and amounts end as given. All others are texts or taken as they are.
+_WHOLE = ("key", "_id", "linenumber", "_size", "turn")
+
+
+def _wrong_types(found: DataFrame, names: list[str]) -> list[str]:
+    types = dict(found.dtypes)
+    whole = [c for c in names if c.endswith(_WHOLE) and types[c] not in ("tinyint", "smallint", "int", "bigint")]
+    dates = [c for c in names if c.endswith("date") and types[c] not in ("date", "timestamp", "timestamp_ntz")]
+    texts = [c for c in names if c.endswith(("name", "text", "html", "role", "props", "_type", "status", "priority", "segment", "flag", "brand")) and types[c] != "string"]
+    return [f"{c} is {types[c]}" for c in whole + dates + texts]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with the columns that the bindings need, and others; a missing one is an error here."""
+    """A table with the columns that the bindings need, and others; a missing one, or one of another kind, is an error here."""
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if missing := set(NEEDED.get(name, "").split()) - set(found.columns):
         raise ValueError(f"{name} lacks {', '.join(sorted(missing))}")
+    if wrong := _wrong_types(found, NEEDED.get(name, "").split()):
+        raise ValueError(f"{name}: {', '.join(wrong)}")
     return found
 
 
@@ -110,8 +129,25 @@ def orders_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     )
 
 
+#: The tables of a stored catalog that are dealt in ranges, so that a filter on their first column prunes.
+RANGED = {"user_data": ["user_id", "book_id"], "members": ["group_id", "book_id"]}
+
+
+def stored(spark: SparkSession, bind: Callable[[], Catalog], paths: list[str]) -> Catalog:
+    """A catalog as written tables: overrides applied, links placed, groups resolved, once for each state of the files at paths."""
+
+    def frames() -> dict[str, tuple[DataFrame, list[str]]]:
+        cat = bind()
+        tables = {f.name: getattr(cat, f.name) for f in fields(cat)} | {"members": group_members(cat)}
+        return {name: (df, RANGED.get(name, [])) for name, df in tables.items() if df is not None}
+
+    return Catalog(**kept(spark, "catalog", frames, paths))
+
+
 def group_members(cat: Catalog) -> DataFrame:
     """group_id, book_id: a group's objects are books, authors, series or keywords at once (ids carry no kind)."""
+    if cat.members is not None:
+        return cat.members
     kinds = (cat.books.select(F.col("book_id").alias("id"), "book_id"), *(links.select(F.col(key).alias("id"), "book_id") for links, key in ((cat.author_links, "author_id"), (cat.series_links, "series_id"), (cat.keyword_links, "keyword_id"))))
     each = (cat.groups.join(k.select(F.col("id").cast("string").alias("object_id"), "book_id"), "object_id").select("group_id", "book_id") for k in kinds)
     return reduce(DataFrame.unionByName, each).distinct()
