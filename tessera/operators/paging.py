@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.sources.catalog import Catalog, author_name
 from tessera.sources.storage import written
 
+#: Offset from which a page is sought by ranges of the key, and not by one sort of all that comes before it.
+DEEP_OFFSET = 2000
 _COLUMN_KEYS = {"title": ("search_title", ""), "year": ("year", 0), "lib_rate": ("lib_rate", 0), "size": ("size", 0), "added_at": ("update_id", 0)}
 
 
@@ -31,15 +33,37 @@ def with_sort_key(cat: Catalog, matched: DataFrame, key: str, user: int = 1) ->
     return matched.join(side, "book_id", "left").withColumn("sort_key", F.coalesce("k", F.lit(missing))).drop("k")
 
 
+def _order(descending: bool) -> list[Column]:
+    return [F.desc("sort_key"), F.desc("book_id")] if descending else [F.asc("sort_key"), F.asc("book_id")]
+
+
 def page(keyed: DataFrame, limit: int = 50, descending: bool = False, after: tuple | None = None, offset: int = 0) -> DataFrame:
     """A page by (sort_key, book_id), both in one direction; after: the (key, id) of the last row seen. limit: 1 to 200."""
+    limit, offset = max(1, min(limit, 200)), min(offset, 5_000_000)
     if after is not None:
         key, last = F.lit(after[0]), F.lit(after[1])
         k, i = F.col("sort_key"), F.col("book_id")
         keyed = keyed.filter((k <= key) & ((k < key) | (i < last)) if descending else (k >= key) & ((k > key) | (i > last)))
-    order: list[Column] = [F.desc("sort_key"), F.desc("book_id")] if descending else [F.asc("sort_key"), F.asc("book_id")]
-    ordered = keyed.orderBy(*order)
-    return (ordered.offset(min(offset, 5_000_000)) if offset else ordered).limit(max(1, min(limit, 200)))
+    if offset >= DEEP_OFFSET:
+        return _deep_page(keyed, limit, descending, offset)
+    ordered = keyed.orderBy(*_order(descending))
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
+
+
+def _deep_page(keyed: DataFrame, limit: int, descending: bool, offset: int) -> DataFrame:
+    """A page far behind: keys are dealt in ranges and written, the ranges' sizes tell which of them hold the page, and only
+    those are sorted. The other columns are joined to the rows of the page."""
+    ranges = keyed.select("sort_key", "book_id").repartitionByRange(*_order(descending)).withColumn("part", F.spark_partition_id())
+    keys = written(ranges, "keys")
+    held, before, skipped = [], 0, 0
+    for part, n in sorted((r.part, r.n) for r in keys.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row for each range
+        if before + n <= offset:
+            skipped = before + n
+        elif before < offset + limit:
+            held.append(part)
+        before += n
+    rows = keys.filter(F.col("part").isin(held)).orderBy(*_order(descending)).offset(offset - skipped).limit(limit).select("book_id")
+    return keyed.join(F.broadcast(written(rows, "page")), "book_id", "left_semi").orderBy(*_order(descending))  # 200 rows at most
 
 
 def page_rows(cat: Catalog, rows: DataFrame, user: int = 1) -> DataFrame:
@@ -73,18 +97,22 @@ def relations(cat: Catalog, rows: DataFrame) -> DataFrame:
     return ids.join(authors, "book_id", "left").join(genres, "book_id", "left").join(keywords, "book_id", "left")
 
 
-def page_response(cat: Catalog, matched: DataFrame, key: str, user: int = 1, with_total: bool = False, **paging) -> DataFrame:
-    """The rows of a page with their relations, and on request the total; the page itself is found once, and written (200 rows at most)."""
+def page_response(cat: Catalog, matched: DataFrame, key: str, user: int = 1, with_total: bool = False, with_next: bool = False, limit: int = 50, descending: bool = False, **paging) -> DataFrame:
+    """The rows of a page with their relations, and on request the total, and next_key and next_id: after which row the next
+    page begins. The page itself is found once, and written (200 rows at most)."""
     keyed = with_sort_key(cat, matched, key, user)
-    rows = F.broadcast(written(page(keyed, **paging), "page"))
+    rows = F.broadcast(written(page(keyed, limit=limit, descending=descending, **paging), "page"))
     out = page_rows(cat, rows, user).join(relations(cat, rows), "book_id", "left")
+    out = out.crossJoin(next_key(rows, limit, descending)) if with_next else out  # one row
     return out.crossJoin(total(matched)) if with_total else out  # one row
 
 
-def next_key(rows: DataFrame, limit: int, descending: bool = False) -> tuple | None:
-    """The (key, id) after which the next page begins: of the last row of a full page, else None. rows: a page, 200 at most."""
-    seen = sorted(((r.sort_key, r.book_id) for r in rows.select("sort_key", "book_id").collect()), reverse=descending)
-    return seen[-1] if len(seen) == limit else None
+def next_key(rows: DataFrame, limit: int, descending: bool = False) -> DataFrame:
+    """One row, next_key and next_id: of the last row of a full page, else null. rows: a page, 200 at most."""
+    key = F.struct("sort_key", "book_id")
+    last = rows.agg(F.count("*").alias("n"), (F.min(key) if descending else F.max(key)).alias("last"))
+    full = F.col("n") == max(1, min(limit, 200))
+    return last.select(F.when(full, F.col("last.sort_key")).alias("next_key"), F.when(full, F.col("last.book_id")).alias("next_id"))
 
 
 def total(matched: DataFrame) -> DataFrame:

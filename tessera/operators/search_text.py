@@ -194,6 +194,28 @@ def bm25(index: TextIndex, text: str, field: str = "any", op: str = "match", fie
     return per_book.filter(F.col("words") == len(words)).select("book_id", "score")
 
 
+def found(leaf: dict, index: TextIndex, source: DataFrame | None = None) -> DataFrame:
+    """book_id of a text leaf {"text": words, "field": any or one, "op": match, prefix, phrase or substring}. source: texts, for substrings."""
+    text, field, op = leaf["text"], leaf.get("field", "any"), leaf.get("op", "match")
+    if op == "substring":
+        return substring(index, source, field, text)
+    if op == "phrase":
+        return phrase(index, list(WEIGHTS) if field == "any" else [field], text).select("book_id")
+    return match(index, text, field, op)
+
+
+def resolve(tree: dict, index: TextIndex, source: DataFrame | None = None) -> dict:
+    """A predicate tree with its text leaves answered by the index."""
+    if "text" in tree:
+        return {"books": found(tree, index, source)}
+    if "not" in tree:
+        return {"not": resolve(tree["not"], index, source)}
+    for both in ("and", "or"):
+        if both in tree:
+            return {both: [resolve(x, index, source) for x in tree[both]]}
+    return tree
+
+
 def ranked(tree: dict, index: TextIndex) -> DataFrame | None:
     """The scores of a tree that can be ordered by relevance: one text leaf as the root, not by substring; else None."""
     if set(tree) & {"and", "or", "not"} or "text" not in tree or tree.get("op", "match") == "substring":

@@ -226,6 +226,23 @@ def page_offset(spark, d):
     return pg.page(pg.with_sort_key(cat, match(cat, None), "year"), offset=120, descending=True).select(*_PAGE.split(", "))
 
 
+@query(" select book_id, title, year, size, size as sort_key from seen order by size desc, book_id desc limit 100 offset least(5000000, (select count(*) * 3 // 4 from seen))")
+def page_deep(spark, d):
+    """A page behind three quarters of all books."""
+    matched = match(cat_of(spark, d), None)
+    return pg.page(pg.with_sort_key(cat_of(spark, d), matched, "size"), limit=100, descending=True, offset=matched.count() * 3 // 4).select(*_PAGE.split(", "))
+
+
+@query(_AND_SQL + """, p as (select *, row_number() over (order by search_title, book_id) as place from m)
+ select book_id, title, search_title as sort_key, (select search_title from p where place = 60) as next_key, (select book_id from p where place = 60) as next_id from p where place between 31 and 60""")
+def page_following(spark, d):
+    """The page behind the one that a first response's next key ends, with its own next key."""
+    cat = cat_of(spark, d)
+    matched = match(cat, SEARCH_AND)
+    first = pg.page_response(cat, matched, "title", with_next=True, limit=30).select("next_key", "next_id").first()
+    return pg.page_response(cat, matched, "title", with_next=True, limit=30, after=tuple(first)).select("book_id", "title", "sort_key", "next_key", "next_id")
+
+
 @query(" select book_id from seen where book_id in (select book_id from genre_links where genre_code in ('N3', 'N7', 'R1'))")
 def search_genre_exact(spark, d):
     return match(cat_of(spark, d), {"term": "genre", "values": ["N3", "N7", "R1"]}).select("book_id")
@@ -823,6 +840,25 @@ def sort_relevance(spark, d):
     return pg.page(keyed).select("book_id", "title", "sort_key")
 
 
+def _by_relevance(spark, d, tree: dict) -> DataFrame:
+    """The first page of a tree with text leaves by relevance, or by title where it can't be ranked."""
+    cat, index = catalog_index(spark, d)
+    return pg.page(st.by_relevance(match(cat, st.resolve(tree, index)), st.ranked(tree, index))).select("book_id", "title", "sort_key")
+
+
+@query(f""", {_INDEXED}, posts as materialized (select * from p), {_GAIN.format(f="select 0 as term, book_id, 8 * count(*) as f from posts where field = 'authors' and starts_with(term, 'ri') group by all")}
+ select book_id, title, -round(score, 6) as sort_key from g join seen using (book_id) order by sort_key, book_id limit 50""")
+def sort_relevance_root(spark, d):
+    """One text leaf as the root: ranked."""
+    return _by_relevance(spark, d, {"text": "ri", "field": "authors", "op": "prefix"})
+
+
+@query(f""", {_INDEXED} select book_id, title, search_title as sort_key from seen where book_id in (select book_id from p where term = 'ring') and book_id in (select book_id from p where field = 'keywords' and term = 'economy') order by search_title, book_id limit 50""")
+def sort_relevance_two_leaves(spark, d):
+    """Two text leaves: not ranked, so by title."""
+    return _by_relevance(spark, d, {"and": [{"text": "ring"}, {"text": "economy", "field": "keywords"}]})
+
+
 @query(" select book_id, title, search_title as sort_key from seen where year = 1996 order by search_title, book_id limit 50")
 def sort_relevance_without_text(spark, d):
     keyed = st.by_relevance(match(cat_of(spark, d), {"number": "year", "op": "eq", "value": 1996}))
