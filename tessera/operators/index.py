@@ -95,8 +95,12 @@ def forms(source: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def postings(source: DataFrame, fields: list[str]) -> DataFrame:
-    """field, term, book_id: the distinct forms (tokens and stems) of each field of each book."""
-    return forms(source, fields).filter("field is not null").select("field", "term", "book_id")
+    """field, term, book_id: the distinct forms (tokens and stems) of each field of each book, without their positions."""
+    cut = spread(source).select("book_id", *(F.array_distinct(tokens(F.col(f), fold=True)).alias(f"f{k}") for k, f in enumerate(fields)))
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"f{k}").alias("words")) for k, f in enumerate(fields)))
+    rows = cut.select("book_id", F.explode(each).alias("e")).select("book_id", "e.field", "e.words")
+    stems = stems_of_words(F.filter("words", lambda t: t.rlike("[а-яё]")))  # only Cyrillic words leave the JVM
+    return rows.select("field", F.explode(F.array_union("words", stems)).alias("term"), "book_id")
 
 
 def grams(source: DataFrame, fields: list[str], n: int = 3) -> DataFrame:
@@ -297,6 +301,8 @@ def build_index(books: DataFrame, source: Callable[[int | None], DataFrame], roo
     """
     spark = books.sparkSession
     state, manifest = read_state(spark, root), file_manifest(spark, files) if files else None
+    if state and manifest and not force and state.get("manifest") == manifest:
+        return state | {"action": "skipped"}  # the same files: nothing needs to be counted
     step = decide(books, state, force, manifest).first()
     if step.action == "skipped":
         return state | {"action": "skipped"}
