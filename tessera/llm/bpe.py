@@ -3,6 +3,8 @@
 A piece of text is merged with a priority queue of merge ranks over a doubly linked list of symbols; queue entries whose
 symbols have changed are stale and skipped. Ids are packed little-endian unsigned 32-bit integers (binary), and decoding
 concatenates vocabulary strings. Null text counts as empty: no ids, and '' decoded. Repeated rows give repeated results.
+Null document ids pass through, an empty table gives none, and very long texts are encoded whole, in a batch of their own.
+Input columns named as the new ones are replaced; others may have any names.
 """
 
 from __future__ import annotations
