@@ -62,7 +62,11 @@ def facets(cat: Catalog, tree: Tree | None, fields: list[str], user: int = 1, ze
     counts = reduce(DataFrame.unionByName, parts)
     if len(fields) > 1:
         counts = written(counts, "counts")  # a row for each value, read by every limit
+    return shown(cat, counts, conjuncts, fields, zero_rows)
 
+
+def shown(cat: Catalog, counts: DataFrame, conjuncts: list[Tree], fields: list[str], zero_rows: bool = True) -> DataFrame:
+    """The rows of each facet's answer, of counts (field, value, n): labels, pins, limits, zero rows and places."""
     labels = reduce(DataFrame.unionByName, (
         cat.genres.select(F.lit("genre").alias("field"), F.col("genre_code").alias("value"), F.col("title").alias("label")),
         cat.authors.select(F.lit("author").alias("field"), F.col("author_id").cast("string").alias("value"), author_name("facet").alias("label")),

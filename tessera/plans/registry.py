@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import FOLD_FROM, FOLD_TO, strip_tags, tokens, volume
+from tessera.operators import bitmaps as bm
 from tessera.operators import facets as fc
 from tessera.operators import hierarchy as hi
 from tessera.operators import index as ix
@@ -362,6 +363,39 @@ _facet_query("facets_one_pass", list(fc.FIELDS))
 _facet_query("facet_pinned_zero", ["lang", "author"])
 
 
+def bitmaps_of(spark: SparkSession, d: str, cat: Catalog) -> DataFrame:
+    return bm.bitmap_index(spark, cat, input_files(d, *CATALOG_TABLES))
+
+
+@query(_facet_sql(list(fc.FIELDS)))
+def facets_bitmap(spark, d):
+    """facets_one_pass from the bitmaps of values."""
+    cat = cat_of(spark, d)
+    return bm.facets(cat, bitmaps_of(spark, d, cat), FACET_TREE, list(fc.FIELDS))
+
+
+#: Leaves that the bitmaps answer (a category with those below it, an author) and others (a size, a user's mark), in OR and NOT.
+BITMAP_TREE = {"or": [{"and": [{"term": "genre", "values": ["R1"], "children": True}, {"not": {"ids": "author", "values": [1, 2, 3]}}]}, {"and": [{"number": "size", "op": "gte", "value": 200000}, {"flag": "read", "value": False}]}]}
+_BITMAP_C = """, c as (select * from seen where
+  book_id in (select book_id from genre_links join nation on genre_code = 'N' || n_nationkey where n_regionkey = 1) and book_id not in (select book_id from author_links where author_id in (1, 2, 3))
+  or size >= 200000 and book_id not in (select book_id from user_data where user_id = 1 and read = 1))"""
+
+
+@query(_BITMAP_C + " select count(*) as total from c")
+def total_bitmap(spark, d):
+    cat = cat_of(spark, d)
+    return bm.total(cat, bitmaps_of(spark, d, cat), BITMAP_TREE)
+
+
+@query(_BITMAP_C + """, v as (select 'ext' as field, ltrim(ext, '.') as value, null as label from c union all select 'genre', genre_code, genres.title from c join genre_links using (book_id) left join genres using (genre_code)),
+ n as (select field, value, label, count(*) as n from v group by all), r as (select *, row_number() over (partition by field order by n desc, coalesce(label, value), value) as place, count(*) over (partition by field) > 20 as truncated from n)
+ select field, value, case when label <> value then label end as label, n, truncated, place from r where place <= 20""")
+def facets_bitmap_tree(spark, d):
+    """Bits of a tree with OR and NOT."""
+    cat = cat_of(spark, d)
+    return bm.facets(cat, bitmaps_of(spark, d, cat), BITMAP_TREE, ["ext", "genre"])
+
+
 @query(""", c as (select * from seen where (lang = '1-URGENT' or year = 1997)) select 'lang' as field, lang as value, null::varchar as label, count(*) as n,
   row_number() over (order by count(*) desc, lang) as place, false as truncated from c group by lang""")
 def facet_self_exclude(spark, d):
