@@ -95,17 +95,39 @@ def phrase(index: TextIndex, fields: list[str], text: str) -> DataFrame:
     return _phrase_counts(index, fields, text).drop("dl")
 
 
-def substring(index: TextIndex, source: DataFrame, field: str, text: str) -> DataFrame:
-    """Books whose normalised field holds the normalised text, which may cross words: by all its grams, then verified.
+def _piece_conditions(pieces: list[str]) -> list[Column]:
+    """Of each word of a substring, whether a term can hold it: one word anywhere; of several, the first ends, the last begins and the others are terms."""
+    term, last = F.col("term"), len(pieces) - 1
+    if not last:
+        return [term.contains(pieces[0])]
+    return [term.endswith(w) if k == 0 else term.startswith(w) if k == last else term == w for k, w in enumerate(pieces)]
 
-    The query is folded and cut into tokens as the field is; at least 3 characters must be left.
+
+def substring(index: TextIndex, field: str, text: str) -> DataFrame:
+    """Books whose normalised field holds the normalised text, which may cross words, by vocabulary and positions alone.
+
+    The query is folded and cut into tokens as the field is; at least 3 characters must be left. The vocabulary is searched
+    for the terms that can hold each word of the query, and counts their books; only those terms' postings are read, the books
+    of the rarest word thin out the others', and shifted positions are intersected. No text and no gram is read.
     """
-    plain = " ".join(query_words(text))
-    pieces = sorted({plain[i : i + 3] for i in range(len(plain) - 2)})
-    if not pieces or field == "annotation":
+    pieces = query_words(text)
+    if len(" ".join(pieces)) < 3 or field == "annotation":
         raise ValueError("a substring query needs 3 characters and a field other than annotation")
-    candidates = index.grams.filter((F.col("field") == field) & F.col("gram").isin(pieces)).groupBy("book_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(pieces))
-    return source.join(candidates.select("book_id"), "book_id", "left_semi").filter(F.trim(normalised(F.col(field))).contains(plain)).select("book_id")
+    held, last = _piece_conditions(pieces), len(pieces) - 1
+    asked = written(index.terms.filter((F.col("field") == field) & _any(held)).groupBy("term").agg(F.sum("books").alias("books")), "asked")
+    facts = asked.agg(F.count("*").alias("terms"), *(F.coalesce(F.sum(F.when(c, F.col("books"))), F.lit(0)).alias(f"n{k}") for k, c in enumerate(held))).first()
+    posts = index.postings.filter((F.col("field") == field) & _any(held) & (F.size("positions") > 0))
+    if facts["terms"] <= BROADCAST_FORMS:
+        posts = posts.join(F.broadcast(asked.select("term")), "term", "left_semi")
+    if not last:
+        return posts.select("book_id").distinct()
+    rare = min(range(len(pieces)), key=lambda k: facts[f"n{k}"])
+    if facts[f"n{rare}"] <= BROADCAST_BOOKS:
+        posts = posts.join(F.broadcast(posts.filter(held[rare]).select("book_id").distinct()), "book_id", "left_semi")
+    # A book's positions of the terms of each word, as where the substring would begin.
+    begins = [F.flatten(F.collect_list(F.when(c, _shifted("positions", k)))).alias(f"p{k}") for k, c in enumerate(held)]
+    placed = posts.groupBy("book_id").agg(*begins)
+    return placed.filter(F.size(reduce(F.array_intersect, [F.col(f"p{k}") for k in range(len(pieces))])) > 0).select("book_id")
 
 
 def _holds(text: Column, query: str, op: str) -> Column:
@@ -194,25 +216,25 @@ def bm25(index: TextIndex, text: str, field: str = "any", op: str = "match", fie
     return per_book.filter(F.col("words") == len(words)).select("book_id", "score")
 
 
-def found(leaf: dict, index: TextIndex, source: DataFrame | None = None) -> DataFrame:
-    """book_id of a text leaf {"text": words, "field": any or one, "op": match, prefix, phrase or substring}. source: texts, for substrings."""
+def found(leaf: dict, index: TextIndex) -> DataFrame:
+    """book_id of a text leaf {"text": words, "field": any or one, "op": match, prefix, phrase or substring}."""
     text, field, op = leaf["text"], leaf.get("field", "any"), leaf.get("op", "match")
     if op == "substring":
-        return substring(index, source, field, text)
+        return substring(index, field, text)
     if op == "phrase":
         return phrase(index, list(WEIGHTS) if field == "any" else [field], text).select("book_id")
     return match(index, text, field, op)
 
 
-def resolve(tree: dict, index: TextIndex, source: DataFrame | None = None) -> dict:
+def resolve(tree: dict, index: TextIndex) -> dict:
     """A predicate tree with its text leaves answered by the index."""
     if "text" in tree:
-        return {"books": found(tree, index, source)}
+        return {"books": found(tree, index)}
     if "not" in tree:
-        return {"not": resolve(tree["not"], index, source)}
+        return {"not": resolve(tree["not"], index)}
     for both in ("and", "or"):
         if both in tree:
-            return {both: [resolve(x, index, source) for x in tree[both]]}
+            return {both: [resolve(x, index) for x in tree[both]]}
     return tree
 
 

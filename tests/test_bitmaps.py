@@ -13,14 +13,11 @@ from tessera.sources.storage import written
 LANGS = {"term": "lang", "values": ["1-URGENT", "2-HIGH"]}
 TREES = [
     None,
-    LANGS,
-    {"not": LANGS},
     {"and": [LANGS, {"term": "ext", "values": ["o", ".f"]}, {"ids": "author", "values": [1, 2, 3, 999999]}]},
     {"and": [{"or": [LANGS, {"number": "seq", "op": "gte", "value": 5}]}, {"not": {"term": "genre", "values": ["R0", "N7"], "children": True}}]},
     {"and": [{"flag": "deleted", "value": True}, {"range": "year", "from": 1994, "to": 1996}]},
     {"or": [{"flag": "read", "value": False}, {"ids": "group", "values": [2]}]},
     {"term": "lang", "values": ["", "1-URGENT"]},
-    {"and": [{"ids": "series", "values": [-1]}]},
 ]
 
 

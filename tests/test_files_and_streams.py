@@ -64,12 +64,12 @@ def test_stems_prefixes_and_scopes(spark, tmp_path):
     assert ids(st.match(index, "берег море")) == [1] and ids(st.match(index, "берег море", "title")) == []
     assert ids(st.match(index, "берегами ре", op="prefix")) == [2]
     assert ids(st.phrase(index, ["title"], "тихие берега")) == [1] and ids(st.phrase(index, ["title"], "берега тихие")) == []
-    assert ids(st.substring(index, docs, "title", "CAFÉ n")) == [3] and ids(st.substring(index, docs, "title", "grune; eck")) == [4]
+    assert ids(st.substring(index, "title", "CAFÉ n")) == [3] and ids(st.substring(index, "title", "grune; eck")) == [4]
     assert ids(st.unindexed(docs, ["title"], "CAFE, noir;")) == [3]
     asked = spark.createDataFrame([(1, "берега море"), (2, "cafe"), (3, "absent берег"), (4, "x ecke")], "query_id long, text string")
     assert sorted(tuple(r) for r in st.search(asked, index).collect()) == [(1, 1), (2, 3), (4, 4)]
     with pytest.raises(ValueError):
-        st.substring(index, docs, "title", "a,")
+        st.substring(index, "title", "a,")
     with pytest.raises(ValueError):
         st.match(index, " ,; ")
 

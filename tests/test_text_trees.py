@@ -19,7 +19,7 @@ def index(spark, tmp_path_factory):
 
 def test_leaves(index):
     index, docs = index
-    ids = lambda leaf: sorted(r.book_id for r in st.found(leaf, index, docs).collect())
+    ids = lambda leaf: sorted(r.book_id for r in st.found(leaf, index).collect())
     assert ids({"text": "fox"}) == [1, 2] and ids({"text": "fox", "field": "title"}) == [1] and ids({"text": "fox", "op": "prefix"}) == [1, 2, 3]
     assert ids({"text": "sly fox", "op": "phrase"}) == [1] and ids({"text": "red sly"}) == [1, 3] and ids({"text": "ED H", "field": "title", "op": "substring"}) == [2]
     tree = st.resolve({"and": [{"text": "red"}, {"not": {"or": [{"text": "hen"}, {"number": "year", "op": "eq", "value": 1}]}}]}, index)
