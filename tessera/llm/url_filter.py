@@ -1,4 +1,4 @@
-"""URL filters: host and path rules, and a Bloom filter cascade for exact membership of listed hosts, without joins.
+"""URL filters: host and path rules, and a Bloom filter cascade for exact membership of listed hosts or pages, without joins.
 
 A cascade encodes the listed keys in its first level, the false positives of that level in the second, the listed keys
 that the second level wrongly takes in the third, and so on until a level has no false positive. Over the key universe
@@ -8,7 +8,8 @@ should carry is split by a hash of the key: each part has its own cascade, and t
 
 Null urls and urls without `://` have empty host and path and are looked up as ''. Repeated rows are judged each; an empty
 table gives none; of equally long rules that fit the last by host and path counts (the contract's have no such tie). Very
-long urls are read whole. Input columns of a result's name are replaced where they are to be kept.
+long urls are read whole. Input columns of a result's name are replaced where they are to be kept. A list made from contents
+(`junk_pages`) reads each page's html once; null contents list nothing, and an empty address is never listed.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ RULES = (
 )
 #: Words that mark a host of the default block list, as a whole part between dots and hyphens.
 LISTED_WORDS = ("adult", "bet", "bets", "casino", "porn", "spam", "xxx")
+#: Symbol runs of junk, and how many of them mark a page's content as junk.
+JUNK_RUN, JUNK_RUNS = r"###|%%%|\*\*\*|\$\$\$", 10
 #: Hash functions of a level at least, and of the first at most; bits for each key and hash function.
 HASHES, MOST_HASHES, BITS = 3, 30, 1.4427
 #: Bytes of a level that travel in a plan; a list that needs more is split.
@@ -118,54 +121,72 @@ def in_cascade(key: Column, levels: list[Level]) -> Column:
     return F.coalesce(member, F.lit(False))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame | None = None, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules=RULES, max_level_bytes: int = MAX_LEVEL_BYTES) -> DataFrame:
-    """keep, host, path, rule and verdict for each row. listed: hosts to block, column key; by default those with LISTED_WORDS."""
+def bad_host(host: Column) -> Column:
+    """Whether a host holds one of LISTED_WORDS."""
+    return host.rlike(r"(^|[.\-])(" + "|".join(LISTED_WORDS) + r")($|[.\-])")
+
+
+def junk_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """key (host and path): addresses on a bad host, or with a page whose content is junk. Null contents aren't; pages without an address are left out."""
+    host, path = url_parts(F.col(url))
+    junk = F.coalesce(F.regexp_count(html, F.lit(JUNK_RUN)) >= JUNK_RUNS, F.lit(False))
+    return pages.filter(bad_host(host) | junk).select(F.concat(host, path).alias("key")).filter("key <> ''").distinct()
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame | None = None, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules=RULES, max_level_bytes: int = MAX_LEVEL_BYTES, of: str = "host") -> DataFrame:
+    """keep, host, path, rule and verdict for each row. listed: keys to block, column key; by default the bad hosts.
+
+    of: what a key is, the host, or the page (host and path together, without what follows the path).
+    """
     keep = tuple(k for k in keep if k not in ("host", "path", "rule", "verdict"))
     host, path = url_parts(F.col(url))
     parts = pages.select(*keep, host.alias("host"), path.alias("path"))
-    hosts = cut(parts.select(F.col("host").alias("key")).distinct(), "hosts")
+    key = F.concat("host", "path") if of == "page" else F.col("host")
+    keys = cut(parts.select(key.alias("key")).distinct(), "keys")
     if listed is None:
-        listed = hosts.filter(F.col("key").rlike(r"(^|[.\-])(" + "|".join(LISTED_WORDS) + r")($|[.\-])"))
+        listed = keys.filter(bad_host(F.regexp_extract("key", "^[^/]*", 0)))
     listed = cut(listed.select("key").dropna().distinct(), "listed")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
 
     def judged(rows: DataFrame, levels: list[Level]) -> DataFrame:
-        return rows.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(in_cascade(F.col("host"), levels), "block").otherwise("allow")).alias("verdict"))
+        return rows.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(in_cascade(key, levels), "block").otherwise("allow")).alias("verdict"))
 
     n_listed = listed.count()
-    need = n_listed * _hashes(n_listed, hosts.count()) * BITS / 8
+    need = n_listed * _hashes(n_listed, keys.count()) * BITS / 8
     splits = math.ceil(need / max_level_bytes)
     if splits <= 1:
-        return judged(parts, build_cascade(listed, hosts))
+        return judged(parts, build_cascade(listed, keys))
 
-    def split_of(key: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(key), F.lit(-1)), F.lit(splits))
+    def split_of(of_key: Column) -> Column:
+        return F.pmod(F.xxhash64(of_key, F.lit(-1)), F.lit(splits))
 
     dealt, out = new_folder(pages.sparkSession, "dealt"), new_folder(pages.sparkSession, "judged")
-    marked = parts.withColumn("split_", split_of("host").cast("int"))
+    marked = parts.withColumn("split_", split_of(key).cast("int"))
     marked.write.partitionBy("split_").parquet(dealt)
     written = pages.sparkSession.read.schema(marked.schema).parquet(dealt)
     for k in range(splits):  # each plan carries the levels of one part of the list
-        levels = build_cascade(listed.filter(split_of("key") == k), hosts.filter(split_of("key") == k))
+        levels = build_cascade(listed.filter(split_of(F.col("key")) == k), keys.filter(split_of(F.col("key")) == k))
         part = judged(written.filter(F.col("split_") == k), levels)
         part.write.mode("append").parquet(out)
     return pages.sparkSession.read.schema(part.schema).parquet(out)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return filter_urls(pages, junk_pages(pages), of="page")
 
 
 ORACLE_SQL = rf"""
-with r as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
-p as (select page_id, lower(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from r),
+with r as (select page_id, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, html, lower(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from r),
 u as (select *, case
    when (host = 'example.com' or suffix(host, '.example.com')) and starts_with(path, '/en/7') then 'example.com/en/7'
    when (host = 'example.net' or suffix(host, '.example.net')) and starts_with(path, '/de/8') then 'example.net/de/8'
    when (host = 'com' or suffix(host, '.com')) and starts_with(path, '/en/') then 'com/en/'
    when (host = 'net' or suffix(host, '.net')) and starts_with(path, '/de/') then 'net/de/'
-   when (host = 'org' or suffix(host, '.org')) and starts_with(path, '/es/') then 'org/es/' end as rule from p)
+   when (host = 'org' or suffix(host, '.org')) and starts_with(path, '/es/') then 'org/es/' end as rule from p),
+b as (select distinct host || path as key from p where regexp_matches(host, '(^|[.\-])({"|".join(LISTED_WORDS)})($|[.\-])') or len(regexp_extract_all(html, '{JUNK_RUN}')) >= {JUNK_RUNS})
 select page_id, host, path, rule, case
    when rule in ('example.com/en/7', 'net/de/') then 'allow' when rule is not null then 'block'
-   when regexp_matches(host, '(^|[.\-])({"|".join(LISTED_WORDS)})($|[.\-])') then 'block' else 'allow' end as verdict from u
+   when host || path <> '' and host || path in (select key from b) then 'block' else 'allow' end as verdict from u
 """

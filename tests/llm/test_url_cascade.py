@@ -40,3 +40,21 @@ def test_rows(spark, max_bytes):
         expected.append((str(k if k % 5 else None), host, path, rule and rule[1], rule[2] if rule else "block" if host in on_list else "allow"))
     assert sorted(map(str, [(str(r.page_id), *r[1:]) for r in found.collect()])) == sorted(map(str, expected))
     assert uf.filter_urls(pages.limit(0), listed, max_level_bytes=max_bytes).count() == 0
+
+
+@pytest.mark.parametrize("max_bytes", [uf.MAX_LEVEL_BYTES, 64])
+def test_listed_pages(spark, max_bytes):
+    """Keys of host and path: the list comes from contents, and the page's other addresses and their neighbours stay."""
+    junk = "a### b%%% c*** d$$$ " * 3
+    rows = [(k, f"HTTP://Site{k % 7}.it/p/{k % 500}{'?q=1' if k % 2 else '#top'}", junk if k % 500 < 90 else "a###" if k % 3 else None) for k in range(1500)]
+    rows += [(2000, None, junk), (2001, "no scheme", junk), (2002, "http://casino.it/fine", "plain"), (2003, "http://site1.it", None), (2004, "http://site1.it", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    listed = uf.junk_pages(pages)
+    address = lambda u: "".join(plain(u)[:2])
+    bad = {address(u) for _, u, h in rows if len(re.findall(uf.JUNK_RUN, h or "")) >= uf.JUNK_RUNS or "casino" in (u or "")} - {""}
+    assert {r.key for r in listed.collect()} == bad and len(bad) > 200
+    found = {r.page_id: r.verdict for r in uf.filter_urls(pages, listed, of="page", max_level_bytes=max_bytes).collect()}
+    assert found == {i: "block" if address(u) in bad else "allow" for i, u, _ in rows}
+    levels = uf.build_cascade(listed, pages.select(F.concat(*uf.url_parts(F.col("url"))).alias("key")))
+    assert len(levels) > 1
+    assert uf.junk_pages(pages.limit(0)).isEmpty()
