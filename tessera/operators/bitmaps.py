@@ -124,10 +124,10 @@ def facets(cat: Catalog, index: DataFrame, tree: Tree | None, fields: list[str],
     asked = index.filter(F.col("field").isin(fields))
     both = asked.join(F.broadcast(hits) if n <= BROADCAST_WORDS else hits, "word")
     counts = both.groupBy("field", "value").agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(of_field))).cast("long").alias("n")).filter("n > 0")
-    for field, dictionary, key in (("author", cat.authors, "author_id"), ("series", cat.series, "series_id")):
-        if field in fields:  # a key that the dictionary lacks isn't shown
-            known = dictionary.select(F.lit(field).alias("field"), F.col(key).cast("string").alias("value"))
-            counts = counts.filter(F.col("field") != field).unionByName(counts.filter(F.col("field") == field).join(known, ["field", "value"], "left_semi"))
     if len(fields) > 1:
-        counts = written(counts, "counts")
+        counts = written(counts, "counts")  # the bitmaps are read once, whatever follows
+    known = [d.select(F.lit(f).alias("field"), F.col(key).cast("string").alias("value")) for f, d, key in (("author", cat.authors, "author_id"), ("series", cat.series, "series_id")) if f in fields]
+    if known:  # a key that the dictionary lacks isn't shown
+        named = F.col("field").isin("author", "series")
+        counts = counts.filter(~named).unionByName(counts.filter(named).join(reduce(DataFrame.unionByName, known), ["field", "value"], "left_semi"))
     return shown(cat, counts, conjuncts, fields, zero_rows)
