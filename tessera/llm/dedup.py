@@ -9,11 +9,15 @@ equal bytes, so no link is lost by that).
 1. Equal sets form one class, whose smallest id stands for it.
 2. Within a bucket, classes that share a band, pairs not connected yet are compared by batches of their signatures and
    dropped once the posterior probability of a link (uniform prior, binomial matches) falls below MISS. What is left is
-   reported as a spanning forest: fewer links than members. Buckets above BUCKET rows are dealt as pairs of blocks.
+   reported as a spanning forest: fewer links than members. A bucket above BUCKET rows isn't compared but linked as a star,
+   so all of it goes on to the verification: that costs its rows, not their square.
 3. The forests' components are groups, which hold every linked pair. A group of up to BLOCK classes (and BLOCK_SHINGLES
    shingles) is settled in one task on full sets, pairs that are not connected yet only; survivors are verified exactly.
 4. A larger group is first dealt twice into random blocks, which connects nearly all that is linked at one copy of a set a
-   round. Then blocks of classes that are still apart are compared in pairs; blocks of one component never meet.
+   round. Then blocks of classes that are still apart are compared in pairs; blocks of one component never meet. A group
+   that this would copy more than CELLS times (a passage that very many documents share) is divided first: two linked sets share
+   one of their rarest shingles, so classes are grouped anew by steps 2 and 3 with these in place of bands. The order of
+   rarity is a table of COUNTS counters; what they hold steers the cost alone.
 5. Links are joined into components; all documents of a class get its component.
 
 Nulls: a null id links with nothing; its component_id is null and it is kept. Rows that repeat an id are one document and
@@ -42,7 +46,11 @@ HASHES, BATCH = 120, 30
 #: Largest probability of missing a linked pair, by banding and by each pruning step.
 MISS = 1e-6
 #: Classes, and shingles on average, of a group that one task settles; rows of a bucket that one task compares.
-BLOCK, BLOCK_SHINGLES, BUCKET = 128, 4_000_000, 512
+BLOCK, BLOCK_SHINGLES, BUCKET = 128, 4_000_000, 1024
+#: Copies of a text (on average) that pairs of blocks may cost before a group is divided by rare shingles.
+CELLS = 8
+#: Counters of shingles by which rarity is judged, a power of two: 1 MB with every task.
+COUNTS = 1 << 18
 CACHE = 250_000
 
 
@@ -224,7 +232,7 @@ def _settle_groups(percent: int, width: int):
 
 
 def _link_buckets(percent: int):
-    """Over rows key, part, side, doc_id, n_shingles and sig, sorted by the first two and doc_id: each bucket's forest by signatures."""
+    """Over rows key, doc_id, n_shingles and sig, sorted by the first two: each bucket's forest by signatures."""
 
     def run(batches):
         least, rest = prune_below(percent), None
@@ -232,11 +240,11 @@ def _link_buckets(percent: int):
             if batch is None and rest is None:
                 break
             if batch is not None:
-                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-                new.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, HASHES))
+                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, HASHES))
                 rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            key, part, side, ids, size, sigs = rest
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else np.zeros(0, np.int64)
+            key, ids, size, sigs = rest
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             ends = np.append(starts[1:], len(key))
             if batch is not None and len(starts):  # the last bucket may go on
                 rest = [x[starts[-1] :] for x in rest]
@@ -246,7 +254,7 @@ def _link_buckets(percent: int):
             found = two[surviving(sigs[two], sigs[two + 1], least)[0]] if len(two) else two
             links = list(zip(ids[found].tolist(), ids[found + 1].tolist(), strict=True))
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-                links += forest(ids[s:e], side[s:e], ids[s:e], size[s:e], sigs[s:e], percent)
+                links += forest(ids[s:e], np.zeros(e - s), ids[s:e], size[s:e], sigs[s:e], percent)
             yield _links(sorted(set(links)))
             if batch is None:
                 break
@@ -255,25 +263,82 @@ def _link_buckets(percent: int):
     return run
 
 
-def _in_pairs_of_blocks(rows: DataFrame, blocks: str, *kept: str) -> DataFrame:
-    """rows dealt by a hash of doc_id to `blocks` blocks, once for each pair of blocks that holds the own one: part, side and kept."""
-    mine = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("low"), F.greatest(x, F.col("mine")).alias("high")))
-    paired = mine.withColumn("pair", F.explode(others))
-    return paired.select((F.col("pair.low") * F.col(blocks) + F.col("pair.high")).cast("long").alias("part"), ((F.col("pair.low") != F.col("pair.high")) & (F.col("mine") == F.col("pair.high"))).cast("int").alias("side"), *kept)
+def shared_links(rows: DataFrame, percent: int, bucket: int, labelled: bool = False) -> DataFrame:
+    """Pairs (a, b) that connect, in each bucket, what the signatures don't rule out. rows: doc_id, n_shingles, bands, sig (written).
+
+    Buckets of up to `bucket` rows give a spanning forest, larger ones a star around the smallest id. labelled: rows have a
+    label, and buckets within one label are left out.
+    """
+    label = ["label"] if labelled else []
+    banded = rows.select("doc_id", *label, F.explode("bands").alias("key"))
+    counted = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), *(f(x) for x in label for f in (lambda x: F.min(x).alias("low"), lambda x: F.max(x).alias("high"))))
+    buckets = cut(counted.filter("n > 1 and low < high" if labelled else "n > 1").select("key", "n", "first"), "buckets")
+    shared = join_sized(banded.select("doc_id", "key"), buckets, "key", "n")
+    star = shared.filter(F.col("n") > bucket).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    few = shared.filter(F.col("n") <= bucket).select("key", "doc_id").join(rows.select("doc_id", "n_shingles", "sig"), "doc_id").select("key", "doc_id", "n_shingles", "sig")
+    forests = few.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_link_buckets(percent), "a long, b long")
+    return forests.unionByName(star)
+
+
+def rarest(shingle_set: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, by counts and then by hash: as many that two linked sets have one in common."""
+    shift = np.uint64(64 - (len(counts).bit_length() - 1))
+    order = np.lexsort((shingle_set, counts[(shingle_set >> shift).astype(np.int64)]))
+    return shingle_set[order[: len(shingle_set) - -(-percent * len(shingle_set) // 100) + 1]]
+
+
+def rare_shingles(texts: DataFrame, width: int, percent: int, size: int = COUNTS) -> DataFrame:
+    """doc_id and bands, the rarest shingles of each text; rarity is counted over texts, in `size` counters."""
+    shift = np.uint64(64 - (size.bit_length() - 1))
+
+    def count(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, (shingles(text, width) >> shift).astype(np.int64), 1)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots], pa.int64())], ["slot", "n"])
+        _WORDS.clear()
+
+    counts = np.zeros(size, np.int64)
+    for row in texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[row.slot] = row.n
+    ranks = np.unique(counts, return_inverse=True)[1].astype(np.int32)
+
+    def run(batches):
+        for batch in (part for whole in batches for part in rows_per_task(whole, "text")):
+            found = [rarest(shingles(t, width), ranks, percent).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "bands"])
+        _WORDS.clear()
+        release()
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<bigint>")
 
 
-def candidate_links(reps: DataFrame, percent: int, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (a, b) that the signatures leave in the buckets of reps (doc_id, n_shingles, bands, sig): a spanning forest of each bucket."""
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = cut(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    shared = join_sized(banded, buckets, "key", "n").withColumn("blocks", F.ceil(F.col("n") / bucket).cast("int"))
-    dealt = _in_pairs_of_blocks(shared.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id"), "blocks", "key", "doc_id", "n_shingles", "sig")
-    rows = dealt.select("key", "part", "side", "doc_id", "n_shingles", "sig")
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(_link_buckets(percent), "a long, b long")
+def _blocks_apart(left: DataFrame, block: int) -> DataFrame:
+    """Of each group with several labels: how many, its classes n, the blocks (all: own, cells; owns) they are dealt to, and copies of a class.
+
+    A label of many classes has blocks of its own, the others share blocks (own: -1).
+    """
+    by_label = left.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    by_label = by_label.withColumn("own", F.when(F.col("n") * 2 > block, F.col("label")).otherwise(-1))
+    cells = by_label.groupBy("group", "own").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("s") / BLOCK_SHINGLES)).cast("int").alias("cells"))
+    copies = F.sum("cells") - F.sum(F.when(F.col("own") != -1, F.col("n") * F.col("cells")).otherwise(0)) / F.sum("n")
+    return cells.groupBy("group").agg(F.sum("labels").alias("labels"), F.sum("n").alias("n"), copies.alias("copies"), F.collect_list(F.struct("own", "cells")).alias("all"), F.collect_set("own").alias("owns")).filter("labels > 1")
 
 
-def verified_links(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+def divided(left: DataFrame, texts: DataFrame, width: int, percent: int, bucket: int) -> DataFrame:
+    """The rows of left (doc_id, group, label, n_shingles, sig; written) in smaller groups, in which all links between labels lie."""
+    wanted = texts.join(bounded_broadcast(left.select("doc_id"), left.count()), "doc_id", "left_semi")
+    rare = rare_shingles(wanted, width, percent).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands"))
+    rows = left.join(rare, "doc_id").withColumn("bands", F.transform("bands", lambda x: F.xxhash64("group", x)))
+    found = components(shared_links(cut(rows, "rare"), percent, bucket, labelled=True), "a", "b")
+    roots = found.select(F.col("component").alias("node"), "component").distinct()
+    anew = found.unionByName(roots).select(F.col("node").alias("doc_id"), F.col("component").alias("anew"))
+    return left.join(anew, "doc_id").withColumn("group", F.col("anew")).drop("anew")
+
+
+def verified_links(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int = BLOCK, bucket: int = BUCKET, most_cells: int = CELLS) -> DataFrame:
     """Links (a, b), verified on full sets, that connect what is linked in each group. members: doc_id, group, n_shingles, sig (written)."""
     texts = docs.join(bounded_broadcast(members.select("doc_id"), members.count()), "doc_id", "left_semi")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
@@ -294,16 +359,20 @@ def verified_links(members: DataFrame, docs: DataFrame, width: int, percent: int
     links = verify(sized.select("group", random_block(1), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"), "sig"), "links")
     if groups.filter("blocks > 1").isEmpty():
         return links
-    large = cut(sized.filter("blocks > 1"), "large")
+    large = cut(sized.filter("blocks > 1").select("group", "doc_id", "n_shingles", "sig", "blocks"), "large")
     links = links.unionByName(verify(labelled(links).select("group", random_block(2), F.lit(0).alias("side"), "doc_id", "label", "sig"), "links"))
 
-    # What is still apart in a group: a label of many classes has blocks of its own, the others share blocks (own: -1).
     left = cut(labelled(links), "left")
-    by_label = left.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    by_label = by_label.withColumn("own", F.when(F.col("n") * 2 > block, F.col("label")).otherwise(-1))
-    cells = by_label.groupBy("group", "own").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.greatest(F.ceil(F.sum("n") / block), F.ceil(F.sum("s") / BLOCK_SHINGLES)).cast("int").alias("cells"))
-    lists = cells.groupBy("group").agg(F.sum("labels").alias("labels"), F.sum("n").alias("n"), F.collect_list(F.struct("own", "cells")).alias("all"), F.collect_set("own").alias("owns")).filter("labels > 1")
-    lists = cut(lists, "lists")
+    lists = cut(_blocks_apart(left, block), "lists")
+    far = lists.filter(F.col("copies") > most_cells)
+    if not far.isEmpty():
+        # Pairs of blocks would cost the square of such a group: it is divided, and its parts are dealt anew.
+        sizes = left.groupBy("group").agg(F.count("*").alias("rows")).join(far.select("group"), "group", "left_semi")
+        apart = cut(join_sized(left, cut(sizes, "sizes"), "group", "rows").select("group", "doc_id", "label", "n_shingles", "sig"), "apart")
+        near = lists.filter(F.col("copies") <= most_cells).select("group", F.col("n").alias("rows"))
+        kept = join_sized(left, cut(near, "near"), "group", "rows").select(apart.columns)
+        left = cut(kept.unionByName(divided(apart, texts, width, percent, bucket).select(apart.columns)), "left")
+        lists = cut(_blocks_apart(left, block), "lists")
     if lists.isEmpty():
         return links
     placed = join_sized(left.select("group", "doc_id", "label", "sig"), lists, "group", "n")
@@ -319,7 +388,7 @@ def verified_links(members: DataFrame, docs: DataFrame, width: int, percent: int
     return links.unionByName(verify(paired.select("group", part.alias("part"), side.alias("side"), "doc_id", "label", "sig"), "links"))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", block: int = BLOCK, bucket: int = BUCKET, most_cells: int = CELLS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each document."""
     rows = band_rows(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -336,11 +405,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     copies = join_sized(known.select("doc_id", "set_key"), classes.filter("n > 1"), "set_key", "n").filter("doc_id <> rep").select("doc_id")
     reps = cut(known.join(copies, "doc_id", "left_anti").drop("set_key"), "reps")
-    groups = components(candidate_links(reps, percent, bucket), "a", "b")
+    groups = components(shared_links(reps, percent, bucket), "a", "b")
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
     members = groups.unionByName(roots).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
     members = cut(members.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id"), "members")
-    final = components(verified_links(members, docs, width, percent, block), "a", "b")
+    final = components(verified_links(members, docs, width, percent, block, bucket, most_cells), "a", "b")
 
     # Classes whose documents may have a component other than themselves.
     moved = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").filter("n > 1 or component is not null")

@@ -38,8 +38,8 @@ def edited(words, share, rng):
     return [f"x{rng.random()}" if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize(("block", "bucket"), [(6, 8), (512, 2048)])
-def test_percolating_groups(spark, block, bucket):
+@pytest.mark.parametrize(("block", "bucket", "cells"), [(6, 8, 8), (6, 8, 1), (512, 2048, 8)])
+def test_percolating_groups(spark, block, bucket, cells):
     """A drifting chain, whose ends are unlike, a large group of near copies, and pairs below the threshold that share bands."""
     rng, rows = random.Random(3), []
     words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
@@ -49,7 +49,7 @@ def test_percolating_groups(spark, block, bucket):
     base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
     rows += [(len(rows) + k, " ".join(edited(base, 0.01 if k % 3 else 0.06, rng))) for k in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in dedup.near_duplicates(docs, WIDTH, PERCENT, block=block, bucket=bucket).collect()}
+    found = {r.doc_id: r.component_id for r in dedup.near_duplicates(docs, WIDTH, PERCENT, block=block, bucket=bucket, most_cells=cells).collect()}
     expected = brute(rows)
     assert found == expected
     assert 2 < len(set(expected.values())) < len(rows) - 50
@@ -76,3 +76,33 @@ def test_stage_keeps_columns(spark):
     assert found.columns == wide.columns
     assert sorted(str(r.doc_id) for r in found.collect()) == ["1", "3", "None"]
     assert dedup.dedup_stage(spark, wide.limit(0), "").count() == 0
+
+
+def test_passage_that_all_share(spark):
+    """A passage of 40 of 50 words: hot bands, all pairs just below the threshold, few linked; the parts are divided by rare shingles."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, " ".join(f"o{rng.random()}" for _ in range(10)) + " " + passage) for k in range(250)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in range(0, 60, 2)] + [(2000 + k, f"first {rows[k][1]}") for k in range(0, 60, 3)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in dedup.near_duplicates(docs, WIDTH, PERCENT, block=8, bucket=16, most_cells=2).collect()}
+    assert found == brute(rows)
+    assert len(set(found.values())) == 250
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_rarest_shingles_meet(percent):
+    """Whatever the counters hold, two linked sets share one of their rarest shingles."""
+    rng = dedup.np.random.default_rng(percent)
+    linked = 0
+    for _ in range(2000):
+        x = dedup.np.unique(rng.integers(0, 1 << 63, rng.integers(1, 40), dtype=dedup.np.uint64) * dedup.np.uint64(2))
+        kept = x[rng.random(len(x)) < rng.uniform(percent / 100, 1)]
+        y = dedup.np.union1d(kept, rng.integers(0, 1 << 63, rng.integers(0, 4), dtype=dedup.np.uint64))
+        both = len(dedup.np.intersect1d(x, y))
+        if both and 100 * both >= percent * (len(x) + len(y) - both):
+            linked += 1
+            counts = rng.integers(0, 5, 16)
+            assert set(dedup.rarest(x, counts, percent)) & set(dedup.rarest(y, counts, percent))
+    assert linked > 100
