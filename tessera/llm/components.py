@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, join_sized
+from .runtime import cut_narrow, join_sized
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
@@ -23,14 +23,14 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     they lie. An error is raised where the rounds don't end, which halve the longest path each.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
-    e = cut(e, "edges")
+    e = cut_narrow(e, "edges")
     for _ in range(max_rounds):
         if _is_star_forest(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = cut(join_sized(both, least, "u", "n").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
-        parent = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "parent")
+        least = cut_narrow(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = cut_narrow(join_sized(both, least, "u", "n").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        parent = cut_narrow(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "parent")
         small = join_sized(large, parent, "u", "n").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(parent.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = cut_narrow(small.unionByName(parent.select("u", F.col("m").alias("v"))).distinct(), "edges")
     raise RuntimeError(f"no star forest after {max_rounds} rounds")

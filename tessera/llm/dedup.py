@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import bounded_broadcast, cut, join_sized, release, rows_per_task, ship
+from .runtime import bounded_broadcast, cut, cut_narrow, join_sized, release, rows_per_task, ship
 
 WIDTH, PERCENT = 5, 80
 HASHES, BATCH = 120, 30
@@ -195,12 +195,27 @@ def settle(ids: np.ndarray, side: np.ndarray, label: np.ndarray, sigs: np.ndarra
     return forest(ids[order], side[order], label[order], size, sigs[order], percent, confirm)
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of each node to the smallest one that the given links connect it with: never more than these."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in links:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    return sorted((x, top(x)) for x in list(root) if top(x) != x)
+
+
 def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def _settle_groups(percent: int, width: int):
-    """Over rows group, part, side, doc_id, label, sig and text, sorted by the first two: verified links of each part of a group."""
+    """Over rows group, part, side, doc_id, label, sig and text, sorted by the first two: what verified links connect in each part of a group, as stars."""
 
     def flush(held):
         best: dict[int, tuple] = {}  # of one id's texts, the one that counts
@@ -222,9 +237,9 @@ def _settle_groups(percent: int, width: int):
         for _, part in groupby(stream(), key=lambda r: r[:2]):
             links += flush([r[2:] for r in part])
             if len(links) > 20_000:
-                yield _links(links)
+                yield _links(stars(links))
                 links = []
-        yield _links(links)
+        yield _links(stars(links))
         _WORDS.clear()
         release()
 
@@ -232,7 +247,7 @@ def _settle_groups(percent: int, width: int):
 
 
 def _link_buckets(percent: int):
-    """Over rows key, doc_id, n_shingles and sig, sorted by the first two: each bucket's forest by signatures."""
+    """Over rows key, doc_id, n_shingles and sig, sorted by the first two: what the buckets' forests by signatures connect, as stars."""
 
     def run(batches):
         least, rest = prune_below(percent), None
@@ -255,7 +270,7 @@ def _link_buckets(percent: int):
             links = list(zip(ids[found].tolist(), ids[found + 1].tolist(), strict=True))
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
                 links += forest(ids[s:e], np.zeros(e - s), ids[s:e], size[s:e], sigs[s:e], percent)
-            yield _links(sorted(set(links)))
+            yield _links(stars(links))
             if batch is None:
                 break
         release()
@@ -272,7 +287,7 @@ def shared_links(rows: DataFrame, percent: int, bucket: int, labelled: bool = Fa
     label = ["label"] if labelled else []
     banded = rows.select("doc_id", *label, F.explode("bands").alias("key"))
     counted = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), *(f(x) for x in label for f in (lambda x: F.min(x).alias("low"), lambda x: F.max(x).alias("high"))))
-    buckets = cut(counted.filter("n > 1 and low < high" if labelled else "n > 1").select("key", "n", "first"), "buckets")
+    buckets = cut_narrow(counted.filter("n > 1 and low < high" if labelled else "n > 1").select("key", "n", "first"), "buckets")
     shared = join_sized(banded.select("doc_id", "key"), buckets, "key", "n")
     star = shared.filter(F.col("n") > bucket).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     few = shared.filter(F.col("n") <= bucket).select("key", "doc_id").join(rows.select("doc_id", "n_shingles", "sig"), "doc_id").select("key", "doc_id", "n_shingles", "sig")
@@ -339,10 +354,10 @@ def divided(left: DataFrame, texts: DataFrame, width: int, percent: int, bucket:
 
 
 def verified_links(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int = BLOCK, bucket: int = BUCKET, most_cells: int = CELLS) -> DataFrame:
-    """Links (a, b), verified on full sets, that connect what is linked in each group. members: doc_id, group, n_shingles, sig (written)."""
+    """Pairs (a, b) that connect what links, verified on full sets, connect in each group, and nothing else. members: doc_id, group, n_shingles, sig (written)."""
     texts = docs.join(bounded_broadcast(members.select("doc_id"), members.count()), "doc_id", "left_semi")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    groups = cut(members.groupBy("group").agg(F.count("*").alias("n"), blocks.alias("blocks")), "groups")
+    groups = cut_narrow(members.groupBy("group").agg(F.count("*").alias("n"), blocks.alias("blocks")), "groups")
     sized = join_sized(members, groups, "group", "n")
 
     def verify(dealt: DataFrame, name: str) -> DataFrame:
@@ -359,20 +374,20 @@ def verified_links(members: DataFrame, docs: DataFrame, width: int, percent: int
     links = verify(sized.select("group", random_block(1), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"), "sig"), "links")
     if groups.filter("blocks > 1").isEmpty():
         return links
-    large = cut(sized.filter("blocks > 1").select("group", "doc_id", "n_shingles", "sig", "blocks"), "large")
+    large = cut_narrow(sized.filter("blocks > 1").select("group", "doc_id", "n_shingles", "sig", "blocks"), "large")
     links = links.unionByName(verify(labelled(links).select("group", random_block(2), F.lit(0).alias("side"), "doc_id", "label", "sig"), "links"))
 
-    left = cut(labelled(links), "left")
-    lists = cut(_blocks_apart(left, block), "lists")
+    left = cut_narrow(labelled(links), "left")
+    lists = cut_narrow(_blocks_apart(left, block), "lists")
     far = lists.filter(F.col("copies") > most_cells)
     if not far.isEmpty():
         # Pairs of blocks would cost the square of such a group: it is divided, and its parts are dealt anew.
         sizes = left.groupBy("group").agg(F.count("*").alias("rows")).join(far.select("group"), "group", "left_semi")
-        apart = cut(join_sized(left, cut(sizes, "sizes"), "group", "rows").select("group", "doc_id", "label", "n_shingles", "sig"), "apart")
+        apart = cut_narrow(join_sized(left, cut_narrow(sizes, "sizes"), "group", "rows").select("group", "doc_id", "label", "n_shingles", "sig"), "apart")
         near = lists.filter(F.col("copies") <= most_cells).select("group", F.col("n").alias("rows"))
-        kept = join_sized(left, cut(near, "near"), "group", "rows").select(apart.columns)
-        left = cut(kept.unionByName(divided(apart, texts, width, percent, bucket).select(apart.columns)), "left")
-        lists = cut(_blocks_apart(left, block), "lists")
+        kept = join_sized(left, cut_narrow(near, "near"), "group", "rows").select(apart.columns)
+        left = cut_narrow(kept.unionByName(divided(apart, texts, width, percent, bucket).select(apart.columns)), "left")
+        lists = cut_narrow(_blocks_apart(left, block), "lists")
     if lists.isEmpty():
         return links
     placed = join_sized(left.select("group", "doc_id", "label", "sig"), lists, "group", "n")
@@ -395,25 +410,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     signed = cut(sign(docs, width, rows), "signed")
     linkable = F.col("doc_id").isNotNull() & F.col("set_key").isNotNull()
     known = all_known = signed.filter(linkable)
-    repeated = cut(known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    repeated = cut_narrow(known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
     n_repeated = repeated.count()
     if n_repeated:
         repeated = bounded_broadcast(repeated, n_repeated)
         best = known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "set_key", "bands", "sig"), F.struct("n_shingles", "set_key")).alias("x")).select("doc_id", "x.*")
         known = cut(known.join(repeated, "doc_id", "left_anti").unionByName(best), "known")
 
-    classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    classes = cut_narrow(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     copies = join_sized(known.select("doc_id", "set_key"), classes.filter("n > 1"), "set_key", "n").filter("doc_id <> rep").select("doc_id")
     reps = cut(known.join(copies, "doc_id", "left_anti").drop("set_key"), "reps")
     groups = components(shared_links(reps, percent, bucket), "a", "b")
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
     members = groups.unionByName(roots).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    members = cut(members.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id"), "members")
+    members = cut_narrow(members.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id"), "members")
     final = components(verified_links(members, docs, width, percent, block, bucket, most_cells), "a", "b")
 
     # Classes whose documents may have a component other than themselves.
     moved = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").filter("n > 1 or component is not null")
-    moved = cut(moved.select("set_key", "n", F.coalesce("component", "rep").alias("component")), "moved")
+    moved = cut_narrow(moved.select("set_key", "n", F.coalesce("component", "rep").alias("component")), "moved")
     found = join_sized(known.select("doc_id", "n_shingles", "set_key"), moved, "set_key", "n", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     if n_repeated:
         of_id = found.join(repeated, "doc_id", "left_semi").select("doc_id", "component_id")

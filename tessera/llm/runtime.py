@@ -16,13 +16,15 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from tessera.sources.storage import new_folder, written
 
-__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "id_remainder", "join_sized", "new_folder", "plus", "release", "rows_per_task", "ship"]
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "cut_narrow", "id_remainder", "join_sized", "new_folder", "plus", "release", "rows_per_task", "ship"]
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 #: Largest number of narrow rows (an id and a number) that is broadcast; 16 MB at most.
 BROADCAST_ROWS = 1_000_000
 #: A key with more rows than this is hot: its rows are joined where they lie, and not sent to one task.
 HOT_ROWS = 512
+#: Files of a narrow table for each core, and the fewest at which they are bounded.
+NARROW_FILES, NARROW_LEAST = 2, 16
 ARROW_DEFAULT = "67108864b"
 
 
@@ -45,6 +47,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+def cut_narrow(df: DataFrame, name: str) -> DataFrame:
+    """cut, for tables of narrow rows from a shuffle: its last stage has a few tasks for each core, and so few files.
+
+    Each task goes through its shuffle partitions one after another, so none holds more than before. Where Spark hasn't joined
+    small partitions itself, a file for each one costs far more than its rows.
+    """
+    return cut(df.coalesce(max(NARROW_LEAST, NARROW_FILES * df.sparkSession.sparkContext.defaultParallelism)), name)
+
+
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only when the counted rows are within BROADCAST_ROWS; otherwise leave a shuffle join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -90,8 +101,12 @@ def plus(df: DataFrame, **columns: str) -> StructType:
 
 
 def release() -> None:
-    """Give memory that a finished Python task has freed back to the system, as workers are reused for later stages."""
+    """Give memory that a finished Python task has freed back to the system, as workers are reused for later stages.
+
+    What outlives a task (modules) is set apart, so the next tasks' collections don't go through it.
+    """
     gc.collect()
+    gc.freeze()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:
