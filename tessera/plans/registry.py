@@ -20,7 +20,7 @@ from tessera.operators import search_text as st
 from tessera.operators.predicates import match
 from tessera.sources.catalog import Catalog, group_members, orders_catalog, stored, table
 from tessera.sources.content import normalise_reviews
-from tessera.sources.storage import file_manifest, new_folder, shared_folder
+from tessera.sources.storage import file_manifest, new_folder, shared_folder, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,13 +114,13 @@ def input_files(d: str, *names: str) -> list[str]:
 
 def index_root(spark: SparkSession, d: str, kind: str, fields: list[str], gram_fields: list[str]) -> str:
     """Where the index of an input lies: one for each path, kind and choice of fields."""
-    named = hashlib.md5("\n".join([d, *fields, "", *gram_fields]).encode()).hexdigest()
+    named = hashlib.md5("\n".join([str(ix.LAYOUT), d, *fields, "", *gram_fields]).encode()).hexdigest()
     return f"{shared_folder(spark)}/{kind}-{named}"
 
 
 def _documents_index(spark: SparkSession, d: str, kind: str, source: DataFrame, fields: list[str], gram_fields: list[str]) -> ix.TextIndex:
     root = index_root(spark, d, kind, fields, gram_fields)
-    since = lambda mark: source if mark is None else source.filter(F.col("update_id") > mark)
+    since = lambda mark: spread(source if mark is None else source.filter(F.col("update_id") > mark))
     ix.build_index(source.select("book_id", "update_id"), since, root, fields, gram_fields, files=input_files(d, "documents"))
     return ix.read_index(spark, root)
 
